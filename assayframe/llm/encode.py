@@ -56,10 +56,7 @@ def lead_chunks(data: np.ndarray, bounds: np.ndarray, space: np.ndarray) -> tupl
 
 
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of first members and, for each value, the number of its class, by one packed sort.
-
-    Classes may be split (never joined) if 64-bit values agree in their upper bits.
-    """
+    """Places of the classes' first members and, for each value, the number of its class, by one packed sort."""
     n = len(h)
     bits = np.uint64(max(1, int(n).bit_length()))
     packed = np.sort(((h >> bits) << bits) | np.arange(n, dtype=np.uint64))
@@ -67,6 +64,9 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     hs = h[order]
     new = np.ones(n, bool)
     new[1:] = hs[1:] != hs[:-1]
+    if (new[1:] & (hs[1:] >> bits == hs[:-1] >> bits)).any():  # other values between equal ones
+        _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        return first, inverse
     inverse = np.empty(n, np.int64)
     inverse[order] = np.cumsum(new) - 1
     return order[new], inverse

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts, token_store
+from . import packing, substring, suffix_array, token_counts, token_store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.byte_dedup(documents(spark, sf_dir)).drop("kept_text")
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.write_tokens(documents(spark, sf_dir))
     return token_store.token_digest(token_store.read_tokens(spark, path))
@@ -24,5 +28,9 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op7_token_counts, op8_best_fit_packing)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(documents(spark, sf_dir)).drop("kept_text")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_store, op7_token_counts, op8_best_fit_packing, op9_substring_dedup)}
 ORACLES: dict[str, str] = {}

@@ -37,7 +37,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n, kept for the next call."""
-    if len(_pow.get("up", ())) < n:
+    if not _pow or len(_pow["up"]) < n:
         size = max(n, SLICE + 64)
         for name, b in (("up", BASE), ("down", BASE_INV)):
             p = np.full(size, b, np.uint64)
@@ -122,11 +122,12 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def super_runs(values: np.ndarray, bounds: np.ndarray, window: int, k: int, longest: int = 1024):
-    """Runs of neighbouring windows that share their least k-gram hash, the super-k-mers of minimizer bucketing.
+def super_runs(values: np.ndarray, bounds: np.ndarray, window: int, k: int):
+    """Runs of neighbouring windows that share their first least k-gram, the super-k-mers of minimizer bucketing.
 
     Returns (text, first window, number of windows, key, context hash) of each run, windows counted from the text's
-    start. Equal windows have equal keys, so no equality crosses keys. A context is all that the run's windows cover.
+    start. The key is the k-gram's hash: equal windows have equal keys, and two equal windows are never in one run. A
+    context is all that the run's windows cover.
     """
     p = prefix(values)
     n = len(values) - window + 1
@@ -134,11 +135,12 @@ def super_runs(values: np.ndarray, bounds: np.ndarray, window: int, k: int, long
         e = np.zeros(0, np.int64)
         return e, e, e, e, e
     at = np.arange(len(values) - k + 1)
-    key = sliding_min(span_hash(p, at, at + k), window - k + 1)
+    gram = span_hash(p, at, at + k)
+    key = sliding_min(gram, window - k + 1)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[:n]
     good = np.arange(n) + window <= bounds[1:][text]
     new = np.ones(n, bool)
-    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | (gram[: n - 1] == key[:-1])
     new &= good
     first = np.flatnonzero(new)
     if not len(first):
@@ -146,12 +148,6 @@ def super_runs(values: np.ndarray, bounds: np.ndarray, window: int, k: int, long
         return e, e, e, e, e
     stop = np.minimum(np.append(first[1:], n), np.maximum(bounds[1:][text[first]] - window + 1, 0))
     count = stop - first
-    if count.max() > longest:
-        parts = -(-count // longest)
-        which = np.repeat(np.arange(len(first)), parts)
-        nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-        count = np.minimum(count[which] - nth * longest, longest)
-        first = first[which] + nth * longest
     ctx = span_hash(p, first, first + count + window - 1)
     t = text[first]
     return t, first - bounds[:-1][t], count, key[first].view(np.int64), ctx.view(np.int64)
@@ -164,9 +160,7 @@ def gather(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndar
     return values[np.arange(total) - np.repeat(skip - start, length)]
 
 
-def cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
+def cover(starts: np.ndarray, width: np.ndarray, n: int) -> np.ndarray:
     """Mask of n places, true where a span [start, start + width) lies."""
-    d = np.zeros(n + 1, np.int64)
-    np.add.at(d, starts, 1)
-    np.add.at(d, np.minimum(starts + width, n), -1)
+    d = np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(starts + width, n), minlength=n + 1)[: n + 1]
     return np.cumsum(d[:-1]) > 0
