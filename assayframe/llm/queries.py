@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, substring, suffix_array, token_counts, token_store
+from . import decontam, near_dedup, oracles, packing, quality, substring, suffix_array, token_counts, token_store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,17 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digest(token_store.read_tokens(spark, path))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.contamination(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = F.expr("n_hit > 0 AND 20 * n_hit >= n_words")
+    items = F.size("item_ids").cast("long").alias("n_items")
+    return out.select("doc_id", "n_words", "n_hit", items, F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), hit.alias("contaminated"))
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), shingle=2)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
@@ -32,5 +44,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(documents(spark, sf_dir)).drop("kept_text")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_store, op7_token_counts, op8_best_fit_packing, op9_substring_dedup)}
-ORACLES: dict[str, str] = {}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), carry=["doc_id"]).drop("distance2")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_store, op4_decontamination, op5_near_dedup, op7_token_counts, op8_best_fit_packing, op9_substring_dedup, op10_quality_rules)}
+ORACLES: dict[str, str] = {"op4_decontamination": oracles.contamination_sql(), "op10_quality_rules": oracles.quality_sql()}
