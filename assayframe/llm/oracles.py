@@ -95,3 +95,32 @@ judged AS MATERIALIZED (SELECT *, NOT base_failed AND coalesce(d2 <= {q.CUTOFF},
 
 def quality_sql() -> str:
     return f"WITH {quality_ctes()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"
+
+
+def line_ctes(documents: str = "documents") -> str:
+    """CTEs of op6 that end in ``lined`` (all columns of documents, n_lines, n_template_lines, n_dropped, rest)."""
+    from . import lines
+
+    n, path = lines.MIN_DOCS, ", ".join(f"t[{k}]" for k in range(1, lines.DEPTH + 1))
+    split = f"list_filter(string_split_regex(%s, '{WORD_BREAK}'), lambda x: x <> '')"
+    return f"""
+ld AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY doc_id, text) AS u FROM {documents}),
+ll AS (SELECT u, nr, {split % 'line'} AS w FROM (SELECT u, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS nr FROM (SELECT DISTINCT u, text FROM ld))),
+lt AS MATERIALIZED (SELECT u, nr, len(w) AS k, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{lines.FIELD}' ELSE x END) AS t FROM ll WHERE len(w) > 0),
+leaf AS (SELECT k, {', '.join(f't[{j}] AS k{j}' for j in range(1, lines.DEPTH + 1))} FROM lt GROUP BY ALL HAVING count(DISTINCT u) >= {n}),
+lf AS MATERIALIZED (SELECT lt.*, hash(k, {path}) AS leaf, array_to_string(t, ' ') AS id FROM lt WHERE (k, coalesce(t[1], ''), coalesce(t[2], ''), coalesce(t[3], '')) IN (SELECT (k, coalesce(k1, ''), coalesce(k2, ''), coalesce(k3, '')) FROM leaf)),
+di AS (SELECT leaf, id, any_value(t) AS t, count(DISTINCT u) AS n FROM lf GROUP BY leaf, id),
+sp AS MATERIALIZED (SELECT leaf, id, n, unnest(t) AS token, unnest(range(0, len(t))) AS pos FROM di),
+st AS (SELECT leaf, pos, token FROM sp WHERE token <> '{lines.FIELD}' GROUP BY ALL HAVING sum(n) >= {n}),
+sh AS (SELECT leaf, id, string_agg(CASE WHEN st.token IS NULL THEN '{lines.FIELD}' ELSE sp.token END, ' ' ORDER BY pos) AS template,
+    avg((st.token IS NOT NULL)::INT) AS share FROM sp LEFT JOIN st USING (leaf, pos, token) GROUP BY leaf, id),
+pl AS MATERIALIZED (SELECT u, nr, leaf, template FROM lf JOIN sh USING (leaf, id) WHERE share >= {lines.STABLE}),
+mk AS (SELECT u, list(DISTINCT nr) AS marks FROM pl WHERE (leaf, template) IN (SELECT (leaf, template) FROM pl GROUP BY leaf, template HAVING count(DISTINCT u) >= {n}) GROUP BY u),
+lc AS (SELECT ld.*, string_split(text, chr(10)) AS lines, coalesce(marks, []) AS marks FROM ld LEFT JOIN mk USING (u)),
+lw AS (SELECT *, len(marks) > 0 AND 2 * len({split % "array_to_string(list_filter(lines, lambda x, i: list_contains(marks, i - 1)), chr(10))"}) <= len({split % "coalesce(text, '')"}) AS cut FROM lc),
+lined AS MATERIALIZED (SELECT *, coalesce(len(lines), 0)::BIGINT AS n_lines, len(marks)::BIGINT AS n_template_lines, CASE WHEN cut THEN len(marks) ELSE 0 END::BIGINT AS n_dropped,
+    CASE WHEN cut THEN array_to_string(list_filter(lines, lambda x, i: NOT list_contains(marks, i - 1)), chr(10)) ELSE text END AS rest FROM lw)"""
+
+
+def line_sql() -> str:
+    return f"WITH {line_ctes()} SELECT doc_id, n_lines, n_template_lines, n_dropped, sha256(coalesce(rest, '')) AS kept_sha256 FROM lined"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, near_dedup, oracles, packing, quality, substring, suffix_array, token_counts, token_store
+from . import decontam, lines, near_dedup, oracles, packing, quality, substring, suffix_array, token_counts, token_store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), shingle=2)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_template_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
@@ -48,5 +53,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), carry=["doc_id"]).drop("distance2")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_store, op4_decontamination, op5_near_dedup, op7_token_counts, op8_best_fit_packing, op9_substring_dedup, op10_quality_rules)}
-ORACLES: dict[str, str] = {"op4_decontamination": oracles.contamination_sql(), "op10_quality_rules": oracles.quality_sql()}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_store, op4_decontamination, op5_near_dedup, op6_line_dedup, op7_token_counts, op8_best_fit_packing, op9_substring_dedup, op10_quality_rules)}
+ORACLES: dict[str, str] = {"op4_decontamination": oracles.contamination_sql(), "op6_line_dedup": oracles.line_sql(), "op10_quality_rules": oracles.quality_sql()}
