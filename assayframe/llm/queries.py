@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, near_dedup, oracles, packing, quality, substring, suffix_array, token_counts, token_store
+from . import decontam, lines, near_dedup, oracles, packing, pii, quality, substring, suffix_array, token_counts, token_store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digest(token_store.read_tokens(spark, path))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), key="assay-2024")
+    kinds = [F.size(F.filter("entities", lambda e, k=k: e["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.PATTERNS]
+    return out.select("doc_id", F.size("entities").cast("long").alias("n_entities"), *kinds, F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contamination(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = F.expr("n_hit > 0 AND 20 * n_hit >= n_words")
@@ -53,5 +59,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), carry=["doc_id"]).drop("distance2")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_store, op4_decontamination, op5_near_dedup, op6_line_dedup, op7_token_counts, op8_best_fit_packing, op9_substring_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_store, op3_pii_surrogates, op4_decontamination, op5_near_dedup, op6_line_dedup, op7_token_counts, op8_best_fit_packing, op9_substring_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {"op4_decontamination": oracles.contamination_sql(), "op6_line_dedup": oracles.line_sql(), "op10_quality_rules": oracles.quality_sql()}

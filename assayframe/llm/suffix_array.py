@@ -243,7 +243,8 @@ def merged_hits(slices_: DataFrame) -> DataFrame:
 def repeated_windows(rows: DataFrame, window: int, part_bytes: int = SHARD // 2) -> DataFrame:
     """(r1, r2, a, n): windows of rows (r1, r2, doc_id, text) that also start anywhere else."""
     runs = minimizer_runs(rows, window, min(MINIMIZER, window), "byte").drop("doc_id")
-    keys = runs.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    # a table of its own, so that the join deals out runs anew and can split a key that very many of them have
+    keys = stage(runs.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "keys")
     found = stage(runs.join(keys, "key"), "runs")
     classes = stage(found.groupBy("key", "ctx", "n").agg(F.count("*").alias("c"), F.min(F.struct("r1", "r2", "a")).alias("rep")), "contexts")
     settled = found.join(classes.where("c > 1").select("key", "ctx", "n"), ["key", "ctx", "n"]).select("r1", "r2", "a", "n")
