@@ -5,10 +5,11 @@
 2. Each class is posted under its (coordinate, value) pairs. Two signatures that agree in T places share one of any
    H - T + 1 of them, so only the rarest H - T + 1 are kept (prefix merging); pairs that occur once take up places of
    the prefix but need no list, and the commonest lists are skipped.
-3. In each list the least class leads and is compared with the others: collisions are counted over the whole
-   signatures, and at T or more the full sets decide. Lists whose members then still lie in different components are
-   merged again under further leaders, members of the same component being skipped, until no pair that could add a link
-   is left. No list is expanded into its pairs.
+3. In each list the class with most shared coordinates leads and is compared with the others: collisions are counted
+   over the whole signatures, and at T or more the full sets decide.
+4. Lists whose members then still lie in different components are merged again under further leaders, members of the
+   same component being skipped, until no pair that could add a link is left. Bitmaps of the sets bound how much two of
+   them can share at most, and most pairs fail that bound before they are made. No list is expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from ..operators.graph import connected_components
 from .encode import distinct
 from .ragged import LOWER, mix, prefix, slices, span_hash, word_hashes, words
 from .spark_io import stage
@@ -28,6 +29,8 @@ from .spark_io import stage
 #: Coordinates of a signature, and matches from which full sets are compared. At a similarity of 0.8 fewer than 36 of 64
 #: match with a probability of about one in a million.
 COORDINATES, MATCHES = 64, 36
+#: 64-bit words of a set's bitmap.
+WORDS = 16
 _FACTORS = np.random.default_rng(64).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -91,6 +94,34 @@ def shingle_sets(docs: DataFrame, *, shingle: int) -> DataFrame:
     return docs.select("rep", "text").mapInArrow(collect, f"rep {kind}, members array<bigint>")
 
 
+def set_bitmaps(sets: DataFrame) -> DataFrame:
+    """(rep, size, w0, w1, ...): a set's size, and a bitmap that has a bit for the hash of each member."""
+    kind = sets.schema["rep"].dataType.simpleString()
+    names = [f"w{k}" for k in range(WORDS)]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off = batch.column(1).offsets.to_numpy()
+            bit = batch.column(1).values.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(32)
+            flat = (bit % np.uint64(64 * WORDS)).astype(np.int64) + np.repeat(np.arange(batch.num_rows) * 64 * WORDS, np.diff(off))
+            marks = np.zeros(batch.num_rows * 64 * WORDS, bool)
+            marks[flat] = True
+            table = np.packbits(marks, bitorder="little").view("<i8").reshape(batch.num_rows, WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off).astype(np.int32)), *(pa.array(table[:, k].copy()) for k in range(WORDS))], names=["rep", "size", *names])
+
+    return sets.select("rep", "members").mapInArrow(mark, f"rep {kind}, size int, {', '.join(f'{n} bigint' for n in names)}")
+
+
+def could_link(percent: int) -> str:
+    """Condition on size and bitmap w of a row and hs, h of a leader: false only if the sets cannot be linked.
+
+    A bit that only one has stands for at least one member that the other lacks.
+    """
+    lacks = lambda a, b: " + ".join(f"bit_count({a}{k} & ~{b}{k})" for k in range(WORDS))
+    enough = lambda n, a, b: f"{100 + percent} * ({n} - ({lacks(a, b)})) >= {percent} * (size + hs)"
+    return f"{enough('size', 'w', 'h')} AND {enough('hs', 'h', 'w')}"
+
+
 class _Judge:
     """Tells which pairs (a, b) are links: matches of the signatures first, then the full sets."""
 
@@ -125,34 +156,45 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     post = post.select("rep", F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(0xFFFFFFFF)).alias("cv"))
     often = post.groupBy("cv").agg(F.count("*").alias("f")).where("f > 1")
     shared = post.join(often, "cv").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "cv"))).alias("p")).where(F.size("p") >= MATCHES)
-    lists = stage(shared.select("rep", F.explode(F.expr(f"slice(p, 1, size(p) - {MATCHES - 1})")).alias("x")).select("rep", "x.cv"), "postings")
+    lists = stage(shared.select("rep", F.size("p").alias("p"), F.explode(F.expr(f"slice(p, 1, size(p) - {MATCHES - 1})")).alias("x")).select("rep", "p", "x.cv"), "postings")
 
     wanted = lists.select("rep").distinct()
     sets = stage(shingle_sets(rows.join(wanted, rows.doc_id == wanted.rep).select("rep", "text"), shingle=shingle), "shingles")
     judge = _Judge(reps, sets, percent)
 
-    lead = lists.groupBy("cv").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("cv", "a")
-    live = lists.join(lead, "cv")
-    pairs = stage(live.where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
-    links = stage(judge.links(pairs), "links")
-    live, tested, leaders = live.where("rep <> a").select("cv", "rep"), pairs, 4
+    lead = lists.groupBy("cv").agg(F.max_by("rep", F.struct("p", "rep")).alias("a"), F.count("*").alias("n")).where("n > 1").select("cv", "a")
+    lead = stage(lead, "leaders")
+    live = lists.select("cv", "rep").join(lead, "cv").where("rep <> a")
+    pairs = stage(live.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "pairs")
+    labels = stage(connected_components(judge.links(pairs), lambda e: stage(e, "links")), "labels")
+    live, tested, leaders, bitmaps = live.select("cv", "rep"), pairs, 64, None
+    words_of = [f"w{k}" for k in range(WORDS)]
     while True:
-        labels = stage(components(links), "labels")
         live = live.join(labels, live.rep == labels.id, "left").select("cv", "rep", F.coalesce("component", "rep").alias("comp"))
-        mixed = live.groupBy("cv").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        live = stage(live.join(mixed, "cv").select("cv", "rep", "comp"), "lists")
+        mixed = live.groupBy("cv").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("cv")
+        live = stage(live.join(mixed, "cv"), "lists")
         if live.isEmpty():
             break
+        if bitmaps is None:
+            bitmaps = stage(set_bitmaps(sets.join(live.select("rep").distinct(), "rep", "left_semi")), "bitmaps")
         # the members of a list's smallest components lead next, so one stranger to a large component costs one round
         order = Window.partitionBy("cv").orderBy("n", "comp", "rep")
         heads = live.join(live.groupBy("cv", "comp").agg(F.count("*").alias("n")), ["cv", "comp"]).withColumn("k", F.row_number().over(order))
-        heads = stage(heads.where(F.col("k") <= leaders).select("cv", F.col("rep").alias("h"), F.col("comp").alias("hc")), "leaders")
-        pairs = live.join(heads, "cv").where("comp <> hc").select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct()
+        heads = stage(heads.where(F.col("k") <= leaders).select("cv", "rep", "comp"), "leaders")
+        marked = heads.join(bitmaps, "rep").select("cv", F.col("rep").alias("h"), F.col("comp").alias("hc"), F.col("size").alias("hs"), *[F.col(w).alias(f"h{w[1:]}") for w in words_of])
+        pairs = live.join(bitmaps, "rep").join(stage(marked, "leaders"), "cv").where(f"comp <> hc AND {could_link(percent)}")
+        pairs = pairs.select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b"), F.least("hc", "comp").alias("ca"), F.greatest("hc", "comp").alias("cb")).distinct()
         pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
-        links = stage(links.unionByName(judge.links(pairs)), "links")
-        live = live.join(heads.select("cv", F.col("h").alias("rep")), ["cv", "rep"], "left_anti").select("cv", "rep")
-        leaders *= 4
+        tested = tested.unionByName(pairs.select("a", "b"))
+        found = stage(judge.links(pairs.select("a", "b")), "links")
+        if not found.isEmpty():
+            # what is linked now are components: their links are few, and the labels follow them
+            joined = pairs.join(found, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+            joined = connected_components(joined, lambda e: stage(e, "links")).select(F.col("id").alias("component"), F.col("component").alias("new"))
+            known = labels.unionByName(pairs.select(F.explode(F.array("ca", "cb")).alias("id")).distinct().join(labels, "id", "left_anti").select("id", F.col("id").alias("component")))
+            labels = stage(known.join(joined, "component", "left").select("id", F.coalesce("new", "component").alias("component")), "labels")
+        live = live.join(heads, ["cv", "rep"], "left_anti").select("cv", "rep")
+        leaders *= 16
 
     classes = reps.join(labels, reps.rep == labels.id, "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2"], "left")

@@ -23,7 +23,8 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), key="assay-2024")
-    kinds = [F.size(F.filter("entities", lambda e, k=k: e["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.PATTERNS]
+    count = lambda kind: F.size(F.filter("entities", lambda e: e["kind"] == kind)).cast("long")
+    kinds = [count(k).alias(f"n_{k}") for k in pii.PATTERNS]
     return out.select("doc_id", F.size("entities").cast("long").alias("n_entities"), *kinds, F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
