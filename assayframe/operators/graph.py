@@ -17,24 +17,29 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY_2)
 
 
+def _ordered(links: DataFrame) -> DataFrame:
+    """Links (u, v) with v < u, each once."""
+    return links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether every node of links (u, v) either has links down or up, and one at most down: then v is u's component."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(e.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR down = 1 AND up = 1").isEmpty()
+
+
 def connected_components(links: DataFrame, store: Callable[[DataFrame], DataFrame] = keep) -> DataFrame:
     """(id, component) of every id in links (a, b), by alternating large and small stars.
 
     component is the least id in reach. Each round joins links with one minimum for each node, so a node with very many
-    links is split by the skew join and never gathered; only a count and a checksum reach the driver.
+    links is split by the skew join and never gathered, and ends when only stars are left.
     """
-    ordered = lambda t: t.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, seen = store(ordered(links.select(F.col("a").alias("u"), F.col("b").alias("v")))), None
-    while True:
+    e = store(_ordered(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    while not _stars(e):
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = store(ordered(small))
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    members = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
-    return members.union(e.select("v", "v").distinct())
+        e = store(_ordered(small))
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
