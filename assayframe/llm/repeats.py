@@ -17,16 +17,13 @@ from pyspark.sql import functions as F
 
 from .ragged import byte_values, cover, slices, super_runs, word_hashes, words
 
-RUN = "r1 bigint, r2 bigint, doc_id {}, key bigint, ctx bigint, a int, n int"
-
-
-def minimizer_runs(rows: DataFrame, window: int, k: int, unit: str) -> DataFrame:
-    """(r1, r2, doc_id, key, ctx, a, n) of rows (r1, r2, doc_id, text): n windows from a on; unit is byte or word."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def minimizer_runs(rows: DataFrame, ids: list[str], window: int, k: int, unit: str) -> DataFrame:
+    """(ids..., key, ctx, at) of rows (ids..., text): a run has n windows from a on, at = 256 * a + n; unit: byte or word."""
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ids)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, bounds in slices(batch.column(3)):
+            for i, j, data, bounds in slices(batch.column(len(ids))):
                 if unit == "byte":
                     values, edge = byte_values(data), bounds
                 else:
@@ -34,10 +31,14 @@ def minimizer_runs(rows: DataFrame, window: int, k: int, unit: str) -> DataFrame
                     values = word_hashes(data, start, end)
                 text, a, n, key, ctx = super_runs(values, edge, window, k)
                 if len(text):
-                    own = [batch.column(c).slice(i, j - i).take(pa.array(text)) for c in range(3)]
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(key), pa.array(ctx), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32))], names=["r1", "r2", "doc_id", "key", "ctx", "a", "n"])
+                    own = [batch.column(c).slice(i, j - i).take(pa.array(text)) for c in range(len(ids))]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(key), pa.array(ctx), pa.array(a * 256 + n)], names=[*ids, "key", "ctx", "at"])
+
+    return rows.select(*ids, "text").mapInArrow(runs, f"{kinds}, key bigint, ctx bigint, at bigint")
+
 
-    return rows.select("r1", "r2", "doc_id", "text").mapInArrow(runs, RUN.format(kind))
+#: First window and number of windows of a run.
+FIRST, COUNT = "CAST(at DIV 256 AS INT) AS a", "CAST(at % 256 AS INT) AS n"
 
 
 def list_parts(column: pa.Array, *names: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -49,14 +50,14 @@ def list_parts(column: pa.Array, *names: str) -> tuple[np.ndarray, dict[str, np.
     return np.concatenate([[0], np.cumsum(size)]).astype(np.int64), {x: flat.field(x).to_numpy(zero_copy_only=False) for x in names}
 
 
-def remove_spans(rows: DataFrame, spans: DataFrame, window: int, unit: str) -> DataFrame:
-    """Every row (r1, r2, doc_id, text) less what the windows (r1, r2, a, n) cover.
+def remove_spans(rows: DataFrame, spans: DataFrame, ids: list[str], window: int, unit: str) -> DataFrame:
+    """Every row (ids..., doc_id, text) less what the windows (ids..., a, n) cover.
 
     doc_id, n_units, n_removed, n_spans (maximal removed runs), kept_text as bytes, and its sha256 in hex.
     """
     kind = rows.schema["doc_id"].dataType.simpleString()
-    lists = spans.groupBy("r1", "r2").agg(F.collect_list(F.struct("a", "n")).alias("s"))
-    both = rows.join(lists, ["r1", "r2"], "left").select("doc_id", "text", "s")
+    lists = spans.groupBy(*ids).agg(F.collect_list(F.struct("a", "n")).alias("s"))
+    both = rows.join(lists, ids, "left").select("doc_id", "text", "s")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,7 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df written to the shared folder as Parquet and read again: later passes start there, also after lost executors.
 
-    The folder goes when the driver's JVM ends.
+    The folder goes when the driver's JVM ends. The shuffle files of the job that wrote it are let go at once: a garbage
+    collection tells Spark's cleaner that nothing can read them any more, so a chain of such jobs needs the disk of one.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -27,7 +28,18 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of stage() that nothing reads any more, before the driver ends."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        p = context._jvm.org.apache.hadoop.fs.Path(t._staged_at)
+        p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def row_keys(doc_id: str, text: str) -> tuple[Column, Column]:

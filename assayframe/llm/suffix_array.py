@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ragged import byte_values, gather, prefix, slices, span_hash
-from .repeats import list_parts, minimizer_runs, remove_spans
+from .repeats import COUNT, FIRST, list_parts, minimizer_runs, remove_spans
 from .spark_io import partitions, row_keys, stage
 
 #: Bytes of a minimizer, of text in one suffix array (positions take 21 bits of a packed key), and distinct contexts of
@@ -242,10 +242,10 @@ def merged_hits(slices_: DataFrame) -> DataFrame:
 
 def repeated_windows(rows: DataFrame, window: int, part_bytes: int = SHARD // 2) -> DataFrame:
     """(r1, r2, a, n): windows of rows (r1, r2, doc_id, text) that also start anywhere else."""
-    runs = minimizer_runs(rows, window, min(MINIMIZER, window), "byte").drop("doc_id")
+    runs = minimizer_runs(rows, ["r1", "r2"], window, min(MINIMIZER, window), "byte")
     # a table of its own, so that the join deals out runs anew and can split a key that very many of them have
     keys = stage(runs.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "keys")
-    found = stage(runs.join(keys, "key"), "runs")
+    found = stage(runs.join(keys, "key").selectExpr("r1", "r2", "key", "ctx", FIRST, COUNT), "runs")
     classes = stage(found.groupBy("key", "ctx", "n").agg(F.count("*").alias("c"), F.min(F.struct("r1", "r2", "a")).alias("rep")), "contexts")
     settled = found.join(classes.where("c > 1").select("key", "ctx", "n"), ["key", "ctx", "n"]).select("r1", "r2", "a", "n")
     size = F.sum(F.col("n") + window)
@@ -267,5 +267,5 @@ def byte_dedup(docs: DataFrame, *, window: int = 200, id_col: str = "doc_id", te
     row goes. doc_id may be null or tied. An empty table gives no rows; other columns are not read.
     """
     rows = docs.select(*row_keys(f"`{id_col}`", f"`{text_col}`"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = remove_spans(rows, repeated_windows(rows, window, part_bytes), window, "byte")
+    out = remove_spans(rows, repeated_windows(rows, window, part_bytes), ["r1", "r2"], window, "byte")
     return out.withColumnRenamed("n_units", "n_bytes")
