@@ -59,9 +59,9 @@ def lookup_terms(phrase_table: DataFrame, docs: DataFrame, terms: int = TERMS) -
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(word, r1, r2, pos) wherever a document has one of the terms (word)."""
+    """(word, r1, r2, pos) wherever a document has one of the terms (word), once however often the row is repeated."""
     every = docs.select("r1", "r2", F.posexplode(word_list("text")).alias("pos", "word"))
-    return every.join(_small(terms.select("word").distinct()), "word").select("word", "r1", "r2", "pos")
+    return every.join(_small(terms.select("word").distinct()), "word").select("word", "r1", "r2", "pos").distinct()
 
 
 def phrase_candidates(index: DataFrame, terms: DataFrame) -> DataFrame:

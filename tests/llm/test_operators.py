@@ -254,6 +254,16 @@ def test_contamination(spark, docs, empty):
     assert decontam.contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_contamination_of_repeated_rows(spark):
+    """A repeated row and copies without an id are hit as often as they stand there."""
+    text = "before " + " ".join(f"w{i}" for i in range(20)) + " after"
+    rows = [(1, text), (1, text), (1, text), (None, text), (None, text), (2, text), (3, "w1 w2"), (None, None), (None, None)]
+    items = spark.createDataFrame([(7, " ".join(f"w{i}" for i in range(20))), (8, "after")], "item_id long, text string")
+    got = decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), items).collect()
+    want = collections.Counter((i, 21 if t == text else 0, ("7", "8") if t == text else ()) for i, t in rows)
+    assert collections.Counter((r.doc_id, r.n_hit, tuple(r.item_ids)) for r in got) == want
+
+
 def test_proximity(spark):
     rows = spark.createDataFrame([(1, 1, "alpha x x beta"), (2, 2, "beta " + "x " * 30 + "alpha"), (3, 3, "alpha alpha")], "r1 long, r2 long, text string")
     table = spark.createDataFrame([(["alpha", "beta"], 7)], "phrase array<string>, phrase_id long")
