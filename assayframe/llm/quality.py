@@ -3,7 +3,8 @@
 For every group (lang, source) a regularized minimum-covariance-determinant estimate of the transformed statistics is
 found by concentration: start from medians and quartiles, then repeatedly take the three quarters of the rows nearest to
 the present centre and re-estimate mean and covariance from them. A row is rejected whose squared Mahalanobis distance
-exceeds ``CUTOFF``. Quantiles come from counts over fixed fine bins, so they are exact functions of the rows, combine
+exceeds ``CUTOFF``. Rows of a group under ``LEAST`` rows are judged by the estimate of their language over all sources, and
+those of a language under ``LEAST`` rows by that of the whole table. Quantiles come from counts over fixed fine bins, so they are exact functions of the rows, combine
 before any shuffle, and no group is gathered; group estimates are a few dozen numbers each.
 """
 
@@ -29,8 +30,10 @@ SHARE, FACTOR = 0.75, 1.412
 STEPS = 3
 #: Squared distance above which a row is rejected: fewer than one in ten million normal rows reach it.
 CUTOFF = 42.0
-#: Groups with fewer rows give no estimate; their rows pass.
+#: Sound rows that an estimate needs; a smaller group takes a wider one, and a table with fewer in all has none.
 LEAST = 50
+#: An estimate's rows: those of a language and source (level 0), of a language (1, source null), or all (2, both null).
+KEYS = ["level", "lang", "source"]
 BINS = 200.0
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -87,33 +90,55 @@ def _quantiles(binned: DataFrame, keys: list[str], shares: dict[str, float]) ->
     return total.groupBy(*keys).agg(*[F.expr(f"min(IF(upto >= {q} * total, bin, NULL))").alias(name) for name, q in shares.items()])
 
 
+def _same(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """df joined with other, less its keys, where the keys are equal; null equals null."""
+    other = other.withColumnsRenamed({k: f"o_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"o_{k}")) for k in keys]
+    return df.join(other, on, how).drop(*[f"o_{k}" for k in keys])
+
+
+def levels(sound: DataFrame) -> DataFrame:
+    """(lang, source, level, feeds) of each group: the level it is judged at, null if all rows are too few, and the levels
+    whose estimates its rows belong to. Wider estimates are only made where a small group needs them."""
+    groups = sound.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    langs = groups.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.min("n").alias("least"))
+    every = langs.agg(F.sum("n_lang").alias("n_all"), F.min("n_lang").alias("least_lang"))
+    out = _same(groups, langs, ["lang"]).crossJoin(F.broadcast(every))
+    out = out.withColumn("level", F.expr(f"CASE WHEN n >= {LEAST} THEN 0 WHEN n_lang >= {LEAST} THEN 1 WHEN n_all >= {LEAST} THEN 2 END"))
+    wide = f"array(IF(level = 0, 0, NULL), IF(least < {LEAST} AND n_lang >= {LEAST}, 1, NULL), IF(least_lang < {LEAST} AND n_all >= {LEAST}, 2, NULL))"
+    return out.select("lang", "source", "level", F.array_compact(F.expr(wide)).alias("feeds"))
+
+
+def _at_level(level: Column) -> list[Column]:
+    return [level.alias("level"), F.when(level < 2, F.col("lang")).alias("lang"), F.when(level < 1, F.col("source")).alias("source")]
+
+
 def first_estimates(rows: DataFrame) -> DataFrame:
-    """Per group the medians m_i and, as a diagonal factor, quartile scales l_ii; bins of a thousandth."""
+    """Per KEYS the medians m_i and, as a diagonal factor, quartile scales l_ii; bins of a thousandth."""
     stacked = "stack(5, " + ", ".join(f"'{x}', {x}" for x in NAMES) + ") AS (feature, x)"
-    binned = rows.selectExpr("lang", "source", stacked).selectExpr("lang", "source", "feature", "floor(x * 1000) AS bin")
-    binned = binned.groupBy("lang", "source", "feature", "bin").agg(F.count("*").alias("n"))
-    q = _quantiles(binned, ["lang", "source", "feature"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    binned = rows.selectExpr(*KEYS, stacked).selectExpr(*KEYS, "feature", "floor(x * 1000) AS bin")
+    binned = binned.groupBy(*KEYS, "feature", "bin").agg(F.count("*").alias("n"))
+    q = _quantiles(binned, [*KEYS, "feature"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     pick = [F.expr(f"max(IF(feature = '{x}', q2, NULL)) / 1000.0D").alias(f"m_{x}") for x in NAMES]
     pick += [F.expr(f"sqrt(pow(max(IF(feature = '{x}', q3 - q1, NULL)) / 1349.0D, 2) + {FEATURES[x][1] ** 2})").alias(f"l_{x}_{x}") for x in NAMES]
     zero = [F.lit(0.0).alias(f"l_{a}_{b}") for i, a in enumerate(NAMES) for b in NAMES[:i]]
-    return q.groupBy("lang", "source").agg(*pick).select("*", *zero)
+    return q.groupBy(*KEYS).agg(*pick).select("*", *zero)
 
 
 def factor(moments: DataFrame) -> DataFrame:
-    """Means m_i and Cholesky factor l_i_j of each group's regularized covariance, from means and mean products."""
+    """Means m_i and Cholesky factor l_i_j of each regularized covariance, from means and mean products."""
     out = moments
     for i, a in enumerate(NAMES):
         for b in NAMES[: i + 1]:
             s = f"{FACTOR} * (p_{a}_{b} - m_{a} * m_{b})" + (f" + {FEATURES[a][1] ** 2}" if a == b else "")
             s += "".join(f" - l_{a}_{c} * l_{b}_{c}" for c in NAMES[: NAMES.index(b)])
             out = out.withColumn(f"l_{a}_{b}", F.expr(f"sqrt(greatest({s}, 1e-9))" if a == b else f"({s}) / l_{b}_{b}"))
-    return out.select("lang", "source", *[f"m_{a}" for a in NAMES], *[f"l_{a}_{b}" for i, a in enumerate(NAMES) for b in NAMES[: i + 1]])
+    return out.select(*KEYS, *[f"m_{a}" for a in NAMES], *[f"l_{a}_{b}" for i, a in enumerate(NAMES) for b in NAMES[: i + 1]])
 
 
-def distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """rows of a group with an estimate, with the squared distance d2 (null in groups without)."""
-    e = estimates.withColumnsRenamed({"lang": "e_lang", "source": "e_source"})
-    out = rows.join(e, F.col("lang").eqNullSafe(F.col("e_lang")) & F.col("source").eqNullSafe(F.col("e_source")), "left")
+def distances(rows: DataFrame, estimates: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the squared distance d2 by the estimate of the same keys, null where there is none."""
+    out = _same(rows, estimates, keys, "left")
     for i, a in enumerate(NAMES):
         s = f"{a} - m_{a}" + "".join(f" - l_{a}_{c} * z_{c}" for c in NAMES[:i])
         out = out.withColumn(f"z_{a}", F.expr(f"({s}) / l_{a}_{a}"))
@@ -122,22 +147,22 @@ def distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 
 
 def concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """One step: the nearest SHARE of each group by the given estimates gives the next."""
-    near = distances(rows, estimates).withColumn("bin", F.expr(f"floor(ln(1 + d2) * {BINS})"))
-    counts = near.groupBy("lang", "source", "bin").agg(F.count("*").alias("n"))
-    edge = _quantiles(counts, ["lang", "source"], {"edge": SHARE}).withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
-    kept = near.join(edge, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))).where("bin <= edge")
+    """One step: the nearest SHARE of each estimate's rows by the given estimates gives the next."""
+    near = distances(rows, estimates, KEYS).withColumn("bin", F.expr(f"floor(ln(1 + d2) * {BINS})"))
+    counts = near.groupBy(*KEYS, "bin").agg(F.count("*").alias("n"))
+    kept = _same(near, _quantiles(counts, KEYS, {"edge": SHARE}), KEYS).where("bin <= edge")
     means = [F.avg(a).alias(f"m_{a}") for a in NAMES]
     products = [F.avg(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for i, a in enumerate(NAMES) for b in NAMES[: i + 1]]
-    return factor(kept.groupBy("lang", "source").agg(*means, *products))
+    return factor(kept.groupBy(*KEYS).agg(*means, *products))
 
 
 def quality(docs: DataFrame, *, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The carried columns of docs (all by default), the statistics, base_failed, distance2 and kept.
 
     base_failed: fewer than 50 words, or more than half the words in repeated three-word windows. Other rows are kept
-    unless they are outliers of their (lang, source); a null language or source is a group of its own, and groups under
-    LEAST rows reject nothing (distance2 is null there). A null text has no words and fails. Repeated rows and ties are
+    unless they are outliers of their (lang, source); a null language or source is a group of its own. Groups under LEAST
+    sound rows are judged by their language over all sources, or else by the whole table; a table under LEAST sound rows
+    rejects nothing (distance2 is null there). A null text has no words and fails. Repeated rows and ties are
     judged alike. Columns of docs that clash with the added ones are replaced.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", "kept"]
@@ -147,11 +172,14 @@ def quality(docs: DataFrame, *, carry: list[str] | None = None, id_col: str = "d
     rows = with_statistics(rows).drop("text").withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
     rows = stage(rows.selectExpr("*", *[f"IF(base_failed, NULL, CAST({e} AS DOUBLE)) AS {x}" for x, (e, _) in FEATURES.items()]), "statistics")
     sound = rows.where("NOT base_failed").select("lang", "source", *NAMES)
-    large = sound.groupBy("lang", "source").agg(F.count("*").alias("n")).where(f"n >= {LEAST}").select(F.col("lang").alias("s_lang"), F.col("source").alias("s_source"))
-    sound = sound.join(large, F.col("lang").eqNullSafe(F.col("s_lang")) & F.col("source").eqNullSafe(F.col("s_source"))).drop("s_lang", "s_source")
-    estimates = stage(first_estimates(sound), "estimates")
+    groups = stage(levels(sound), "groups")
+    fed = _same(sound, groups.select("lang", "source", F.explode("feeds").alias("level")), ["lang", "source"])
+    fed = fed.select(*_at_level(F.col("level")), *NAMES)
+    estimates = stage(first_estimates(fed), "estimates")
     for _ in range(STEPS):
-        estimates = stage(concentrate(sound, estimates), "estimates")
-    judged = distances(rows, estimates)
+        estimates = stage(concentrate(fed, estimates), "estimates")
+    judges = groups.select("lang", "source", F.struct(*_at_level(F.col("level"))).alias("at"))
+    judges = _same(judges.select(F.struct("lang", "source").alias("group"), "at.*"), estimates, KEYS).drop(*KEYS).select("group.*", "*").drop("group")
+    judged = distances(rows, judges, ["lang", "source"])
     kept = F.expr(f"NOT base_failed AND coalesce(d2 <= {CUTOFF}, true)")
     return judged.select("row.*", *added[:6], F.when(~F.col("base_failed"), F.col("d2")).alias("distance2"), kept.alias("kept"))

@@ -310,6 +310,17 @@ def test_outliers(spark):
     assert all(got[i] == (i % 5 != 0) for i in got)
 
 
+def test_outliers_of_small_groups(spark):
+    """A group too small for an estimate is judged by its language, a small language by the whole table."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    text = lambda junk: " ".join(word() + "###" * junk for _ in range(rng.randint(60, 400)))
+    places = [("en", "s")] * 100 + [("en", f"site{k}") for k in range(30)] + [("de", f"site{k % 9}") for k in range(60)] + [("es", None), (None, "s"), (None, None), ("fr", "s")] * 3
+    rows = [(i, text(i % 5 == 0), *place) for i, place in enumerate(places)]
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(rows) and all(r.kept == (r.doc_id % 5 != 0) and r.distance2 is not None for r in got)
+
+
 def test_surrogates(docs, empty):
     got = {r.doc_id: r for r in pii.pseudonymize(docs, key="k").collect()}
     mail, frau = got[3 * (len(TEXTS) - 2)], got[3 * (len(TEXTS) - 1)]
