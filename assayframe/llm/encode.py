@@ -1,8 +1,8 @@
 """Token ids of text batches with a per-worker memory of chunks already encoded.
 
 A text is cut where the tokenizer's own first split lets no token cross, so the ids of a text are the ids of its chunks
-one behind another. Chunks are told apart by 64-bit hashes; the memory holds at most ``KEEP`` chunks and starts anew
-when it is full, so a worker's memory is bounded.
+one behind another. Chunks are found by 64-bit hashes and then compared byte by byte; the memory holds at most ``KEEP``
+chunks of ``KEEP_BYTES`` together and starts anew when it is full, so a worker's memory is bounded.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from .ragged import SPACE, gather, prefix, byte_values, slices, span_hash, words
+from .ragged import SPACE, gather, same_spans, slices, word_hashes, words
 
-KEEP = 1 << 21
+KEEP, KEEP_BYTES = 1 << 21, 1 << 26
 #: Chunks in one joint text.
 JOINT = 2000
 MARK = "\x01"
@@ -73,7 +73,7 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ChunkMemory:
-    """Encodings of chunks by hash: a sorted key array, and one pool that holds all encodings."""
+    """Encodings of chunks: a sorted array of their hashes, one pool of all encodings, and one of the chunks' bytes."""
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[list[int], np.ndarray, np.ndarray]], keep: int = KEEP):
         self.encode, self.keep = encode, keep
@@ -81,39 +81,63 @@ class ChunkMemory:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.at, self.length, self.byte_at, self.byte_length = (np.zeros(0, np.int64) for _ in range(4))
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.bytes, self.bytes_used = np.zeros(1 << 16, np.uint8), 0
+
+    def _store(self, ids: np.ndarray) -> int:
+        """Place of new ids in the pool."""
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        raw, size = data.tobytes(), end - start
+        order, length, ids = self.encode([raw[a:b] for a, b in zip(start.tolist(), end.tolist())])
+        at = self._store(ids) + np.cumsum(length) - length
+        held = gather(data, start, size)
+        while self.bytes_used + len(held) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros(len(self.bytes), np.uint8)])
+        self.bytes[self.bytes_used : self.bytes_used + len(held)] = held
+        byte_at = self.bytes_used + np.cumsum(size) - size
+        self.bytes_used += len(held)
+        fresh = keys[order]
+        by = np.argsort(fresh, kind="stable")
+        spot = np.searchsorted(self.keys, fresh[by])
+        order = np.asarray(order)[by]
+        self.keys = np.insert(self.keys, spot, fresh[by])
+        self.at, self.length = np.insert(self.at, spot, at[by]), np.insert(self.length, spot, length[by])
+        self.byte_at, self.byte_length = np.insert(self.byte_at, spot, byte_at[order]), np.insert(self.byte_length, spot, size[order])
 
     def look_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each chunk the place and length of its encoding in the pool."""
-        h = span_hash(prefix(byte_values(data)), start, end)
+        h = word_hashes(data, start, end)
         firsts, inverse = distinct(h)
         keys = h[firsts]
         place = np.searchsorted(self.keys, keys)
         known = place < len(self.keys)
         known[known] = self.keys[place[known]] == keys[known]
         if not known.all():
-            if len(self.keys) > self.keep:
+            if len(self.keys) > self.keep or self.bytes_used > KEEP_BYTES:
                 self.clear()
                 known[:] = False
-            new = np.flatnonzero(~known)
-            raw = data.tobytes()
-            order, length, ids = self.encode([raw[a:b] for a, b in zip(start[firsts[new]].tolist(), end[firsts[new]].tolist())])
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
-            self.pool[self.used : self.used + len(ids)] = ids
-            at = self.used + np.cumsum(length) - length
-            self.used += len(ids)
-            fresh = keys[new][order]
-            by = np.argsort(fresh, kind="stable")
-            spot = np.searchsorted(self.keys, fresh[by])
-            self.keys = np.insert(self.keys, spot, fresh[by])
-            self.at = np.insert(self.at, spot, at[by])
-            self.length = np.insert(self.length, spot, length[by])
+            new = firsts[~known]
+            self._learn(h[new], data, start[new], end[new])
             place = np.searchsorted(self.keys, keys)
-        return self.at[place][inverse], self.length[place][inverse]
+        place = place[inverse]
+        at, length = self.at[place], self.length[place]
+        size = end - start
+        same = size == self.byte_length[place]
+        same[same] = same_spans(data, start[same], self.bytes, self.byte_at[place[same]], size[same])
+        if not same.all():  # another chunk has this one's hash: it is encoded here and not remembered
+            odd = np.flatnonzero(~same)
+            raw = data.tobytes()
+            order, n, ids = self.encode([raw[a:b] for a, b in zip(start[odd].tolist(), end[odd].tolist())])
+            at[odd[order]] = self._store(ids) + np.cumsum(n) - n
+            length[odd[order]] = n
+        return at, length
 
 
 class TextEncoder:

@@ -6,12 +6,15 @@ about ``SLICE`` bytes together, so memory follows the longest text and not the b
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 19
+#: Bytes up to which a span is told apart by a polynomial hash; two different strings of letters need 1,024 to be unsafe.
+PLAIN = 300
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 BASE_INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -102,8 +105,29 @@ def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTE[data]
 
 
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of a cryptographic digest of each span of bytes."""
+    raw = data.tobytes()
+    return np.array([int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little") for a, b in zip(start.tolist(), end.tolist())], np.uint64)
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return span_hash(prefix(_BYTE[data]), start, end)
+    """Hashes of spans of bytes. A sum modulo 2**64 cannot tell some long strings of two letters apart, so spans of more
+    than PLAIN bytes take a digest."""
+    h = span_hash(prefix(_BYTE[data]), start, end)
+    far = np.flatnonzero(end - start > PLAIN)
+    if len(far):
+        h[far] = digests(data, start[far], end[far])
+    return h
+
+
+def same_spans(data: np.ndarray, start: np.ndarray, other: np.ndarray, other_start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether data[start : start + length] and other[other_start : other_start + length] agree, for each span."""
+    total = int(length.sum())
+    differ = np.zeros(total + 1, np.int64)
+    np.cumsum(gather(data, start, length) != gather(other, other_start, length), out=differ[1:])
+    stop = np.cumsum(length)
+    return differ[stop] == differ[stop - length]
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -122,12 +146,12 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def super_runs(values: np.ndarray, bounds: np.ndarray, window: int, k: int):
+def super_runs(values: np.ndarray, bounds: np.ndarray, window: int, k: int, data: np.ndarray | None = None):
     """Runs of neighbouring windows that share their first least k-gram, the super-k-mers of minimizer bucketing.
 
     Returns (text, first window, number of windows, key, context hash) of each run, windows counted from the text's
     start. The key is the k-gram's hash: equal windows have equal keys, and two equal windows are never in one run. A
-    context is all that the run's windows cover.
+    context is all that the run's windows cover. data: the bytes, if the values stand for bytes.
     """
     p = prefix(values)
     n = len(values) - window + 1
@@ -148,7 +172,11 @@ def super_runs(values: np.ndarray, bounds: np.ndarray, window: int, k: int):
         return e, e, e, e, e
     stop = np.minimum(np.append(first[1:], n), np.maximum(bounds[1:][text[first]] - window + 1, 0))
     count = stop - first
-    ctx = span_hash(p, first, first + count + window - 1)
+    stop = first + count + window - 1
+    ctx = span_hash(p, first, stop)
+    far = np.flatnonzero(stop - first > PLAIN)
+    if data is not None and len(far):
+        ctx[far] = digests(data, first[far], stop[far])
     t = text[first]
     return t, first - bounds[:-1][t], count, key[first].view(np.int64), ctx.view(np.int64)
 

@@ -12,40 +12,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ragged import byte_values, cover, slices, super_runs, word_hashes, words
 
+#: Windows of a run from its first on are packed with it as at = STRIDE * a + n.
+STRIDE = 1 << 16
+
+
 def minimizer_runs(rows: DataFrame, ids: list[str], window: int, k: int, unit: str) -> DataFrame:
-    """(ids..., key, ctx, at) of rows (ids..., text): a run has n windows from a on, at = 256 * a + n; unit: byte or word."""
+    """(ids..., key, ctx, at) of rows (ids..., text): a run has n windows from a on, at = STRIDE * a + n; unit: byte or word."""
+    if not 0 < k <= window < STRIDE:
+        raise ValueError(f"a window has at least as many units as its minimizer and fewer than {STRIDE}")
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ids)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, bounds in slices(batch.column(len(ids))):
                 if unit == "byte":
-                    values, edge = byte_values(data), bounds
+                    values, edge, plain = byte_values(data), bounds, data
                 else:
                     start, end, edge = words(data, bounds)
-                    values = word_hashes(data, start, end)
-                text, a, n, key, ctx = super_runs(values, edge, window, k)
+                    values, plain = word_hashes(data, start, end), None
+                text, a, n, key, ctx = super_runs(values, edge, window, k, plain)
                 if len(text):
                     own = [batch.column(c).slice(i, j - i).take(pa.array(text)) for c in range(len(ids))]
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(key), pa.array(ctx), pa.array(a * 256 + n)], names=[*ids, "key", "ctx", "at"])
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(key), pa.array(ctx), pa.array(a * STRIDE + n)], names=[*ids, "key", "ctx", "at"])
 
     return rows.select(*ids, "text").mapInArrow(runs, f"{kinds}, key bigint, ctx bigint, at bigint")
 
 
 #: First window and number of windows of a run.
-FIRST, COUNT = "CAST(at DIV 256 AS INT) AS a", "CAST(at % 256 AS INT) AS n"
+FIRST, COUNT = f"CAST(at DIV {STRIDE} AS INT) AS a", f"CAST(at % {STRIDE} AS INT) AS n"
 
 
 def list_parts(column: pa.Array, *names: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Offsets and the fields of a column of lists of structs; a null is an empty list."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    size = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     flat = column.flatten()
     return np.concatenate([[0], np.cumsum(size)]).astype(np.int64), {x: flat.field(x).to_numpy(zero_copy_only=False) for x in names}
 

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def evidence(rows: DataFrame, window: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = pa.RecordBatch.from_struct_array(pa.StructArray.from_arrays(batch.columns, batch.schema.names).filter(pa.compute.or_(pa.compute.is_valid(batch.column(3)), pa.compute.is_valid(batch.column(4)))))
+            batch = pa.RecordBatch.from_struct_array(pa.StructArray.from_arrays(batch.columns, batch.schema.names).filter(pc.or_(pc.is_valid(batch.column(3)), pc.is_valid(batch.column(4)))))
             at_s, s = list_parts(batch.column(3), "head", "a", "n")
             at_e, e = list_parts(batch.column(4), "key", "a", "n")
             for i, j, data, bounds in slices(batch.column(2)):

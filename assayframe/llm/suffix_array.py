@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ragged import byte_values, gather, prefix, slices, span_hash
+from .ragged import PLAIN, byte_values, digests, gather, prefix, slices, span_hash
 from .repeats import COUNT, FIRST, list_parts, minimizer_runs, remove_spans
 from .spark_io import partitions, row_keys, stage
 
@@ -168,6 +168,8 @@ def _solve(rows: list[dict], window: int) -> Iterator[pa.RecordBatch]:
             place = gather(np.arange(len(text)), start[own], n)
             table = np.zeros(len(place), OWNER)
             table["f1"], table["f2"] = span_hash(p, place, place + window), span_hash(q, place, place + window)
+            if window > PLAIN:
+                table["f2"] = digests(text, place, place + window)
             for f in ("r1", "r2", "open"):
                 table[f] = np.repeat([rows[k][f] for k in own], n)
             table["a"] = place - np.repeat(start[own], n) + np.repeat([rows[k]["a"] for k in own], n)
