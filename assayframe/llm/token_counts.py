@@ -1,7 +1,9 @@
 """Token counts of a sentencepiece BPE model by rank-synchronous array merging.
 
 All pre-tokens of a batch stand in one ragged array. Each step applies to every sequence its pair of the lowest rank
-(the leftmost of equals), then sequences without a pair left retire. A sequence's count is its number of first symbols
+(the leftmost of equals), then sequences without a pair left retire. Sequences of many symbols, which would take as many
+steps, are merged rank by rank instead: all places of the lowest rank left in any of them at once, or those up to the
+first where the symbol made is part of a pair that ranks as low. A sequence's count is its number of first symbols
 less its merges; a character outside the vocabulary counts as its UTF-8 bytes (byte fallback).
 """
 
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 from .encode import ChunkMemory, tokenizer_path
 from .ragged import slices
 
-#: Above so many symbols a sequence is merged by a heap, whose cost does not grow with the square of its length.
+#: Above so many symbols a sequence is merged rank by rank. Both ways count alike; this one's cost does not grow with the
+#: square of the length.
 LONG = 512
 NONE = np.int64(1) << 30
 
@@ -33,16 +36,20 @@ class PieceCounter:
         with open(tokenizer_path(name), "rb") as f:
             model.ParseFromString(f.read())
         t, n = model.trainer_spec, model.normalizer_spec
-        if t.model_type != 2 or not t.byte_fallback or n.name != "identity" or n.remove_extra_whitespaces or any(p.type == 4 for p in model.pieces):
-            raise ValueError("a BPE model with byte fallback, identity normalization and no user-defined symbols is needed")
+        if t.model_type != 2 or not t.byte_fallback or n.name != "identity" or n.remove_extra_whitespaces or any(p.type in (4, 5) for p in model.pieces):
+            raise ValueError("a BPE model with byte fallback, identity normalization and no user-defined or unused pieces is needed")
         self.dummy = n.add_dummy_prefix
-        pieces = {p.piece: p.score for p in model.pieces if p.type in (1, 5)}
+        pieces = {p.piece: p.score for p in model.pieces if p.type == 1}
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("pieces with a blank after other characters are not supported")
         order = {s: r for r, s in enumerate(sorted(set(pieces.values()), reverse=True))}
         ident = {p: i for i, p in enumerate(pieces)}
         self.char = {ord(p): i for p, i in ident.items() if len(p) == 1}
         pairs = [(ident[p[:c]] << 20 | ident[p[c:]], order[s], ident[p]) for p, s in pieces.items() for c in range(1, len(p)) if p[:c] in ident and p[c:] in ident]
+        made = {ident[p]: order[s] for p, s in pieces.items() if len(p) > 1}
+        #: Ranks whose symbol begins or ends a pair of a rank as low: that pair comes before other places of the rank.
+        self.early = np.zeros(len(order), bool)
+        self.early[[made[side] for key, rank, _ in pairs for side in (key >> 20, key & 0xFFFFF) if made.get(side, -1) >= rank]] = True
         table = np.array(sorted(pairs), np.int64)
         self.pair, self.rank, self.merged = (np.ascontiguousarray(c) for c in table.T)
         inside = {ord(c) for p in pieces if len(p) > 1 for c in p}
@@ -88,28 +95,70 @@ class PieceCounter:
                 into[p] = m
         return merges
 
-    def _long(self, sym: list[int]) -> int:
-        """Merges of one long sequence."""
-        table = {k: (r, m) for k, r, m in zip(self.pair.tolist(), self.rank.tolist(), self.merged.tolist())} if not hasattr(self, "_table") else self._table
-        self._table = table
-        n, merges = len(sym), 0
-        after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*table[k], i, sym[i], sym[i + 1]) for i in range(n - 1) if sym[i] >= 0 <= sym[i + 1] and (k := sym[i] << 20 | sym[i + 1]) in table]
-        heap = [(r, i, m, a, b) for r, m, i, a, b in heap]
-        heapq.heapify(heap)
-        while heap:
-            _, i, m, a, b = heapq.heappop(heap)
-            j = after[i]
-            if sym[i] != a or j >= n or sym[j] != b:
+    def long_merge_counts(self, sym: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """merge_counts, rank by rank over all sequences: work follows the merges and the ranks that occur."""
+        n = len(sym)
+        row = np.repeat(np.arange(len(start) - 1), np.diff(start))
+        after, ahead = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank, into = np.full(n, NONE), np.zeros(n, np.int64)
+
+        def rate(p: np.ndarray) -> None:
+            """Rank of the pair that begins at each place p, and the symbol it makes."""
+            q = after[p]
+            inside = q < n
+            inside[inside] = row[p[inside]] == row[q[inside]]
+            r, into[p] = self._look(sym[p], sym[np.minimum(q, n - 1)])
+            rank[p] = np.where(inside, r, NONE)
+
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(p: np.ndarray) -> None:
+            p = p[rank[p] < NONE]
+            p = p[np.argsort(rank[p], kind="stable")]
+            at = np.flatnonzero(np.diff(rank[p], prepend=-1))
+            for r, places in zip(rank[p[at]].tolist(), np.split(p, at[1:])):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(places)
+
+        every = np.arange(n)
+        rate(every)
+        wait(every)
+        merges = np.zeros(len(start) - 1, np.int64)
+        while ranks:
+            r = heapq.heappop(ranks)
+            p = np.unique(np.concatenate(waiting.pop(r)))
+            p = p[rank[p] == r]
+            # of pairs that share a symbol the first, third ... of each chain are merged
+            chained = np.zeros(len(p), bool)
+            chained[1:] = after[p[:-1]] == p[1:]
+            head = np.maximum.accumulate(np.where(chained, 0, np.arange(len(p))))
+            p = p[(np.arange(len(p)) - head) % 2 == 0]
+            if self.early[r] and len(p):
+                # in each sequence up to the first place whose symbol makes a pair of a rank as low
+                made, before, behind = into[p], ahead[p], after[after[p]]
+                low = self._look(made, made)[0] <= r
+                low |= (before >= 0) & (self._look(sym[before], made)[0] <= r)
+                low |= (behind < n) & (self._look(made, sym[np.minimum(behind, n - 1)])[0] <= r)
+                so_far = np.cumsum(low) - low
+                first = np.flatnonzero(np.diff(row[p], prepend=-1))
+                go = so_far == np.repeat(so_far[first], np.diff(np.append(first, len(p))))
+                wait(p[~go])
+                p = p[go]
+            if not len(p):
                 continue
-            sym[i], sym[j] = m, -2
-            after[i] = after[j]
-            if after[j] < n:
-                ahead[after[j]] = i
-            merges += 1
-            for x, y in ((ahead[i], i), (i, after[i])):
-                if x >= 0 and y < n and sym[x] >= 0 <= sym[y] and (k := sym[x] << 20 | sym[y]) in table:
-                    heapq.heappush(heap, (table[k][0], x, table[k][1], sym[x], sym[y]))
+            q = after[p]
+            sym[p], rank[q] = into[p], NONE
+            after[p] = after[q]
+            end = after[p] < n
+            ahead[after[p[end]]] = p[end]
+            merges += np.bincount(row[p], minlength=len(merges))
+            left = ahead[p]
+            near = np.unique(np.concatenate([p, left[left >= 0]]))
+            rate(near)
+            wait(near)
         return merges
 
     def _encode(self, chunks: list[bytes]) -> tuple[range, np.ndarray, np.ndarray]:
@@ -122,12 +171,9 @@ class PieceCounter:
         width = np.where(sym >= 0, 1, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
         count = np.diff(np.concatenate([[0], np.cumsum(width)])[start])
         length = np.diff(start)
-        big = np.flatnonzero(length > LONG)
-        for i in big.tolist():
-            count[i] -= self._long(sym[start[i] : start[i + 1]].tolist())
-        small = np.flatnonzero((length <= LONG) & (length > 1))
-        keep = np.repeat((length <= LONG) & (length > 1), length)
-        count[small] -= self.merge_counts(sym[keep], np.concatenate([[0], np.cumsum(length[small])]))
+        for way, these in ((self.merge_counts, (length > 1) & (length <= LONG)), (self.long_merge_counts, length > LONG)):
+            if these.any():
+                count[these] -= way(sym[np.repeat(these, length)], np.concatenate([[0], np.cumsum(length[these])]))
         return range(len(chunks)), np.ones(len(chunks), np.int64), count.astype(np.uint32)
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -142,6 +188,9 @@ class PieceCounter:
                 data = np.insert(data, bounds[:-1][size > 0], 32)
                 bounds = bounds + np.concatenate([[0], np.cumsum(size > 0)])
             blank = data == 32
+            mark = (data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)
+            for k in range(3):  # a literal blank mark is a blank to the model
+                blank[k : k + len(mark)] |= mark
             begins = blank | self.alone[data]
             begins[1:] &= ~(blank[1:] & blank[:-1])
             begins[bounds[:-1][bounds[:-1] < len(data)]] = True
