@@ -1,9 +1,12 @@
 """Surrogates for personal data and secrets. DataFrame functions only.
 
-Mentions are found by one pattern for each type. A mention's canonical form (digits of a number, lower case of an address
-or name) makes one entity of its differently written mentions, so coreference survives. Every entity gets a replacement
-from a keyed hash that keeps its type, script, gender and format. Replacements are checked against each other and against
-all entities of the corpus; whoever collides draws again until all are distinct.
+One pattern finds all mentions; splitting a text by the same pattern gives the parts between them, so a text is its parts
+and mentions in turn. A mention's canonical form (digits of a number, lower case of an address or name) makes one entity
+of its differently written mentions. People are found by a title before the name; in the same text later mentions of
+the full name, the surname or the first name alone belong to the same entity. Every entity gets a replacement from a
+keyed hash that keeps its type, script, gender and format: names are a given name and a surname with a replacement each,
+an address a local part and a domain. Replacements are checked against each other and against all entities of the corpus;
+whoever collides draws again, from a larger space after some draws, until all are distinct.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from .spark_io import row_keys, stage
 #: Title words before a name by gender (fixed values of the operator, in four languages and Russian).
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа"]
+NEUTRAL = ["Dr", "Prof", "Doctor", "Professor", "Mx", "доктор"]
 #: First names by script and gender, and syllables that surnames are built of.
 FIRST = {
     ("latin", "m"): ["Adrian", "Bruno", "Carl", "Daniel", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Martin", "Nils", "Oscar", "Paul"],
@@ -29,19 +33,36 @@ SYLLABLES = {
     "latin": ["ba", "cor", "del", "fen", "gar", "hol", "jar", "kel", "lin", "mor", "nev", "pol", "ran", "sol", "tam", "vik"],
     "cyrillic": ["ба", "вор", "гал", "дел", "жи", "зор", "кал", "лен", "мор", "нев", "пол", "рам", "сол", "тар", "фен", "шал"],
 }
-_TITLES = "|".join(MALE + FEMALE)
-#: Types in the order in which a mention is tried, with their patterns.
-PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "aws_key": r"\bAKIA[0-9A-Z]{16}\b",
-    "secret": r"(?<=password=|token=|secret=)[A-Za-z0-9]{8,64}\b|(?<=[\"'])[0-9a-f]{32,64}(?=[\"'])",
-    "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
-    "phone": r"(?<![0-9])\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3}[ -][0-9]{3,5}(?![0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])",
-    "name": rf"(?<=\b(?:{_TITLES})\.? )\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
-}
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_CASES = lambda titles: "|".join(x for t in titles for x in dict.fromkeys([t, t[0].upper() + t[1:], t.upper()]))
+_TITLES = _CASES(MALE + FEMALE + NEUTRAL)
+_WORD = rf"(?!(?:{_TITLES})(?![\p{{L}}]))\p{{Lu}}[\p{{L}}'-]+"
+_NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? {_WORD}(?: {_WORD}){{0,2}}"
+_RUN = rf"(?<![\p{{L}}\p{{N}}]){_WORD}(?: {_WORD}){{0,2}}"
+_LABELS = "password|passwd|token|secret|api[_-]?key"
+#: Patterns in the order in which they are tried at a place. A mention is told by its own characters alone.
+PATTERNS = [
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    rf"(?<![A-Za-z])(?i:{_LABELS})[\"']? ?[=:] ?[\"']?(?=[A-Za-z_./+-]*[0-9])[A-Za-z0-9_./+-]{{8,128}}",
+    r"[\"'][0-9a-f]{32,64}[\"']",
+    r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    r"(?<![0-9A-Fa-f:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Fa-f:])",
+    r"(?=[0-9+(])(?:" + "|".join([
+        r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
+        r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+        r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])",
+        r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})){2,5}(?![0-9])",
+        r"(?<![0-9A-Za-z.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])",
+        r"(?<![0-9A-Za-z.,-])(?:\(0[0-9]{1,4}\)|0[0-9]{1,4})[ /-][0-9]{3,8}(?:[ -][0-9]{2,4}){0,2}(?![0-9])",
+    ]) + ")",
+    _NAME,
+]
+PATTERN = "|".join(f"(?:{p})" for p in PATTERNS)
+#: The same for texts that name people: capitalised words too, which may be later mentions.
+NAMING = f"{PATTERN}|(?:{_RUN})"
+KINDS = ["email", "aws_key", "secret", "iban", "ipv6", "ipv4", "ssn", "card", "phone", "name"]
+#: Draws after which a replacement may be longer than what it replaces.
+DRAWS = 8
 
 
 def _digits(x: Column) -> Column:
@@ -55,18 +76,25 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(backwards, value), F.lit(0), lambda t, v: t + v) % 10 == 0
 
 
-def classify(m: Column) -> Column:
-    """Type of a mention, null if it only looks like one (an address part over 255, a failed check digit)."""
-    whole = {k: m.rlike(f"^(?:{p})$") for k, p in PATTERNS.items() if k not in ("name", "secret")}
-    octets = F.forall(F.split(m, r"\."), lambda x: x.cast("int") <= 255)
-    out = F.when(whole["email"], "email").when(whole["aws_key"], "aws_key")
-    out = out.when(whole["ipv4"], F.when(octets, "ipv4")).when(whole["phone"], "phone").when(whole["ssn"], "ssn")
-    out = out.when(whole["card"], F.when(_luhn(_digits(m)), "card"))
-    return out.when(m.rlike(r"^\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?$"), "name").otherwise("secret")
+def _mod97(text: Column) -> Column:
+    """Remainder of the number that a text of digits and capitals (A is 10) stands for."""
+    step = lambda t, c: F.when(c.rlike("[0-9]"), (t * 10 + F.ascii(c) - 48) % 97).otherwise((t * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
 
 
-def canonical(kind: Column, m: Column) -> Column:
-    return F.when(kind.isin("phone", "card", "ssn"), _digits(m)).when(kind.isin("email", "name"), F.lower(m)).otherwise(m)
+def classify(m: Column) -> Column:
+    """Kind of a mention (``run`` for capitalised words), null if it only looks like one: an address part over 255, a failed
+    check digit, too few or too many digits of a telephone number."""
+    octets = F.forall(F.split(m, r"\."), lambda x: x.cast("int") <= 255)
+    squeezed = F.replace(m, F.lit(" "), F.lit(""))
+    out = F.when(m.contains("@"), "email").when(m.rlike("^AKIA[0-9A-Z]{16}$"), "aws_key")
+    out = out.when(m.rlike("^[\"']") | m.rlike(f"^(?i:{_LABELS})[^A-Za-z]"), "secret")
+    out = out.when(m.rlike(f"^{_NAME}$"), "name").when(m.rlike(f"^{_RUN}$"), "run")
+    out = out.when(m.rlike("^[A-Z]{2}[0-9]{2}"), F.when(_mod97(F.concat(F.substring(squeezed, 5, 64), F.substring(squeezed, 1, 4))) == 1, "iban"))
+    out = out.when(m.contains(":"), "ipv6").when(m.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), F.when(octets, "ipv4"))
+    out = out.when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
+    out = out.when(m.rlike("^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})$"), F.when(_luhn(_digits(m)), "card"))
+    return out.when(F.length(_digits(m)).between(8, 15), "phone")
 
 
 def _drawn(seed: Column, n: Column) -> Column:
@@ -75,63 +103,61 @@ def _drawn(seed: Column, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), byte)
 
 
-def _alike(text: Column, seed: Column, first: int | Column = 0) -> Column:
+def _alike(text: Column, seed: Column, first: int = 0, letters: str = "abcdefghijklmnopqrstuvwxyz", digits: str = "0123456789") -> Column:
     """Every letter and digit from place ``first`` on replaced by one of its kind."""
     drawn = _drawn(seed, F.length(text))
-    swap = lambda c, i: (
-        F.when(i < first, c)
-        .when(c.rlike("[0-9]"), F.substring(F.lit("0123456789"), F.get(drawn, i) % 10 + 1, F.lit(1)))
-        .when(c.rlike("[a-z]"), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.get(drawn, i) % 26 + 1, F.lit(1)))
-        .when(c.rlike("[A-Z]"), F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.get(drawn, i) % 26 + 1, F.lit(1)))
-        .otherwise(c)
-    )
+    take = lambda values, i: F.substring(F.lit(values), F.get(drawn, i) % len(values) + 1, F.lit(1))
+    swap = lambda c, i: F.when(i < first, c).when(c.rlike("[0-9]"), take(digits, i)).when(c.rlike("[a-z]"), take(letters, i)).when(c.rlike("[A-Z]"), take(letters.upper(), i)).otherwise(c)
     return F.array_join(F.transform(F.split(text, ""), swap), "")
 
 
 def _hex_alike(text: Column, seed: Column) -> Column:
-    drawn = _drawn(seed, F.length(text))
-    return F.array_join(F.transform(F.split(text, ""), lambda c, i: F.substring(F.lit("0123456789abcdef"), F.get(drawn, i) % 16 + 1, F.lit(1))), "")
+    return _alike(F.regexp_replace(text, "[a-f]", "0"), seed, 0, digits="0123456789abcdef")
 
 
 def _pick(values: list[str], at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
 
 
-def surrogate(kind: Column, canon: Column, gender: Column, attempt: Column, key: str) -> Column:
-    """Replacement of an entity's canonical form."""
+def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
+    """Replacement of an entity's canonical form.
+
+    A given name's canon is its gender (m, f, u), a bar and the name; that of a local part is the whole address, and its
+    replacement keeps the domain, which has one of its own.
+    """
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string")), 256)
-    domain = F.substring_index(canon, "@", -1)
-    stem = F.regexp_replace(domain, r"\.[a-z]+$", "")
-    host = F.concat(_alike(stem, F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 256)), F.regexp_extract(domain, r"\.[a-z]+$", 0))
-    email = F.concat(_alike(F.substring_index(canon, "@", 1), seed), F.lit("@"), host)
+    more = lambda like, free: _alike(F.repeat(F.lit(like), F.greatest(attempt - free, F.lit(0))), F.concat(seed, F.lit("+")))
+    tld = F.regexp_extract(canon, r"\.[a-z]+$", 0)
+    domain = F.concat(more("a", 0), _alike(F.regexp_replace(canon, r"\.[a-z]+$", ""), seed), tld)
+    email = F.concat(_alike(F.substring_index(canon, "@", 1), seed), more("a", 0), F.lit("@"), F.substring_index(canon, "@", -1))
     ip = F.array_join(F.transform(_drawn(seed, F.lit(4)), lambda x: (x % 254 + 1).cast("string")), ".")
-    body = _alike(F.expr("left(canon, length(canon) - 1)"), seed, 1)
+    body = F.concat(_alike(F.expr("left(canon, length(canon) - 1)"), seed, 1), more("0", DRAWS))
     card = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string"))), _luhn)[0]
-    drawn = _drawn(seed, F.lit(8))
+    account = F.concat(_alike(F.substring(canon, 5, 64), seed), more("0", DRAWS))
+    country = F.substring(canon, 1, 2)
+    iban = F.concat(country, F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
+    drawn = _drawn(seed, F.lit(32))
     script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    given = reduce(lambda t, k: t.when((script == k[0]) & (gender == k[1]), _pick(FIRST[k], drawn[0])), FIRST, F.when(F.lit(False), ""))
-    family = reduce(lambda t, k: t.when(script == k, F.concat(*[F.when(F.lit(j) < 3 + attempt, _pick(SYLLABLES[k], drawn[j + 1])).otherwise("") for j in range(6)])), SYLLABLES, F.when(F.lit(False), ""))
-    name = F.lower(F.when(canon.contains(" "), F.concat_ws(" ", given, family)).otherwise(family))
-    secret = F.when(canon.rlike("^[0-9a-f]+$"), _hex_alike(canon, seed)).otherwise(_alike(canon, seed))
-    out = F.when(kind == "email", email).when(kind == "ipv4", ip).when(kind == "card", card).when(kind == "name", name)
-    return out.when(kind == "aws_key", _alike(canon, seed, 4)).when(kind == "secret", secret).otherwise(_alike(canon, seed, 1))
-
-
-def rendered(kind: Column, mention: Column, replacement: Column) -> Column:
-    """The replacement in the format of a mention: separators of a number, capitals of a name or address."""
-    put = lambda t, c: F.struct(F.concat(t["s"], F.when(c.rlike("[0-9]"), F.substring(replacement, t["i"], F.lit(1))).otherwise(c)).alias("s"), F.when(c.rlike("[0-9]"), t["i"] + 1).otherwise(t["i"]).alias("i"))
-    number = F.aggregate(F.split(mention, ""), F.struct(F.lit("").alias("s"), F.lit(1).alias("i")), put)["s"]
-    name = F.when(mention == F.upper(mention), F.upper(replacement)).otherwise(F.initcap(replacement))
-    email = F.when(mention == F.upper(mention), F.upper(replacement)).otherwise(replacement)
-    return F.when(kind.isin("phone", "card", "ssn"), number).when(kind == "name", name).when(kind == "email", email).otherwise(replacement)
-
-
-def surrogate_table(entities: DataFrame, key: str, max_draws: int = 16) -> DataFrame:
-    """(kind, canon, surrogate) of distinct entities (kind, canon, gender), with distinct surrogates that are no entity."""
-    waiting, taken, draw = entities, None, 0
-    real = entities.select("kind", F.col("canon").alias("surrogate"))
+    gender = F.substring(canon, 1, 1)
+    gender = F.when(gender == "u", F.when(drawn[31] % 2 == 0, "m").otherwise("f")).otherwise(gender)
+    joined = lambda pool, sep, n: F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: _pick(pool, F.get(drawn, i))), sep)
+    names = F.least(attempt, F.lit(20))
+    given = F.lower(reduce(lambda t, k: t.when((script == k[0]) & (gender == k[1]), joined(FIRST[k], "-", names)), FIRST, F.when(F.lit(False), "")))
+    family = reduce(lambda t, k: t.when(script == k, joined(SYLLABLES[k], "", names + 2)), SYLLABLES, F.when(F.lit(False), ""))
+    secret = F.concat(F.when(canon.rlike("^[0-9a-f]+$"), _hex_alike(canon, seed)).otherwise(_alike(canon, seed)), more("0", DRAWS))
+    out = F.when(kind == "email", email).when(kind == "domain", domain).when(kind == "ipv4", F.concat(ip, F.when(attempt > DRAWS, F.concat(F.lit("."), more("0", DRAWS))).otherwise("")))
+    out = out.when(kind == "card", card).when(kind == "iban", iban).when(kind == "given", given).when(kind == "surname", family)
+    out = out.when(kind == "aws_key", F.concat(_alike(canon, seed, 4), more("0", DRAWS))).when(kind == "secret", secret)
+    return out.when(kind == "ipv6", F.concat(_hex_alike(canon, seed), more("0", DRAWS))).otherwise(F.concat(_alike(canon, seed, 1), more("0", DRAWS)))
+
+
+def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, canon, surrogate) of distinct entities (kind, canon), with distinct surrogates that are no entity."""
+    waiting, taken, draw = entities.select("kind", "canon"), None, 0
+    bare = F.when(F.col("kind") == "given", F.expr("substring(canon, 3)")).otherwise(F.col("canon"))
+    real = entities.select("kind", bare.alias("surrogate")).distinct()
     while True:
-        tried = waiting.withColumn("attempt", F.lit(draw)).withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), F.col("gender"), F.col("attempt"), key))
+        tried = waiting.withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), F.lit(draw), key))
         first = tried.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon"))
         first = first.join(real, ["kind", "surrogate"], "left_anti")
         if taken is not None:
@@ -142,39 +168,114 @@ def surrogate_table(entities: DataFrame, key: str, max_draws: int = 16) -> DataF
         draw += 1
         if waiting.isEmpty():
             return taken
-        if draw == max_draws:
-            raise ValueError("some entities find no free surrogate of their format")
+
+
+def _filled(mention: Column, replacement: Column, place: str) -> Column:
+    """The mention with the replacement's characters at its places of a class, and what is left of them at its end."""
+    put = lambda t, c: F.struct(F.concat(t["s"], F.when(c.rlike(place), F.substring(replacement, t["i"], F.lit(1))).otherwise(c)).alias("s"), F.when(c.rlike(place), t["i"] + 1).otherwise(t["i"]).alias("i"))
+    end = F.aggregate(F.split(mention, ""), F.struct(F.lit("").alias("s"), F.lit(1).alias("i")), put)
+    return F.concat(end["s"], F.substring(replacement, end["i"], F.length(replacement)))
+
+
+def _cased(like: Column, name: Column) -> Column:
+    """A name in capitals if its mention is, else with first letters in capitals."""
+    parts = F.array_join(F.transform(F.split(name, "-"), F.initcap), "-")
+    return F.when(like == F.upper(like), F.upper(name)).otherwise(parts)
+
+
+def people(e: Column) -> Column:
+    """(full, given, family, gender) of the titled names among mentions (m, kind), in lower case; given may be empty."""
+    gender = lambda m: F.when(m.rlike(f"^(?:{_CASES(FEMALE)})[. ]"), "f").when(m.rlike(f"^(?:{_CASES(MALE)})[. ]"), "m").otherwise("u")
+    full = lambda m: F.lower(F.regexp_replace(m, f"^(?:{_TITLES})\\.? ", ""))
+    person = lambda x: F.struct(F.regexp_replace(full(x["m"]), "(^| )[^ ]+$", "").alias("given"), F.regexp_extract(full(x["m"]), "[^ ]+$", 0).alias("family"), gender(x["m"]).alias("gender"))
+    return F.transform(F.filter(e, lambda x: x["kind"] == "name"), person)
+
+
+def resolve(x: Column, known: Column) -> Column:
+    """(kind, head, body, tail, given, family) of a mention: what of it is replaced and what stands around, and for a name
+    the canonical given name and surname it stands for; kind is null if nothing is replaced."""
+    m, kind = x["m"], x["kind"]
+    name = F.regexp_replace(m, f"^(?:{_TITLES})\\.? ", "")
+    low = F.lower(name)
+    last, ahead = F.regexp_extract(low, "[^ ]+$", 0), F.regexp_replace(low, "(^| )[^ ]+$", "")
+    of = lambda test: F.filter(known, test)
+    same_full = of(lambda p: (p["family"] == last) & (p["given"] == ahead))
+    family = of(lambda p: p["family"] == last)
+    first = of(lambda p: (p["given"] == low) & (p["given"] != ""))
+    canon = lambda p: F.when(p["given"] != "", F.concat(p["gender"], F.lit("|"), p["given"]))
+    none = F.lit(None).cast("string")
+    out = lambda kind, head, body, tail, given, fam: F.struct(kind.alias("kind"), head.alias("head"), body.alias("body"), tail.alias("tail"), given.alias("given"), fam.alias("family"))
+    empty, word = F.lit(""), F.regexp_extract(m, "[^ ]+$", 0)
+    value = F.when(m.rlike("^[\"']"), F.regexp_extract(m, "[0-9a-f]+", 0)).otherwise(F.regexp_extract(m, "[A-Za-z0-9_./+-]{8,}$", 0))
+    around = F.when(m.rlike("^[\"']"), F.substring(m, 1, 1)).otherwise(F.substring(m, F.lit(1), F.length(m) - F.length(value)))
+    run = (
+        F.when((ahead != "") & (F.size(same_full) > 0), out(F.lit("name"), empty, m, empty, canon(F.get(same_full, 0)), last))
+        .when(F.size(family) > 0, out(F.lit("name"), F.substring(m, F.lit(1), F.length(m) - F.length(word)), word, empty, none, last))
+        .when(F.size(first) > 0, out(F.lit("name"), empty, m, empty, canon(F.get(first, 0)), none))
+        .otherwise(out(none, empty, m, empty, none, none))
+    )
+    titled = out(F.lit("name"), F.substring(m, F.lit(1), F.length(m) - F.length(name)), name, empty, F.when(ahead != "", canon(F.get(same_full, 0))), last)
+    secret = out(kind, around, value, F.when(m.rlike("^[\"']"), F.substring(m, -1, 1)).otherwise(empty), none, none)
+    return F.when(kind == "name", titled).when(kind == "run", run).when(kind == "secret", secret).otherwise(out(kind, empty, m, empty, none, none))
+
+
+def find_mentions(texts: DataFrame) -> DataFrame:
+    """(r1, r2, k, kind, head, body, tail, given, family) of all mentions of texts (r1, r2, t), in their order k."""
+    found = texts.where(F.col("t").rlike("[0-9@\"']") | F.col("t").rlike(_NAME)).withColumn("names", F.col("t").rlike(_NAME))
+    every = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(0))
+    found = found.select("r1", "r2", F.when(F.col("names"), every(NAMING)).otherwise(every(PATTERN)).alias("m")).where(F.size("m") > 0)
+    e = found.select("r1", "r2", F.transform("m", lambda m: F.struct(m.alias("m"), classify(m).alias("kind"))).alias("e"))
+    e = e.withColumn("known", people(F.col("e"))).select("r1", "r2", "known", F.posexplode("e").alias("k", "x"))
+    return e.select("r1", "r2", "k", resolve(F.col("x"), F.col("known")).alias("y")).select("r1", "r2", "k", "y.*")
+
+
+def _with(mentions: DataFrame, table: DataFrame, kind: str, canon: str, name: str) -> DataFrame:
+    """mentions with the surrogate of the entity (kind, canon); rows without a canon do not enter the join."""
+    keyed = table.select(F.col("kind").alias("t_kind"), F.col("canon").alias("t_canon"), F.col("surrogate").alias(name))
+    on = (F.expr(kind) == F.col("t_kind")) & (F.col(canon) == F.col("t_canon"))
+    done = mentions.where(F.col(canon).isNotNull()).join(keyed, on).drop("t_kind", "t_canon")
+    return done.unionByName(mentions.where(F.col(canon).isNull()).withColumn(name, F.lit(None).cast("string")))
 
 
 def pseudonymize(docs: DataFrame, *, key: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """All columns of docs with replaced mentions in the text, and ``entities``: array of (kind, mention, surrogate).
 
     Equal entities get equal surrogates in the whole table and different ones different surrogates; the same key gives
-    the same surrogates for the same table. A null text stays null with no entities. Repeated rows get equal results; of
-    colliding entities the least keeps the surrogate. A column named entities is replaced. An empty table gives no rows.
+    the same surrogates for the same table. A null text stays null with no entities; doc_id may be null or tied. Repeated
+    rows get equal results; of colliding entities the least keeps the surrogate, and the others draw on from spaces that
+    grow, so the drawing ends. A column named entities is replaced. An empty table gives no rows.
     """
     kept = [c for c in docs.columns if c != "entities"]
     row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
     rows = docs.select(row, *row_keys(f"`{id_col}`", f"`{text_col}`"))
     text = F.col("row")[text_col]
-    found = rows.select("r1", "r2", text.alias("t")).where(F.col("t").rlike("[0-9@=\"']|" + PATTERNS["name"]))
-    title = F.regexp_extract_all("t", F.lit(rf"\b(?:{_TITLES})(?=\.? \p{{Lu}}[\p{{L}}'-]+)|{PATTERN}"), F.lit(0))
-    # a title is listed before its name, so that the name knows its gender
-    listed = found.select("r1", "r2", F.posexplode(title).alias("k", "m"), title.alias("all"))
-    listed = listed.withColumn("before", F.get("all", F.col("k") - 1)).where(~F.col("m").isin(MALE + FEMALE))
-    listed = listed.select("r1", "r2", "k", "m", F.when(F.col("before").isin(FEMALE), "f").otherwise("m").alias("gender"))
-    mentions = listed.withColumn("kind", classify(F.col("m"))).withColumn("canon", canonical(F.col("kind"), F.col("m")))
+    mentions = find_mentions(rows.select("r1", "r2", text.alias("t")))
+    low, digits = F.lower("body"), _digits(F.col("body"))
+    canon = F.when(F.col("kind").isin("phone", "card", "ssn"), digits).when(F.col("kind") == "iban", F.replace(F.col("body"), F.lit(" "), F.lit("")))
+    canon = canon.when(F.col("kind").isin("email", "ipv6"), low).when(F.col("kind") != "name", F.col("body"))
+    mentions = mentions.withColumn("canon", canon).withColumn("domain", F.when(F.col("kind") == "email", F.substring_index(low, "@", -1)))
     mentions = stage(mentions, "mentions")
-    entities = stage(mentions.where("kind is not null").groupBy("kind", "canon").agg(F.min("gender").alias("gender")), "entities")
+    each = F.array(*[F.struct(F.expr(k).alias("kind"), F.col(c).alias("canon")) for k, c in _REFS])
+    entities = stage(mentions.select(F.explode(each).alias("x")).select("x.*").where("canon IS NOT NULL").distinct(), "entities")
     table = stage(surrogate_table(entities, key), "surrogates")
-    # every mention in its order, so that they fall between the parts of the text
-    done = mentions.join(table, ["kind", "canon"], "left")
-    shown = F.coalesce(rendered(F.col("kind"), F.col("m"), F.col("surrogate")), F.col("m"))
-    lists = done.distinct().groupBy("r1", "r2").agg(F.sort_array(F.collect_list(F.struct("k", "kind", F.col("m").alias("mention"), shown.alias("surrogate")))).alias("e"))
-    both = rows.join(lists, ["r1", "r2"], "left")
-    parts = F.split(text, PATTERN)
-    pieces = F.zip_with(parts, "e", lambda p, e: F.concat(F.coalesce(p, F.lit("")), F.coalesce(e["surrogate"], F.lit(""))))
+    for k, c in _REFS:
+        mentions = stage(_with(mentions, table, k, c, f"new_{c}"), "replaced")
+    own = F.when(F.col("kind").isin("phone", "card", "ssn"), _filled(F.col("body"), F.col("new_canon"), "[0-9]")).when(F.col("kind") == "iban", _filled(F.col("body"), F.col("new_canon"), "[A-Z0-9]"))
+    email = F.concat(F.substring_index("new_canon", "@", 1), F.lit("@"), F.col("new_domain"))
+    own = own.when(F.col("kind") == "email", F.when(F.col("body") == F.upper("body"), F.upper(email)).otherwise(email))
+    own = own.when(F.col("kind") == "name", F.concat_ws(" ", _cased(F.col("body"), F.col("new_given")), _cased(F.col("body"), F.col("new_family"))))
+    own = own.when(F.col("kind").isNotNull(), F.col("new_canon")).otherwise(F.col("body"))
+    shown = mentions.distinct().groupBy("r1", "r2").agg(F.sort_array(F.collect_list(F.struct("k", "kind", "head", F.col("body").alias("mention"), "tail", own.alias("surrogate")))).alias("e"))
+    # texts without a replaced mention stay as they are
+    shown = shown.where(F.exists("e", lambda x: x["kind"].isNotNull()))
+    both = rows.join(shown, ["r1", "r2"], "left")
+    parts = F.when(text.rlike(_NAME), F.split(text, NAMING)).otherwise(F.split(text, PATTERN))
+    pieces = F.zip_with(parts, "e", lambda p, e: F.concat_ws("", p, e["head"], e["surrogate"], e["tail"]))
     new = F.when(F.size("e") > 0, F.array_join(pieces, "")).otherwise(text)
     real = F.transform(F.filter("e", lambda e: e["kind"].isNotNull()), lambda e: F.struct(e["kind"].alias("kind"), e["mention"].alias("mention"), e["surrogate"].alias("surrogate")))
     columns = [new.alias(text_col) if c == text_col else F.col("row")[c].alias(c) for c in kept]
     return both.select(*columns, F.coalesce(real, F.array().cast("array<struct<kind:string,mention:string,surrogate:string>>")).alias("entities"))
+
+
+#: Entities of a mention: expressions of their kind, and the columns of their canonical forms.
+_REFS = [("kind", "canon"), ("'domain'", "domain"), ("'given'", "given"), ("'surname'", "family")]
