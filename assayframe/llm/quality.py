@@ -1,15 +1,19 @@
 """Quality rules: base rules, then robust multivariate outliers within each language and source. DataFrame functions only.
 
 For every group (lang, source) a regularized minimum-covariance-determinant estimate of the transformed statistics is
-found by concentration: start from medians and quartiles, then repeatedly take the three quarters of the rows nearest to
-the present centre and re-estimate mean and covariance from them. A row is rejected whose squared Mahalanobis distance
-exceeds ``CUTOFF``. Rows of a group under ``LEAST`` rows are judged by the estimate of their language over all sources, and
-those of a language under ``LEAST`` rows by that of the whole table. Quantiles come from counts over fixed fine bins, so they are exact functions of the rows, combine
-before any shuffle, and no group is gathered; group estimates are a few dozen numbers each.
+searched by concentration: from each of STARTS, take the half of the rows nearest to the present centre, re-estimate mean
+and covariance from them, and go on until the determinant stops falling. The estimate with the least determinant of all
+starts is kept and reweighted: mean and covariance of all rows within the distance that 97.5 % of normal rows have. A row
+is rejected whose squared Mahalanobis distance exceeds ``CUTOFF``. Equal texts of a group count once in its estimate.
+Groups under ``LEAST`` rows are judged by the estimate of their language over all sources, and those of a language under
+``LEAST`` rows by that of the whole table. Quantiles come from counts over fixed fine bins, so they are exact functions of
+the rows, combine before any shuffle, and no group is gathered; group estimates are a few dozen numbers each.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,30 +29,35 @@ FEATURES = {
 }
 NAMES = list(FEATURES)
 #: Share of a group that concentration keeps, and the factor that makes the covariance of that share consistent for
-#: five normal statistics: 0.75 / P(chi2 with 7 degrees <= 0.75 quantile of chi2 with 5 degrees).
-SHARE, FACTOR = 0.75, 1.412
-STEPS = 3
+#: five normal statistics: share / P(chi2 with 7 degrees <= share's quantile of chi2 with 5 degrees).
+SHARE, FACTOR = 0.5, 1.9122
+#: Squared distance within which rows count in the reweighted estimate (97.5 % of normal rows), and its factor.
+NEAR, NEAR_FACTOR = 12.8325, 1.0555
+#: Centre and scale of each start, as quantiles q1, q2, q3 of a statistic; the shorter half is not blown up by junk.
+_SHORT = "2 * least(q2 - q1, q3 - q2)"
+STARTS = [("q2", "q3 - q1"), ("q2", _SHORT), ("q1", _SHORT), ("q3", _SHORT)]
+#: Concentration ends when the logarithm of the determinant falls by less.
+FALL = 0.001
 #: Squared distance above which a row is rejected: fewer than one in ten million normal rows reach it.
 CUTOFF = 42.0
-#: Sound rows that an estimate needs; a smaller group takes a wider one, and a table with fewer in all has none.
+#: Sound texts that an estimate needs; a smaller group takes a wider one, and a table with fewer in all has none.
 LEAST = 50
 #: An estimate's rows: those of a language and source (level 0), of a language (1, source null), or all (2, both null).
 KEYS = ["level", "lang", "source"]
 BINS = 200.0
 
 WHITE = r"[\x20\x09-\x0D]+"
-BLANKS = " \t\n\x0b\f\r"
+INK = r"[^\x20\x09-\x0D]"
 
 
 def statistics(text: str = "text") -> dict[str, Column]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text column; zeros for null."""
     t = F.coalesce(F.col(text), F.lit(""))
-    ink = F.length(F.translate(t, BLANKS, ""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(INK))
     return {
         "n_words": F.size("w").cast("long"),
-        "word_chars": ink.cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
+        "word_chars": F.length(F.array_join("w", "")).cast("long"),
+        "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": F.expr(REPEATS).cast("long"),
     }
@@ -113,47 +122,75 @@ def _at_level(level: Column) -> list[Column]:
     return [level.alias("level"), F.when(level < 2, F.col("lang")).alias("lang"), F.when(level < 1, F.col("source")).alias("source")]
 
 
+ENTRIES = [(a, b) for i, a in enumerate(NAMES) for b in NAMES[: i + 1]]
+ESTIMATE = [*[f"m_{a}" for a in NAMES], *[f"l_{a}_{b}" for a, b in ENTRIES]]
+
+
 def first_estimates(rows: DataFrame) -> DataFrame:
-    """Per KEYS the medians m_i and, as a diagonal factor, quartile scales l_ii; bins of a thousandth."""
+    """Per KEYS and start the centres m_i and, as a diagonal factor, scales l_ii; quantiles are bins of a thousandth."""
     stacked = "stack(5, " + ", ".join(f"'{x}', {x}" for x in NAMES) + ") AS (feature, x)"
     binned = rows.selectExpr(*KEYS, stacked).selectExpr(*KEYS, "feature", "floor(x * 1000) AS bin")
     binned = binned.groupBy(*KEYS, "feature", "bin").agg(F.count("*").alias("n"))
     q = _quantiles(binned, [*KEYS, "feature"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-    pick = [F.expr(f"max(IF(feature = '{x}', q2, NULL)) / 1000.0D").alias(f"m_{x}") for x in NAMES]
-    pick += [F.expr(f"sqrt(pow(max(IF(feature = '{x}', q3 - q1, NULL)) / 1349.0D, 2) + {FEATURES[x][1] ** 2})").alias(f"l_{x}_{x}") for x in NAMES]
-    zero = [F.lit(0.0).alias(f"l_{a}_{b}") for i, a in enumerate(NAMES) for b in NAMES[:i]]
-    return q.groupBy(*KEYS).agg(*pick).select("*", *zero)
-
-
-def factor(moments: DataFrame) -> DataFrame:
-    """Means m_i and Cholesky factor l_i_j of each regularized covariance, from means and mean products."""
-    out = moments
-    for i, a in enumerate(NAMES):
-        for b in NAMES[: i + 1]:
-            s = f"{FACTOR} * (p_{a}_{b} - m_{a} * m_{b})" + (f" + {FEATURES[a][1] ** 2}" if a == b else "")
-            s += "".join(f" - l_{a}_{c} * l_{b}_{c}" for c in NAMES[: NAMES.index(b)])
-            out = out.withColumn(f"l_{a}_{b}", F.expr(f"sqrt(greatest({s}, 1e-9))" if a == b else f"({s}) / l_{b}_{b}"))
-    return out.select(*KEYS, *[f"m_{a}" for a in NAMES], *[f"l_{a}_{b}" for i, a in enumerate(NAMES) for b in NAMES[: i + 1]])
+    starts = F.array(*[F.struct(F.lit(k).alias("start"), F.expr(c).alias("mid"), F.expr(w).alias("width")) for k, (c, w) in enumerate(STARTS)])
+    q = q.select(*KEYS, "feature", F.explode(starts).alias("s")).select(*KEYS, "feature", "s.*")
+    pick = [F.expr(f"max(IF(feature = '{x}', mid, NULL)) / 1000.0D").alias(f"m_{x}") for x in NAMES]
+    pick += [F.expr(f"sqrt(pow(max(IF(feature = '{x}', width, NULL)) / 1349.0D, 2) + {FEATURES[x][1] ** 2})").alias(f"l_{x}_{x}") for x in NAMES]
+    zero = [F.lit(0.0).alias(f"l_{a}_{b}") for a, b in ENTRIES if a != b]
+    return q.groupBy(*KEYS, "start").agg(*pick).select("*", *zero).select(*KEYS, "start", *ESTIMATE, F.lit(None).cast("double").alias("logdet"))
 
 
-def distances(rows: DataFrame, estimates: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with the squared distance d2 by the estimate of the same keys, null where there is none."""
-    out = _same(rows, estimates, keys, "left")
+def moments(rows: DataFrame, keys: list[str], scale: float) -> DataFrame:
+    """Per key the means m_i, the Cholesky factor l_i_j of the regularized covariance, and its log determinant."""
+    means = [F.avg(a).alias(f"m_{a}") for a in NAMES]
+    products = [F.avg(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a, b in ENTRIES]
+    out = rows.groupBy(*keys).agg(*means, *products)
+    for a, b in ENTRIES:
+        s = f"{scale} * (p_{a}_{b} - m_{a} * m_{b})" + (f" + {FEATURES[a][1] ** 2}" if a == b else "")
+        s += "".join(f" - l_{a}_{c} * l_{b}_{c}" for c in NAMES[: NAMES.index(b)])
+        out = out.withColumn(f"l_{a}_{b}", F.expr(f"sqrt(greatest({s}, 1e-9))" if a == b else f"({s}) / l_{b}_{b}"))
+    return out.select(*keys, *ESTIMATE, F.expr("2 * (" + " + ".join(f"ln(l_{a}_{a})" for a in NAMES) + ")").alias("logdet"))
+
+
+def distances(rows: DataFrame, estimates: DataFrame, keys: list[str], *kept: str, how: str = "inner") -> DataFrame:
+    """rows with the squared distance d2 by each estimate of the same keys, and the kept columns of the estimate."""
+    out = _same(rows, estimates.select(*keys, *kept, *ESTIMATE), keys, how)
     for i, a in enumerate(NAMES):
         s = f"{a} - m_{a}" + "".join(f" - l_{a}_{c} * z_{c}" for c in NAMES[:i])
         out = out.withColumn(f"z_{a}", F.expr(f"({s}) / l_{a}_{a}"))
     out = out.withColumn("d2", F.expr(" + ".join(f"z_{a} * z_{a}" for a in NAMES)))
-    return out.select(*rows.columns, "d2")
+    return out.select(*rows.columns, *kept, "d2")
 
 
 def concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """One step: the nearest SHARE of each estimate's rows by the given estimates gives the next."""
-    near = distances(rows, estimates, KEYS).withColumn("bin", F.expr(f"floor(ln(1 + d2) * {BINS})"))
-    counts = near.groupBy(*KEYS, "bin").agg(F.count("*").alias("n"))
-    kept = _same(near, _quantiles(counts, KEYS, {"edge": SHARE}), KEYS).where("bin <= edge")
-    means = [F.avg(a).alias(f"m_{a}") for a in NAMES]
-    products = [F.avg(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for i, a in enumerate(NAMES) for b in NAMES[: i + 1]]
-    return factor(kept.groupBy(*KEYS).agg(*means, *products))
+    """One step: the nearest SHARE of each estimate's rows by the given estimates gives the next.
+
+    The estimates with their new values, and ``going``: the determinant fell; where it rose, the old values stay.
+    """
+    keys = [*KEYS, "start"]
+    near = distances(rows, estimates, KEYS, "start").withColumn("bin", F.expr(f"floor(ln(1 + d2) * {BINS})"))
+    counts = near.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    inside = _same(near, _quantiles(counts, keys, {"edge": SHARE}), keys).where("bin <= edge")
+    new = moments(inside, keys, FACTOR)
+    values = [*ESTIMATE, "logdet"]
+    both = _same(new, estimates.withColumnsRenamed({c: f"old_{c}" for c in values}), keys)
+    best = [F.expr(f"IF(old_logdet < logdet, old_{c}, {c})").alias(c) for c in values]
+    return both.select(*keys, *best, F.expr(f"old_logdet IS NULL OR old_logdet - logdet >= {FALL}").alias("going"))
+
+
+def least_determinant(rows: DataFrame) -> DataFrame:
+    """Per KEYS the reweighted estimate around that of the least determinant."""
+    going, done = stage(first_estimates(rows), "estimates"), []
+    while not going.isEmpty():
+        step = stage(concentrate(rows, going), "estimates")
+        going = step.where("going").drop("going")
+        done.append(step.where("NOT going").drop("going"))
+    if not done:
+        return going
+    every = reduce(DataFrame.unionByName, done)
+    best = every.groupBy(*KEYS).agg(F.min_by(F.struct(*ESTIMATE), F.struct("logdet", "start")).alias("e")).select(*KEYS, "e.*")
+    near = distances(rows, stage(best, "estimates"), KEYS).where(f"d2 <= {NEAR}")
+    return stage(moments(near, KEYS, NEAR_FACTOR), "estimates")
 
 
 def quality(docs: DataFrame, *, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -161,7 +198,7 @@ def quality(docs: DataFrame, *, carry: list[str] | None = None, id_col: str = "d
 
     base_failed: fewer than 50 words, or more than half the words in repeated three-word windows. Other rows are kept
     unless they are outliers of their (lang, source); a null language or source is a group of its own. Groups under LEAST
-    sound rows are judged by their language over all sources, or else by the whole table; a table under LEAST sound rows
+    sound texts are judged by their language over all sources, or else by the whole table; a table under LEAST sound texts
     rejects nothing (distance2 is null there). A null text has no words and fails. Repeated rows and ties are
     judged alike. Columns of docs that clash with the added ones are replaced.
     """
@@ -169,17 +206,14 @@ def quality(docs: DataFrame, *, carry: list[str] | None = None, id_col: str = "d
     carry = [c for c in (docs.columns if carry is None else carry) if c not in added]
     row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
     rows = docs.select(row, F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{source_col}`").alias("source"))
-    rows = with_statistics(rows).drop("text").withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
+    rows = with_statistics(rows.withColumn("copy", F.xxhash64("text"))).drop("text").withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
     rows = stage(rows.selectExpr("*", *[f"IF(base_failed, NULL, CAST({e} AS DOUBLE)) AS {x}" for x, (e, _) in FEATURES.items()]), "statistics")
-    sound = rows.where("NOT base_failed").select("lang", "source", *NAMES)
+    sound = stage(rows.where("NOT base_failed").select("lang", "source", "copy", *NAMES).distinct().drop("copy"), "sound")
     groups = stage(levels(sound), "groups")
     fed = _same(sound, groups.select("lang", "source", F.explode("feeds").alias("level")), ["lang", "source"])
-    fed = fed.select(*_at_level(F.col("level")), *NAMES)
-    estimates = stage(first_estimates(fed), "estimates")
-    for _ in range(STEPS):
-        estimates = stage(concentrate(fed, estimates), "estimates")
+    estimates = least_determinant(fed.select(*_at_level(F.col("level")), *NAMES))
     judges = groups.select("lang", "source", F.struct(*_at_level(F.col("level"))).alias("at"))
     judges = _same(judges.select(F.struct("lang", "source").alias("group"), "at.*"), estimates, KEYS).drop(*KEYS).select("group.*", "*").drop("group")
-    judged = distances(rows, judges, ["lang", "source"])
+    judged = distances(rows, judges, ["lang", "source"], how="left")
     kept = F.expr(f"NOT base_failed AND coalesce(d2 <= {CUTOFF}, true)")
     return judged.select("row.*", *added[:6], F.when(~F.col("base_failed"), F.col("d2")).alias("distance2"), kept.alias("kept"))

@@ -24,7 +24,7 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), key="assay-2024")
     count = lambda kind: F.size(F.filter("entities", lambda e: e["kind"] == kind)).cast("long")
-    kinds = [count(k).alias(f"n_{k}") for k in pii.PATTERNS]
+    kinds = [count(k).alias(f"n_{k}") for k in pii.KINDS]
     return out.select("doc_id", F.size("entities").cast("long").alias("n_entities"), *kinds, F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -41,7 +41,7 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_template_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_template_lines", "n_dropped", "copied", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
