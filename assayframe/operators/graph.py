@@ -22,24 +22,32 @@ def _ordered(links: DataFrame) -> DataFrame:
     return links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _stars(e: DataFrame) -> bool:
-    """Whether every node of links (u, v) either has links down or up, and one at most down: then v is u's component."""
-    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(e.select("v", F.lit(0), F.lit(1)))
-    return ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR down = 1 AND up = 1").isEmpty()
+#: Rows up to which a table of one least neighbour for each node is broadcast (two ids a row); above, joins shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def _least(links: DataFrame, store: Callable[[DataFrame], DataFrame], *more) -> DataFrame:
+    """(u, m) of each node of links (u, v): its least neighbour, stored, and broadcast where it is counted to be small."""
+    low = store(links.groupBy("u").agg(F.min("v").alias("m"), *more))
+    return F.broadcast(low) if low.count() <= BROADCAST_ROWS else low
 
 
 def connected_components(links: DataFrame, store: Callable[[DataFrame], DataFrame] = keep) -> DataFrame:
     """(id, component) of every id in links (a, b), by alternating large and small stars.
 
     component is the least id in reach. Each round joins links with one minimum for each node, so a node with very many
-    links is split by the skew join and never gathered, and ends when only stars are left.
+    links is split by the skew join and never gathered, and ends when only stars are left: then every node has links
+    down or up and one down at most, to its component.
     """
     e = store(_ordered(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    while not _stars(e):
+    while True:
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = _least(both, store, F.count_if(F.col("v") < F.col("u")).alias("down"), F.max(F.col("v") > F.col("u")).alias("up"))
+        if low.where("down > 1 OR down = 1 AND up").isEmpty():
+            break
+        low = low.select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = _least(large, store)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         e = store(_ordered(small))
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
