@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import classify_column, classify_columns, col, numeric_columns, require, string_columns
-from .profile import _tidy
+from .profile import CHUNK, _tidy
 from .relational import duplicate_counts
 
 # Words for a missing assay, and the form of a value with a detection limit.
@@ -46,17 +46,19 @@ def validate_geology(df: DataFrame) -> DataFrame:
     absent = [("missing_column", k, 1) for k in ("hole_id", "lat", "lon", "geochem") if k not in kinds]
     out = spark.createDataFrame(absent, "check string, column string, n long")
     text, numbers = set(string_columns(df)), set(numeric_columns(df))
-    assay_text = [c for c in df.columns if c in text and classify_column(c) == "geochem"]
-    assay_numbers = [c for c in df.columns if c in numbers and classify_column(c) == "geochem"]
-    named = lambda t, check, n: t.select(F.lit(check).alias("check"), "column", F.col(n).alias("n"))
-    if assay_text:
-        out = out.union(named(detection_limit_counts(df, assay_text), "detection_limits", "n_limits"))
-    if text:
-        commas = comma_decimal_counts(df, [c for c in df.columns if c in text])
-        out = out.union(named(commas, "comma_decimals", "definite")).union(named(commas, "ambiguous_commas", "ambiguous"))
-    if assay_numbers:
-        negative = _tidy(df, assay_numbers, {"n": (lambda c: F.count_if(col(c) < 0), "long")})
-        out = out.union(named(negative, "negative_values", "n"))
+    counts = []
+    for c in df.columns:
+        assay = classify_column(c) == "geochem"
+        if c in text:
+            counts.append(("comma_decimals", c, (_comma_digits(col(c)) > 0) & (_comma_digits(col(c)) != 3)))
+            counts.append(("ambiguous_commas", c, _comma_digits(col(c)) == 3))
+            if assay:
+                counts.append(("detection_limits", c, is_detection_limit(col(c))))
+        elif c in numbers and assay:
+            counts.append(("negative_values", c, col(c) < 0))
+    for i in range(0, len(counts), CHUNK):
+        cells = [F.struct(F.lit(k).alias("check"), F.lit(c).alias("column"), F.count_if(test).alias("n")) for k, c, test in counts[i : i + CHUNK]]
+        out = out.union(df.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("x")).select("x.*"))
     copies = duplicate_counts(df, [df.columns])
     out = out.union(copies.select(F.lit("duplicate_rows"), F.lit("*"), "duplicates"))
     depth = next((c for c in df.columns if c.lower() in DEPTH_NAMES), None)

@@ -43,7 +43,7 @@ def row_condition(df: DataFrame, column: str, op: str, value: str | None = None)
             values = [x for v in values if (x := _number(v)) is not None]
         return p.isin(c, values) if op == "in" else p.not_in(c, values)
     if op == "contains":
-        text = F.regexp_replace(c.cast("decimal(38,10)").cast("string"), r"\.?0+$", "") if numeric and df.schema[column].dataType.simpleString() == "double" else c.cast("string")
+        text = F.coalesce(F.regexp_replace(c.try_cast("decimal(38,10)").cast("string"), r"\.?0+$", ""), c.cast("string")) if numeric and df.schema[column].dataType.simpleString() == "double" else c.cast("string")
         return F.coalesce(text.rlike(f"(?i){value}"), F.lit(False))
     raise ValueError(f"unknown operator {op!r}")
 

@@ -53,7 +53,7 @@ def _graded(h: DataFrame, actual: Column, correct: Column) -> DataFrame:
 def grade_correlation(h: DataFrame, pairs: DataFrame) -> DataFrame:
     """Correlation claims against (col_a, col_b, r): direction (none: |r| <= 0.1) and magnitude range both have to hold."""
     both = pairs.select("col_a", "col_b", "r").union(pairs.select("col_b", "col_a", "r")).dropDuplicates(["col_a", "col_b"])
-    out = h.join(F.broadcast(both), (h.column_a == both.col_a) & (h.column_b == both.col_b), "left")
+    out = h.join(both, (h.column_a == both.col_a) & (h.column_b == both.col_b), "left")
     r = F.col("r")
     way = F.when(F.col("direction") == "positive", r > 0).when(F.col("direction") == "negative", r < 0).when(F.col("direction") == "none", F.abs(r) <= 0.1).otherwise(True)
     return _graded(out, r, way & F.coalesce(_within(r, "magnitude_range"), F.lit(True))).drop("col_a", "col_b", "r")
@@ -61,13 +61,13 @@ def grade_correlation(h: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def grade_distribution(h: DataFrame, stats: DataFrame) -> DataFrame:
     """Whether the mean of column_a (stats: column, mean) lies in value_range; without a range there is no verdict."""
-    out = h.join(F.broadcast(stats.select("column", "mean")), h.column_a == F.col("column"), "left")
+    out = h.join(stats.select("column", "mean"), h.column_a == F.col("column"), "left")
     return _graded(out, F.when(F.col("value_range").isNotNull(), F.col("mean")), _within(F.col("mean"), "value_range")).drop("column", "mean")
 
 
 def grade_cluster(h: DataFrame, sizes: DataFrame) -> DataFrame:
     """The number of clusters, or the size of cluster_id, in count_range or equal to expected_count; sizes: cluster, size."""
-    own = h.join(F.broadcast(sizes), h.cluster_id == F.col("cluster"), "left").join(F.broadcast(sizes.agg(F.count("*").alias("_k"))))
+    own = h.join(sizes, h.cluster_id == F.col("cluster"), "left").join(F.broadcast(sizes.agg(F.count("*").alias("_k"))))
     actual = F.when(F.col("cluster_id").isNull(), F.col("_k")).otherwise(F.coalesce("size", F.lit(0)))
     fits = F.coalesce(_within(actual, "count_range"), actual == F.col("expected_count"))
     known = F.col("cluster_id").isNull() | F.col("size").isNotNull()
@@ -76,7 +76,7 @@ def grade_cluster(h: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def grade_anomaly(h: DataFrame, counts: DataFrame) -> DataFrame:
     """Anomalies of column_a (counts: column, n) in count_range, or within max(1, 10 %) of expected_count."""
-    out = h.join(F.broadcast(counts), h.column_a == F.col("column"), "left")
+    out = h.join(counts, h.column_a == F.col("column"), "left")
     close = F.abs(F.col("n") - F.col("expected_count")) <= F.greatest(F.lit(1.0), 0.1 * F.col("expected_count"))
     fits = F.coalesce(_within(F.col("n"), "count_range"), close)
     return _graded(out, F.when(fits.isNotNull(), F.col("n")), fits).drop("column", "n")
@@ -86,8 +86,8 @@ def grade_existence(h: DataFrame, df: DataFrame, columns: list[str]) -> DataFram
     """Whether any value of column_a lies above the threshold; the actual value is how many do."""
     claims = h.where(F.col("column_a").isin(columns) & F.col("threshold").isNotNull()).select(F.col("column_a").alias("column"), F.col("threshold").alias("t")).distinct()
     long = df.select(*[F.col(c).cast("double") for c in columns]).unpivot([], columns, "column", "v")
-    found = long.join(F.broadcast(claims), "column").groupBy("column", "t").agg(F.count_if(F.col("v") > F.col("t")).alias("n"))
-    out = h.join(F.broadcast(found), (h.column_a == F.col("column")) & (h.threshold == F.col("t")), "left")
+    found = long.join(claims, "column").groupBy("column", "t").agg(F.count_if(F.col("v") > F.col("t")).alias("n"))
+    out = h.join(found, (h.column_a == F.col("column")) & (h.threshold == F.col("t")), "left")
     return _graded(out, F.col("n"), F.col("n") > 0).drop("column", "t", "n")
 
 
@@ -103,9 +103,13 @@ def grade_count(h: DataFrame, result: dict[str, float]) -> DataFrame:
     return _graded(h, F.when(fits.isNotNull(), actual), fits)
 
 
-def to_samples(graded: DataFrame, question: str, code: str) -> DataFrame:
+#: Text of a sample's prompt; {question} and {code} are filled in.
+PROMPT = "{question}\n\nSteps that ran:\n{code}\n\nWhat will they show? Name the columns, and how large the effect or the count will be."
+
+
+def to_samples(graded: DataFrame, question: str, code: str, template: str = PROMPT) -> DataFrame:
     """Training samples of the graded predictions: prompt, completion, score, verdict; ungraded ones are left out."""
-    prompt = f"Question: {question}\n\nOperations:\n{code}\n\nGive a specific, testable prediction about the output, with numbers, directions or ranges."
+    prompt = template.format(question=question, code=code)
     out = graded.where("is_correct IS NOT NULL")
     return out.select(F.lit(prompt).alias("prompt"), F.col("text").alias("completion"), specificity_score().alias("specificity_score"), F.col("is_correct").alias("correct"), "claim_type", F.col("actual_value").cast("string").alias("actual_value"), F.when(F.col("is_correct"), "correct").otherwise("rejected").alias("verdict"))
 

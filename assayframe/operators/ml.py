@@ -5,17 +5,26 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, require
 from .graph import connected_components, keep
 
 
+def _complete(columns: list[str]) -> Column:
+    """Whether a row has all the columns.
+
+    Operators store their input before they filter by this: over a projection that makes many columns out of an array,
+    the optimizer would try all combinations of the columns and what they are made of.
+    """
+    return F.forall(F.array(*[col(c).cast("double") for c in columns]), lambda x: x.isNotNull())
+
+
 def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows without nulls in the columns, plus z0, z1, ... by mean and population deviation (0 divides by 1)."""
     require(df, columns)
-    rows = df.where(reduce(lambda a, b: a & b, [col(c).isNotNull() for c in columns]))
+    rows = df.where(_complete(columns))
     stats = rows.agg(*[F.avg(col(c)).alias(f"_m{k}") for k, c in enumerate(columns)], *[F.stddev_pop(col(c)).alias(f"_s{k}") for k, c in enumerate(columns)])
     z = {f"z{k}": (col(c) - F.col(f"_m{k}")) / F.when(F.col(f"_s{k}") == 0, 1.0).otherwise(F.col(f"_s{k}")) for k, c in enumerate(columns)}
     out = rows.join(F.broadcast(stats)).withColumns(z)
@@ -32,10 +41,11 @@ def kmeans(df: DataFrame, columns: list[str], k: int = 3, seed: int = 42) -> Dat
     """df with cluster_kmeans; null for rows with a null feature. Fitted by Spark's parallel k-means."""
     from pyspark.ml.clustering import KMeans
 
+    df = keep(df)
     rows = _vectors(standardized(df, columns), len(columns))
     model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster_kmeans").fit(rows)
     done = model.transform(rows).select(*df.columns, "cluster_kmeans")
-    rest = df.where(reduce(lambda a, b: a | b, [col(c).isNull() for c in columns]))
+    rest = df.where(~_complete(columns))
     return done.unionByName(rest.withColumn("cluster_kmeans", F.lit(None).cast("int")))
 
 
@@ -48,13 +58,14 @@ def pca(df: DataFrame, columns: list[str], n: int = 2) -> tuple[DataFrame, list[
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import vector_to_array
 
+    df = keep(df)
     rows = _vectors(standardized(df, columns), len(columns))
     model = PCA(k=n, inputCol="_v", outputCol="_p").fit(rows)
     loadings = model.pc.toArray()
     sign = np.sign(loadings[np.abs(loadings).argmax(axis=0), range(n)])
     done = model.transform(rows).withColumn("_p", vector_to_array("_p"))
     done = done.select(*df.columns, *[(F.col("_p")[i] * float(sign[i])).alias(f"PCA{i + 1}") for i in range(n)])
-    rest = df.where(reduce(lambda a, b: a | b, [col(c).isNull() for c in columns]))
+    rest = df.where(~_complete(columns))
     out = done.unionByName(rest.withColumns({f"PCA{i + 1}": F.lit(None).cast("double") for i in range(n)}))
     return out, [float(x) for x in model.explainedVariance]
 
@@ -72,7 +83,7 @@ def dbscan(df: DataFrame, columns: list[str], row_id: str, eps: float = 0.5, min
     neighbouring cells, so data much denser than eps is costly.
     """
     n, z = len(columns), [f"z{k}" for k in range(len(columns))]
-    points = keep(standardized(df.select(col(row_id).alias("id"), *[col(c) for c in columns]), columns).select("id", *z))
+    points = keep(standardized(keep(df.select(col(row_id).alias("id"), *[col(c) for c in columns])), columns).select("id", *z))
     spread = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in z]).first()
     axes = sorted(range(n), key=lambda k: -(spread[k] or 0))[:3]
     cells = points.withColumn("cell", F.array(*[F.floor(F.col(f"z{k}") / eps) for k in axes]))

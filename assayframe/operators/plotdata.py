@@ -63,3 +63,12 @@ def cluster_summary(df: DataFrame, x: str, y: str, label: str) -> DataFrame:
     require(df, [x, y, label])
     box = [f(col(c).cast("double")).alias(f"{n}_{k}") for c, k in ((x, "x"), (y, "y")) for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
     return df.groupBy(col(label).alias("cluster")).agg(F.count("*").alias("n"), *box)
+
+
+def cluster_bins(df: DataFrame, x: str, y: str, label: str, bins: int = 50) -> DataFrame:
+    """cluster, x_bin, y_bin, n: the points of each label in the cells of one bins x bins grid over all of them."""
+    require(df, [x, y, label])
+    rows = df.where(col(x).isNotNull() & col(y).isNotNull())
+    span = rows.agg(*[f(col(c).cast("double")).alias(n) for c, n, f in ((x, "x0", F.min), (x, "x1", F.max), (y, "y0", F.min), (y, "y1", F.max))])
+    place = lambda c, k: F.when(F.col(f"{k}1") == F.col(f"{k}0"), 0).otherwise(F.least(F.floor((col(c) - F.col(f"{k}0")) / (F.col(f"{k}1") - F.col(f"{k}0")) * bins), F.lit(bins - 1))).cast("int")
+    return rows.join(F.broadcast(span)).groupBy(col(label).alias("cluster"), place(x, "x").alias("x_bin"), place(y, "y").alias("y_bin")).agg(F.count("*").alias("n"))

@@ -87,28 +87,31 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = columns or numeric_columns(df)
     require(df, columns)
     r = lambda x: F.round(x, 4)
-    q = lambda share: lambda c: r(F.percentile(col(c), F.lit(share)))
-    return _tidy(df, columns, {
+    out = _tidy(df, columns, {
         "count": (lambda c: F.count(col(c)), "long"),
         "mean": (lambda c: r(F.avg(col(c))), "double"),
         "std": (lambda c: r(F.stddev_samp(col(c))), "double"),
         "min": (lambda c: r(F.min(col(c).cast("double"))), "double"),
-        "p25": (q(0.25), "double"),
-        "p50": (q(0.5), "double"),
-        "p75": (q(0.75), "double"),
+        "q": (lambda c: F.percentile(col(c), F.lit([0.25, 0.5, 0.75])), "array<double>"),
         "max": (lambda c: r(F.max(col(c).cast("double"))), "double"),
     })
+    quartiles = [r(F.get("q", i)).alias(n) for i, n in enumerate(("p25", "p50", "p75"))]
+    return out.select("column", "count", "mean", "std", "min", *quartiles, "max")
 
 
 def percentiles(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """column, p1, p5, p10, p25, p50, p75, p90, p95, p99 with linear interpolation, 4 places.
 
-    approx takes sketches instead of exact value counts, for columns of very many distinct values.
+    All shares of a column come from one aggregate. approx takes sketches instead of exact value counts, for columns of
+    very many distinct values.
     """
     columns = columns or numeric_columns(df)
     require(df, columns)
-    f = (lambda c, s: F.percentile_approx(col(c).cast("double"), F.lit(s), F.lit(10000))) if approx else (lambda c, s: F.percentile(col(c), F.lit(s)))
-    return _tidy(df, columns, {f"p{p}": ((lambda c, p=p: F.round(f(c, p / 100), 4)), "double") for p in (1, 5, 10, 25, 50, 75, 90, 95, 99)})
+    names = (1, 5, 10, 25, 50, 75, 90, 95, 99)
+    shares = F.lit([n / 100 for n in names])
+    f = (lambda c: F.percentile_approx(col(c).cast("double"), shares, F.lit(10000))) if approx else (lambda c: F.percentile(col(c), shares))
+    out = _tidy(df, columns, {"q": (f, "array<double>")})
+    return out.select("column", *[F.round(F.get("q", i), 4).alias(f"p{n}") for i, n in enumerate(names)])
 
 
 def pearson(a: Column, b: Column) -> Column:

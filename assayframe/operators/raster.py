@@ -42,32 +42,52 @@ def band_math(cells: DataFrame, expression: str | Column) -> DataFrame:
     return cells.select(*KEYS, F.when(F.isnan(out) | (F.abs(out) == float("inf")), None).otherwise(out).alias("b1"))
 
 
-def clip_to_extent(cells: DataFrame, meta: DataFrame, box: tuple[float, float, float, float], crs: str | None = None) -> DataFrame:
-    """Cells whose centre lies in the box (min_x, min_y, max_x, max_y), with row and col counted in the clipped window.
-
-    The box may be in another system: its corners are projected. A box beyond every cell gives no rows.
-    """
-    if crs is not None:
-        # the corners of the box in each raster's own system, found on the one-row-per-raster table
-        codes = [r["crs"] for r in meta.select("crs").distinct().collect()]
-        parts = [_clipped(cells.join(F.broadcast(meta.where(F.col("crs").eqNullSafe(code)).select("raster_id")), "raster_id", "left_semi"), meta, box, (crs, code)) for code in codes]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.union(p)
-        return out
-    return _clipped(cells, meta, box, None)
-
-
-def _clipped(cells: DataFrame, meta: DataFrame, box: tuple, systems: tuple | None) -> DataFrame:
+def _box(box: tuple, systems: tuple | None) -> list[Column]:
+    """Bounds of the box in a raster's own system."""
     x0, y0, x1, y1 = map(F.lit, map(float, box))
     if systems and systems[0] != systems[1]:
         corners = [projected(x, y, *systems) for x in (x0, x1) for y in (y0, y1)]
         x0, x1 = F.least(*[c[0] for c in corners]), F.greatest(*[c[0] for c in corners])
         y0, y1 = F.least(*[c[1] for c in corners]), F.greatest(*[c[1] for c in corners])
-    inside = cells.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
-    first = meta.select("raster_id", F.greatest(F.floor((x0 - F.col("c")) / F.col("a")), F.lit(0)).alias("_col"), F.greatest(F.floor((y1 - F.col("f")) / F.col("e")), F.lit(0)).alias("_row"))
-    out = inside.join(F.broadcast(first), "raster_id")
-    return out.select("raster_id", (F.col("row") - F.col("_row")).cast("int").alias("row"), (F.col("col") - F.col("_col")).cast("int").alias("col"), "x", "y", *band_names(cells))
+    return [x0, y0, x1, y1]
+
+
+def _windows(meta: DataFrame, box: tuple, crs: str | None) -> DataFrame:
+    """meta with the box in each raster's system (_x0, _y0, _x1, _y1) and the window of cells it touches (_row, _col, and
+    _height, _width, which may be 0). Systems are few, one plan part each."""
+    codes = [None] if crs is None else [r["crs"] for r in meta.select("crs").distinct().collect()]
+    out = None
+    for code in codes:
+        own = meta if crs is None else meta.where(F.col("crs").eqNullSafe(code))
+        own = own.withColumns(dict(zip(("_x0", "_y0", "_x1", "_y1"), _box(box, crs and (crs, code)))))
+        first = lambda at, c, a: F.greatest(F.floor((F.col(at) - F.col(c)) / F.col(a)), F.lit(0))
+        last = lambda at, c, a, n: F.least(F.ceil((F.col(at) - F.col(c)) / F.col(a)), F.col(n))
+        own = own.withColumns({"_col": first("_x0", "c", "a"), "_row": first("_y1", "f", "e")})
+        own = own.withColumns({"_width": F.greatest(last("_x1", "c", "a", "width") - F.col("_col"), F.lit(0)), "_height": F.greatest(last("_y0", "f", "e", "height") - F.col("_row"), F.lit(0))})
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def clip_to_extent(cells: DataFrame, meta: DataFrame, box: tuple[float, float, float, float], crs: str | None = None, outside: str = "drop") -> DataFrame:
+    """Cells whose centre lies in the box (min_x, min_y, max_x, max_y), with row and col counted in the clipped window.
+
+    The window holds all cells that the box touches; outside="null" keeps its other cells with null bands, as clip_meta
+    describes it. The box may be in another system: its corners are projected. A box beyond every cell gives no rows.
+    """
+    if outside not in ("drop", "null"):
+        raise ValueError(f"outside must be drop or null, not {outside!r}")
+    rows = cells.join(_windows(meta, box, crs).select("raster_id", *[f"_{k}" for k in ("x0", "y0", "x1", "y1", "row", "col", "width", "height")]), "raster_id")
+    rows = rows.where("row >= _row AND row < _row + _height AND col >= _col AND col < _col + _width")
+    inside = F.expr("x BETWEEN _x0 AND _x1 AND y BETWEEN _y0 AND _y1")
+    rows = rows.where(inside) if outside == "drop" else rows.withColumns({b: F.when(inside, F.col(b)) for b in band_names(cells)})
+    return rows.select("raster_id", (F.col("row") - F.col("_row")).cast("int").alias("row"), (F.col("col") - F.col("_col")).cast("int").alias("col"), "x", "y", *band_names(cells))
+
+
+def clip_meta(meta: DataFrame, box: tuple[float, float, float, float], crs: str | None = None) -> DataFrame:
+    """meta of the clipped rasters: the window's size and its shifted origin; rasters that the box misses are left out."""
+    w = _windows(meta, box, crs).where("_width > 0 AND _height > 0")
+    new = {"width": F.col("_width").cast("int"), "height": F.col("_height").cast("int"), "c": F.expr("c + a * _col + b * _row"), "f": F.expr("f + d * _col + e * _row")}
+    return w.withColumns(new).select(*meta.columns)
 
 
 def sobel_gradient(cells: DataFrame, meta: DataFrame) -> DataFrame:
@@ -75,7 +95,7 @@ def sobel_gradient(cells: DataFrame, meta: DataFrame) -> DataFrame:
 
     Every cell is sent to the nine cells that need it, so the sum needs one grouping and no raster is gathered.
     """
-    size = F.broadcast(meta.select("raster_id", "width", "height"))
+    size = meta.select("raster_id", "width", "height")
     rows = cells.join(size, "raster_id")
     # a border cell also stands for its mirror image one step outside
     pad = lambda c, n: F.when((F.col(c) == 0) & (F.col(n) == 1), F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)).when(F.col(c) == 0, F.array(F.col(c) - 1, F.col(c))).when(F.col(c) == F.col(n) - 1, F.array(F.col(c), F.col(c) + 1)).otherwise(F.array(F.col(c)))
@@ -99,7 +119,7 @@ def texture_entropy(cells: DataFrame, radius: int = 3) -> DataFrame:
     span = filled.groupBy("raster_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     flat = F.when(F.col("hi") == F.col("lo"), F.raise_error(F.lit("a flat raster has no texture")))
     grey = F.coalesce(flat.cast("int"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255).cast("int"))
-    grey = filled.join(F.broadcast(span), "raster_id").select("raster_id", "row", "col", grey.alias("g"))
+    grey = filled.join(span, "raster_id").select("raster_id", "row", "col", grey.alias("g"))
     disk = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
     sent = grey.withColumn("s", F.explode(F.array(*disk))).select("raster_id", (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"), "g")
     counts = sent.groupBy("raster_id", "row", "col", "g").agg(F.count("*").alias("n"))
@@ -124,7 +144,7 @@ def resample(cells: DataFrame, meta: DataFrame, scale: float) -> tuple[DataFrame
         lo, hi = F.greatest(F.ceil(centre(c, s) - r), F.lit(0)), F.least(F.floor(centre(c, s) + r), F.col(n) - 1)
         return F.when(lo <= hi, F.sequence(lo.cast("int"), hi.cast("int"))).otherwise(F.array().cast("array<int>"))
 
-    rows = cells.join(F.broadcast(size), "raster_id")
+    rows = cells.join(size, "raster_id")
     rows = rows.withColumn("tr", F.explode(targets("row", "sy", "nh"))).withColumn("tc", F.explode(targets("col", "sx", "nw")))
     weight = lambda t, c, s: F.greatest(F.lit(0.0), 1 - F.abs((F.col(t) + 0.5) / F.col(s) - 0.5 - F.col(c)) / reach(s))
     rows = rows.withColumn("w", weight("tr", "row", "sy") * weight("tc", "col", "sx")).where("w > 0")
@@ -132,32 +152,37 @@ def resample(cells: DataFrame, meta: DataFrame, scale: float) -> tuple[DataFrame
     mean = [F.try_divide(F.sum(F.col("w") * F.col(b)), F.sum(F.when(F.col(b).isNotNull(), F.col("w")))).alias(b) for b in bands]
     out = rows.groupBy("raster_id", F.col("tr").alias("row"), F.col("tc").alias("col")).agg(*mean)
     turned = size.select("raster_id", (F.col("a") / F.col("sx")).alias("a"), (F.col("b") / F.col("sy")).alias("b"), "c", (F.col("d") / F.col("sx")).alias("d"), (F.col("e") / F.col("sy")).alias("e"), "f")
-    out = out.join(F.broadcast(turned), "raster_id")
+    out = out.join(turned, "raster_id")
     x = F.col("a") * (F.col("col") + 0.5) + F.col("b") * (F.col("row") + 0.5) + F.col("c")
     y = F.col("d") * (F.col("col") + 0.5) + F.col("e") * (F.col("row") + 0.5) + F.col("f")
     return out.select("raster_id", "row", "col", x.alias("x"), y.alias("y"), *bands), new.drop(*"abcdef").join(turned, "raster_id").select(*meta.columns)
 
 
 def align_grids(cells: DataFrame, meta: DataFrame, reference: DataFrame) -> DataFrame:
-    """The source raster (one id in cells and meta) on the grid of reference (one meta row), bilinear.
+    """Every source raster on the grid of reference (one meta row), bilinear; raster_id stays the source's.
 
-    Target cells come from the reference's size; each looks up its four neighbours in the source by an equi-join.
+    Target cells come from the reference's size; each looks up its four neighbours in a source by an equi-join. Sources
+    are parted by their systems, which are few.
     """
-    source, target = meta.first(), reference.first()
+    target, bands = reference.first(), band_names(cells)
     spark = cells.sparkSession
     grid = spark.range(target["width"] * target["height"]).select((F.col("id") / target["width"]).cast("int").alias("row"), (F.col("id") % target["width"]).cast("int").alias("col"))
     x = target["a"] * (F.col("col") + 0.5) + target["b"] * (F.col("row") + 0.5) + target["c"]
     y = target["d"] * (F.col("col") + 0.5) + target["e"] * (F.col("row") + 0.5) + target["f"]
     grid = grid.withColumns({"x": x, "y": y})
-    sx, sy = projected(F.col("x"), F.col("y"), target["crs"], source["crs"])
-    det = source["a"] * source["e"] - source["b"] * source["d"]
-    dx, dy = sx - source["c"], sy - source["f"]
-    u, v = (source["e"] * dx - source["b"] * dy) / det - 0.5, (source["a"] * dy - source["d"] * dx) / det - 0.5
-    placed = grid.withColumns({"u": u, "v": v})
+    placed = None
+    for code in [r["crs"] for r in meta.select("crs").distinct().collect()]:
+        sources = meta.where(F.col("crs").eqNullSafe(code)).select("raster_id", *"abcdef")
+        sx, sy = projected(F.col("x"), F.col("y"), target["crs"], code)
+        one = grid.withColumns({"_sx": sx, "_sy": sy}).crossJoin(sources)  # as many rows as the result has
+        one = one.withColumns({"u": F.expr("(e * (_sx - c) - b * (_sy - f)) / (a * e - b * d) - 0.5"), "v": F.expr("(a * (_sy - f) - d * (_sx - c)) / (a * e - b * d) - 0.5")})
+        one = one.select("raster_id", "row", "col", "x", "y", "u", "v")
+        placed = one if placed is None else placed.union(one)
+    if placed is None:
+        return cells.limit(0)
     near = placed.withColumn("i", F.explode(F.array(F.floor("v"), F.floor("v") + 1))).withColumn("j", F.explode(F.array(F.floor("u"), F.floor("u") + 1)))
     near = near.withColumn("w", (1 - F.abs(F.col("v") - F.col("i"))) * (1 - F.abs(F.col("u") - F.col("j")))).where("w > 0")
-    bands = band_names(cells)
-    found = near.join(cells.select(F.col("row").cast("long").alias("i"), F.col("col").cast("long").alias("j"), *bands), ["i", "j"])
+    found = near.join(cells.select("raster_id", F.col("row").cast("long").alias("i"), F.col("col").cast("long").alias("j"), *bands), ["raster_id", "i", "j"])
     mean = [F.try_divide(F.sum(F.col("w") * F.col(b)), F.sum(F.when(F.col(b).isNotNull(), F.col("w")))).alias(b) for b in bands]
-    values = found.groupBy("row", "col").agg(*mean)
-    return grid.join(values, ["row", "col"], "left").select(F.lit(target["raster_id"]).alias("raster_id"), "row", "col", "x", "y", *bands)
+    values = found.groupBy("raster_id", "row", "col").agg(*mean)
+    return placed.select(*KEYS).join(values, ["raster_id", "row", "col"], "left").select(*KEYS, *bands)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,27 +67,42 @@ def aggregate_by(df: DataFrame, column: str, statistic: str = "mean", skip: list
     return _grouped(df, [column], statistic, skip or [])
 
 
-def pivot(df: DataFrame, index: list[str], columns: str, values: list[str], keys: list, aggfunc: str = "first", order_by: str | None = None) -> DataFrame:
-    """Long to wide: columns {value}_{key} for each value and listed key, sorted; rows without index or key are left out.
+#: Aggregates of pivot; of these the SUMS have a value where all cells are null.
+AGGREGATES = STATISTICS | {"count": F.count, "nunique": F.count_distinct, "std": F.stddev_samp, "var": F.var_samp}
+SUMS = ["sum", "count", "nunique"]
+
+
+def pivot(df: DataFrame, index: list[str], columns: str, values: list[str], keys: list | None = None, aggfunc: str = "first", order_by: str | None = None) -> DataFrame:
+    """Long to wide: columns {value}_{key} for each value and key, sorted; rows without index or key are left out.
 
-    first takes the first non-null value by order_by. Listing the keys spares a pass that looks for them.
+    first and last take the first and last non-null value by order_by. Listing the keys spares a pass that looks for
+    them; keys that are looked for give no column, and index values no row, that would be null throughout.
     """
     require(df, [*index, columns, *values])
-    if aggfunc == "first":
+    if aggfunc in ("first", "last"):
         if not order_by:
-            raise ValueError("first needs order_by")
-        f = lambda v: F.min_by(v, F.when(v.isNotNull(), col(order_by)))
-    elif aggfunc == "count":
-        f = F.count
-    elif aggfunc in STATISTICS:
-        f = STATISTICS[aggfunc]
+            raise ValueError(f"{aggfunc} needs order_by")
+        pick = F.min_by if aggfunc == "first" else F.max_by
+        f = lambda v: pick(v, F.when(v.isNotNull(), col(order_by)))
+    elif aggfunc in AGGREGATES:
+        f = AGGREGATES[aggfunc]
     else:
         raise ValueError(f"unknown aggregate {aggfunc!r}")
     rows = df.where(col(columns).isNotNull())
     for i in index:
         rows = rows.where(col(i).isNotNull())
-    out = [f(F.when(col(columns) == k, col(v))).alias(f"{v}_{k}") for v in sorted(values) for k in sorted(keys)]
-    return rows.groupBy(*[col(i) for i in index]).agg(*out)
+    if keys is None:
+        # one row for each column of the result reaches the driver
+        found = rows.groupBy(col(columns).alias("key")).agg(*[F.count(col(v)).alias(f"n{j}") for j, v in enumerate(values)]).collect()
+        cells = sorted((v, r["key"]) for r in found for j, v in enumerate(values) if r[f"n{j}"] or aggfunc in SUMS)
+    else:
+        cells = [(v, k) for v in sorted(values) for k in sorted(keys)]
+    out = rows.groupBy(*[col(i) for i in index]).agg(*[f(F.when(col(columns) == k, col(v))).alias(f"{v}_{k}") for v, k in cells] or [F.lit(None).alias("_none")])
+    if not cells:
+        return out.select(*[col(i) for i in index]).limit(0)
+    if keys is None and aggfunc not in SUMS:
+        out = out.where(reduce(lambda a, b: a | b, [col(f"{v}_{k}").isNotNull() for v, k in cells]))
+    return out
 
 
 def melt(df: DataFrame, ids: list[str], values: list[str], variable: str = "variable", value: str = "value") -> DataFrame:

@@ -17,6 +17,8 @@ AGGREGATES = {
 }
 OPERATIONS = ["exact", "count", *AGGREGATES]
 DEFAULT_TOLERANCE = 0.01
+#: Claims up to which they are broadcast.
+FEW = 10_000
 
 
 def _error(actual: Column, claimed: Column) -> Column:
@@ -38,16 +40,19 @@ def verify_claims(df: DataFrame, claims: DataFrame, row_id: str | None = None) -
     """claim_id, status (verified, failed, not_found), reason, actual (6 places), relative_error (4 places).
 
     claims: claim_id, value, column, operation, rows (first and last row number from 0, inclusive, or null), tolerance
-    (0.01 if null). count counts rows with nulls too; exact takes the nearest value of a number column. Statistics of
-    whole columns come from one aggregation; claims on row ranges meet their rows by a broadcast range join, so claims
-    must be few (they are counted; 10,000 at most).
+    (0.01 if null), and optionally text: the value that an exact claim on a text column says is there. count counts rows
+    with nulls too; exact takes the nearest value of a number column. Statistics of whole columns come from one
+    aggregation; only claims on row ranges and exact ones read the table again, with a join on the column (broadcast up
+    to FEW claims).
     """
-    if claims.count() > 10_000:
-        raise ValueError("more than 10,000 claims: check them in parts")
+    has_text = "text" in claims.columns
+    if not has_text:
+        claims = claims.withColumn("text", F.lit(None).cast("string"))
     numeric, text = numeric_columns(df), string_columns(df)
     known = F.col("column").isin([*numeric, *text]) if numeric or text else F.lit(False)
-    c = claims.withColumn("reason", F.when(F.col("value").isNull() | F.col("column").isNull() | F.col("operation").isNull(), "missing field").when(~known, "unknown column").when(~F.col("operation").isin(OPERATIONS), "unknown operation").when(F.col("column").isin(text) if text else F.lit(False), "not a number column"))
-    usable = c.where("reason IS NULL")
+    member = F.coalesce((F.col("operation") == "exact") & F.col("text").isNotNull() & F.col("column").isin(text), F.lit(False)) if text else F.lit(False)
+    c = claims.withColumn("member", member).withColumn("reason", F.when((F.col("value").isNull() & ~member) | F.col("column").isNull() | F.col("operation").isNull(), "missing field").when(~known, "unknown column").when(~F.col("operation").isin(OPERATIONS), "unknown operation").when((F.col("column").isin(text) if text else F.lit(False)) & ~member, "not a number column"))
+    usable = c.where("reason IS NULL AND NOT member")
     used = [r["column"] for r in usable.select("column").distinct().collect()]
     numbers = [n for n in numeric if n in used]
     empty = df.sparkSession.createDataFrame([], "claim_id long, actual double, n long")
@@ -60,18 +65,24 @@ def verify_claims(df: DataFrame, claims: DataFrame, row_id: str | None = None) -
         plain = usable.where("rows IS NULL AND operation <> 'exact'")
         whole = plain.join(F.broadcast(table), ["column", "operation"]).select("claim_id", "actual", "n")
         near = usable.where("rows IS NOT NULL OR operation = 'exact'").select("claim_id", "column", "operation", F.col("value").alias("claimed"), F.col("rows")[0].alias("lo"), F.col("rows")[1].alias("hi"))
-        at = col(row_id) if row_id else F.lit(None).cast("long")
-        long = df.select(at.alias("_at"), *[col(n).cast("double").alias(n) for n in numbers]).unpivot(["_at"], [col(n) for n in numbers], "column", "v")
-        joined = long.join(F.broadcast(near), "column").where("lo IS NULL OR _at BETWEEN lo AND hi").withColumn("present", F.lit(True))
-        ranged = _actuals(joined)
+        asked = [r["column"] for r in near.select("column").distinct().collect()]
+        if asked:
+            at = col(row_id) if row_id else F.lit(None).cast("long")
+            long = df.select(at.alias("_at"), *[col(n).cast("double").alias(n) for n in asked]).unpivot(["_at"], [col(n) for n in asked], "column", "v")
+            near = F.broadcast(near) if near.count() <= FEW else near
+            joined = long.join(near, "column").where("lo IS NULL OR _at BETWEEN lo AND hi").withColumn("present", F.lit(True))
+            ranged = _actuals(joined)
     total = df.agg(F.count("*").alias("_total"))
     found = c.join(whole.union(ranged), "claim_id", "left").join(F.broadcast(total))
+    members = verify_members(df, claims.select("claim_id", "column", F.col("text").alias("value"))) if has_text and text else None
+    found = found.join(members, "claim_id", "left") if members is not None else found.withColumn("found", F.lit(False))
     beyond = F.col("rows").isNotNull() & ((F.col("rows")[0] < 0) | (F.col("rows")[1] >= F.col("_total")) | (F.col("rows")[0] > F.col("rows")[1]))
     reason = F.coalesce("reason", F.when(beyond, "range out of bounds").when(F.col("actual").isNull(), "no values"))
     tolerance = F.coalesce("tolerance", F.lit(DEFAULT_TOLERANCE))
     error = _error(F.col("actual"), F.col("value"))
     fits = F.when(F.col("value") == 0, (F.col("actual") == 0) | (F.abs("actual") < tolerance)).otherwise(error <= tolerance)
-    status = F.when(reason.isNotNull(), "not_found").when(fits, "verified").otherwise("failed")
+    reason = F.when(F.col("member"), F.when(~F.coalesce("found", F.lit(False)), "no such value")).otherwise(reason)
+    status = F.when(reason.isNotNull(), "not_found").when(F.col("member") | fits, "verified").otherwise("failed")
     shown = lambda x: F.when(reason.isNull(), x)
     return found.select("claim_id", status.alias("status"), reason.alias("reason"), shown(F.round("actual", 6)).alias("actual"), shown(F.round(error, 4)).alias("relative_error"))
 

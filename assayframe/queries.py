@@ -87,6 +87,8 @@ _add("predicate_not", f"SELECT event_id FROM {EVENTS} WHERE NOT coalesce(value >
 _add("predicate_ne_null", f"SELECT event_id FROM {EVENTS} WHERE value IS NULL OR value <> 30", lambda t: _events(t).where(p.ne("value", 30)).select("event_id"))
 _add("predicate_or_and", f"SELECT event_id FROM {EVENTS} WHERE (value BETWEEN 10 AND 20 OR value IS NULL) AND event_type IN ('click', 'view', 'purchase')", lambda t: _events(t).where(p.and_(p.or_(p.between("value", 10, 20), p.isna("value")), p.isin("event_type", ["click", "view", "purchase"]))).select("event_id"))
 _add("predicate_contains", "SELECT p_partkey FROM part WHERE lower(p_type) LIKE 'std%' OR lower(p_type) LIKE '%a%'", lambda t: t("part").where(p.contains("p_type", "^STD|A", case=False)).select("p_partkey"))
+_add("predicate_startswith", "SELECT p_partkey FROM part WHERE starts_with(p_type, 'S') OR starts_with(p_name, 'red')", lambda t: t("part").where(p.or_(p.startswith("p_type", "S"), p.startswith("p_name", "red"))).select("p_partkey"))
+_add("predicate_endswith", "SELECT p_partkey FROM part WHERE ends_with(p_name, 'ring') AND NOT ends_with(p_brand, '1')", lambda t: t("part").where(p.and_(p.endswith("p_name", "ring"), p.not_(p.endswith("p_brand", "1")))).select("p_partkey"))
 _add("predicate_arithmetic", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE floor(l_quantity / 7) % 2 = 1 AND l_quantity - 7 * floor(l_quantity / 7) > 3", lambda t: t("lineitem").where(p.and_(p.eq(p.mod(p.floordiv("l_quantity", 7), 2), 1), p.gt(p.mod("l_quantity", 7), 3))).select("l_orderkey", "l_linenumber"))
 _add("rank_by_metric", f"SELECT event_id, value FROM {EVENTS} ORDER BY value DESC NULLS LAST, event_id LIMIT 10", lambda t: filters.rank_by_metric(_events(t).select("event_id", "value"), "value", 10, ["event_id"]))
 
@@ -110,6 +112,7 @@ _add("correlations_all", " UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS co
 _add("head", "SELECT event_id, value FROM events ORDER BY event_id LIMIT 7", lambda t: profile.head(t("events").select("event_id", "value"), ["event_id"], 7))
 _add("tail", "SELECT event_id, value FROM events ORDER BY event_id DESC LIMIT 7", lambda t: profile.tail(t("events").select("event_id", "value"), ["event_id"], 7))
 _add("sample", None, lambda t: profile.sample(t("events"), 10, seed=1))
+_add("sample_facts", "SELECT 10::BIGINT AS n, 10::BIGINT AS n_distinct, 10::BIGINT AS known FROM events LIMIT 1", lambda t: profile.sample(t("events").select("event_id"), 10, seed=1).join(t("events").select("event_id", F.lit(1).alias("one")), "event_id", "left").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_distinct"), F.count("one").alias("known")))
 _add("filter_summary", "SELECT count(*) FILTER (l_tax > 0.05) AS count, count(*) AS total, " + ", ".join(f"round({f}({c}) FILTER (l_tax > 0.05), 4)::DOUBLE AS {c}_{n}" for c in ("l_quantity", "l_tax") for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"))) + " FROM lineitem",
      lambda t: _rounded(profile.filter_summary(t("lineitem").select("l_quantity", "l_tax"), p.gt("l_tax", 0.05)), *[f"{c}_{n}" for c in ("l_quantity", "l_tax") for n in ("mean", "min", "max")], places=4))
 _add("profile_geochem", " UNION ALL ".join(f"SELECT '{e}' AS element, count(*) AS n_intervals, round(sum(l_quantity), 2) AS total_thickness, round(min(l_linenumber), 2)::DOUBLE AS min_from, round(max(l_linenumber + l_quantity), 2) AS max_to, round(sum({e} * l_quantity) / sum(l_quantity), 4) AS weighted_mean, round(max({e}), 4) AS max_value, round(max({e} * l_quantity), 4) AS max_grade_thickness, count(*) - count({e}) AS nulls FROM lineitem" for e in ("l_discount", "l_tax")),
@@ -119,17 +122,17 @@ _add("profile_geochem_by", "SELECT l_returnflag, 'l_tax' AS element, count(*) AS
 
 # ---- joins, grouping, reshaping ----
 LEFT = "(SELECT o_orderkey, CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE o_custkey END AS k, o_totalprice AS v FROM orders)"
-RIGHT = "(SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE c_custkey END AS k, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 1)"
+RIGHT = "(SELECT c_custkey, CASE WHEN c_custkey % 500 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN -c_custkey ELSE c_custkey END AS k, c_acctbal AS v FROM customer)"
 
 
 def _merged(t, how: str) -> DataFrame:
-    a = t("orders").selectExpr("o_orderkey", "IF(o_custkey % 11 = 0, NULL, o_custkey) AS k", "o_totalprice AS v").where("o_orderkey % 10 < 3 OR k IS NOT NULL")
-    b = t("customer").where("c_custkey % 3 <> 1").selectExpr("c_custkey", "IF(c_custkey % 50 = 0, NULL, c_custkey) AS k", "c_acctbal AS v")
+    a = t("orders").selectExpr("o_orderkey", "IF(o_custkey % 11 = 0, NULL, o_custkey) AS k", "o_totalprice AS v")
+    b = t("customer").selectExpr("c_custkey", "CASE WHEN c_custkey % 500 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN -c_custkey ELSE c_custkey END AS k", "c_acctbal AS v")
     return relational.merge(a, b, ["k"], how).groupBy("k").agg(F.count("*").alias("n"), F.count("o_orderkey").alias("n_left"), F.count("c_custkey").alias("n_right"), F.round(F.sum("v_x"), 2).alias("v_x"), F.round(F.sum("v_y"), 2).alias("v_y"))
 
 
 for how, word in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("outer", "FULL")):
-    _add(f"merge_{how}", f"SELECT k, count(*) AS n, count(o_orderkey) AS n_left, count(c_custkey) AS n_right, round(sum(v_x), 2) AS v_x, round(sum(v_y), 2) AS v_y FROM (SELECT coalesce(a.k, b.k) AS k, o_orderkey, c_custkey, a.v AS v_x, b.v AS v_y FROM (SELECT * FROM {LEFT} WHERE o_orderkey % 10 < 3 OR k IS NOT NULL) a {word} JOIN {RIGHT} b ON a.k IS NOT DISTINCT FROM b.k) GROUP BY k", lambda t, how=how: _merged(t, how))
+    _add(f"merge_{how}", f"SELECT k, count(*) AS n, count(o_orderkey) AS n_left, count(c_custkey) AS n_right, round(sum(v_x), 2) AS v_x, round(sum(v_y), 2) AS v_y FROM (SELECT coalesce(a.k, b.k) AS k, o_orderkey, c_custkey, a.v AS v_x, b.v AS v_y FROM {LEFT} a {word} JOIN {RIGHT} b ON a.k IS NOT DISTINCT FROM b.k) GROUP BY k", lambda t, how=how: _merged(t, how))
 GRID = {"mean": "avg({c})", "median": "median({c})", "max": "max({c})", "min": "min({c})", "sum": "coalesce(sum({c}), 0)"}
 for stat, f in GRID.items():
     _add(f"aggregate_grid_{stat}", f"SELECT round_even(l_extendedprice / 5000, 0) * 5000 AS l_extendedprice_bin, round_even(l_quantity / 5000, 0) * 5000 AS l_quantity_bin, round({f.format(c='l_discount')}, 4) AS l_discount, round({f.format(c='l_tax')}, 4) AS l_tax FROM lineitem GROUP BY 1, 2",
@@ -144,6 +147,8 @@ for stat, f in (GRID | {"count": "count({c})"}).items():
 KINDS = ["O", "F", "P"]
 _add("pivot", "SELECT o_custkey, " + ", ".join(f"arg_min(o_totalprice, o_orderkey) FILTER (o_orderstatus = '{k}') AS \"o_totalprice_{k}\"" for k in KINDS) + " FROM orders GROUP BY o_custkey", lambda t: relational.pivot(t("orders"), ["o_custkey"], "o_orderstatus", ["o_totalprice"], KINDS, "first", "o_orderkey"))
 _add("pivot_sum", "SELECT o_custkey, " + ", ".join(f"round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = '{k}'), 0), 2) AS \"o_totalprice_{k}\"" for k in KINDS) + " FROM orders GROUP BY o_custkey", lambda t: _rounded(relational.pivot(t("orders"), ["o_custkey"], "o_orderstatus", ["o_totalprice"], KINDS, "sum"), *[f"o_totalprice_{k}" for k in KINDS], places=2))
+_add("pivot_std", "SELECT * FROM (SELECT o_custkey, " + ", ".join(f"round(stddev_samp(o_totalprice) FILTER (o_orderstatus = '{k}'), 4) AS \"o_totalprice_{k}\"" for k in KINDS) + " FROM orders GROUP BY o_custkey) WHERE " + " OR ".join(f'"o_totalprice_{k}" IS NOT NULL' for k in KINDS), lambda t: _rounded(relational.pivot(t("orders"), ["o_custkey"], "o_orderstatus", ["o_totalprice"], None, "std"), *[f"o_totalprice_{k}" for k in KINDS], places=4))
+_add("pivot_last", "SELECT o_custkey, " + ", ".join(f"arg_max(o_totalprice, o_orderkey) FILTER (o_orderstatus = '{k}') AS \"o_totalprice_{k}\"" for k in KINDS) + " FROM orders GROUP BY o_custkey", lambda t: relational.pivot(t("orders"), ["o_custkey"], "o_orderstatus", ["o_totalprice"], None, "last", "o_orderkey"))
 _add("melt", " UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, '{c}' AS variable, {c} AS value FROM lineitem" for c in ("l_discount", "l_tax")), lambda t: relational.melt(t("lineitem"), ["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"]))
 for keep, order in (("first", "ASC"), ("last", "DESC")):
     _add(f"remove_duplicates_{keep}", f"SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id {order}) AS k FROM events) WHERE k = 1", lambda t, keep=keep: relational.remove_duplicates(t("events").select("event_id", "user_id", "event_type"), ["event_id"], ["user_id", "event_type"], keep))
@@ -201,9 +206,45 @@ def _features(t, n: int) -> DataFrame:
     return t("embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)])
 
 
-_add("kmeans", None, lambda t: ml.kmeans(_features(t, 8), [f"e{i}" for i in range(8)], 10).select("vec_id", "cluster_kmeans"))
-_add("pca", None, lambda t: ml.pca(_features(t, 8), [f"e{i}" for i in range(8)], 2)[0].select("vec_id", "PCA1", "PCA2"))
-_add("dbscan", None, lambda t: ml.dbscan(_features(t, 3), ["e0", "e1", "e2"], "vec_id", 0.4, 5))
+VALUES = [f"e{i}" for i in range(64)]
+EPS = 9.0
+#: Standardized vectors z of all embeddings.
+STANDARD = """(SELECT vec_id, list(z ORDER BY pos) AS z FROM (SELECT vec_id, pos, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS z FROM
+(SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS pos FROM embeddings) WINDOW w AS (PARTITION BY pos)) GROUP BY vec_id)"""
+
+
+def _kmeans_facts(t) -> DataFrame:
+    """What must hold of any k-means result: every row has a label, labels are in range, and the rows lie closer to their
+    clusters' means than to the common mean."""
+    labels = ml.kmeans(_features(t, 64), VALUES, 10).select("vec_id", "cluster_kmeans")
+    values = t("embeddings").select("vec_id", F.posexplode("embedding").alias("at", "x")).withColumn("x", F.col("x").cast("double"))
+    z = values.join(values.groupBy("at").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")), "at").withColumn("z", F.expr("(x - m) / s"))
+    parts = z.join(labels, "vec_id").groupBy("cluster_kmeans", "at").agg((F.sum(F.col("z") * F.col("z"))).alias("square"), (F.count("*") * F.avg("z") * F.avg("z")).alias("between"))
+    closer = parts.agg((F.sum("between") > 0.02 * F.sum("square")).alias("closer"))
+    return labels.agg(F.count("*").alias("n"), F.count_if(F.col("cluster_kmeans").between(0, 9)).alias("labelled"), F.count_distinct("cluster_kmeans").alias("k")).crossJoin(closer)
+
+
+def _pca_facts(t) -> DataFrame:
+    """Components are centred and uncorrelated, the first has the larger variance, and neither more than the whole."""
+    rows, share = ml.pca(_features(t, 64), VALUES, 2)
+    centred = (F.abs(F.avg("PCA1")) < 1e-6) & (F.abs(F.avg("PCA2")) < 1e-6)
+    own = F.abs(F.var_samp("PCA1") / 64 - share[0]) < 0.01 * share[0] + 0.001
+    return rows.agg(F.count("PCA1").alias("n"), centred.alias("centred"), (F.abs(F.corr("PCA1", "PCA2")) < 1e-6).alias("uncorrelated"), (F.var_samp("PCA1") >= F.var_samp("PCA2")).alias("ordered"), own.alias("share_fits"))
+
+
+_add("kmeans", None, lambda t: ml.kmeans(_features(t, 64), VALUES, 10).select("vec_id", "cluster_kmeans"))
+_add("kmeans_facts", "SELECT count(*) AS n, count(*) AS labelled, 10::BIGINT AS k, true AS closer FROM embeddings", _kmeans_facts)
+_add("pca", None, lambda t: ml.pca(_features(t, 64), VALUES, 2)[0].select("vec_id", "PCA1", "PCA2"))
+_add("pca_facts", "SELECT count(*) AS n, true AS centred, true AS uncorrelated, true AS ordered, true AS share_fits FROM embeddings", _pca_facts)
+_add("dbscan", f"""WITH RECURSIVE v AS MATERIALIZED {STANDARD}, near AS MATERIALIZED (SELECT a.vec_id AS id, b.vec_id AS other FROM v a JOIN v b ON list_distance(a.z, b.z) <= {EPS}),
+core AS MATERIALIZED (SELECT id FROM near GROUP BY id HAVING count(*) >= 5),
+link AS MATERIALIZED (SELECT id, other FROM near WHERE id IN (SELECT id FROM core) AND other IN (SELECT id FROM core)),
+reach AS (SELECT id, id AS root FROM core UNION SELECT link.other, reach.root FROM reach JOIN link ON link.id = reach.id WHERE reach.root < link.other),
+named AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+number AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS k FROM named),
+border AS (SELECT near.id, min(k) AS k FROM near JOIN number ON number.id = near.other GROUP BY near.id)
+SELECT vec_id, coalesce(number.k, border.k, -1)::INT AS cluster_dbscan FROM v LEFT JOIN number ON number.id = vec_id LEFT JOIN border ON border.id = vec_id""",
+     lambda t: ml.dbscan(_features(t, 64), VALUES, "vec_id", EPS, 5))
 
 # ---- verification and grading ----
 CLAIMS = [(1, 25.5, "l_quantity", "mean", None, None), (2, 50.0, "l_quantity", "max", None, None), (3, 3.0, "l_quantity", "min", None, None), (4, 0.0, "l_tax", "min", None, None), (5, 0.05, "l_discount", "median", None, 0.2), (6, 0.03, "l_discount", "std", None, 0.1), (7, 1.0, "nothing", "mean", None, None), (8, 1.0, "l_tax", "mode", None, None), (9, None, "l_tax", "mean", None, None), (10, 17.0, "l_quantity", "exact", None, None), (11, 1.0, "l_tax", "sum", None, None)]
@@ -228,6 +269,8 @@ _add("verify_claims", " UNION ALL ".join(_claim_sql(i, v, c, o, tol) for i, v, c
 _add("verify_claims_ranges", """SELECT 1::BIGINT AS claim_id, CASE WHEN abs(a - 50) / 50 <= 0.5 THEN 'verified' ELSE 'failed' END AS status, NULL AS reason, round(a, 6) AS actual, round(abs(a - 50) / 50, 4) AS relative_error FROM (SELECT avg(value) AS a FROM events WHERE event_id BETWEEN 100 AND 299)
 UNION ALL SELECT 2, 'verified', NULL, 200.0, 0.0 UNION ALL SELECT 3, 'not_found', 'range out of bounds', NULL, NULL""",
      lambda t: verify.verify_claims(t("events"), _claims(t("events"), [(1, 50.0, "value", "mean", [100, 299], 0.5), (2, 200.0, "value", "count", [100, 299], None), (3, 1.0, "value", "max", [5, 10**9], None)]), row_id="event_id"))
+_add("verify_claims_text", "SELECT 1::BIGINT AS claim_id, CASE WHEN EXISTS (SELECT 1 FROM part WHERE p_brand = 'Brand#1') THEN 'verified' ELSE 'not_found' END AS status UNION ALL SELECT 2, 'not_found' UNION ALL SELECT 3, 'verified'",
+     lambda t: verify.verify_claims(t("part").select("p_brand", "p_type", "p_size"), t("part").sparkSession.createDataFrame([(1, None, "p_brand", "exact", None, None, "Brand#1"), (2, None, "p_type", "exact", None, None, "no such type"), (3, 1.0, "p_size", "min", None, 0.01, None)], CLAIM + ", text string")).select("claim_id", "status"))
 _add("verify_members", "SELECT 1::BIGINT AS claim_id, EXISTS (SELECT 1 FROM part WHERE p_brand = 'Brand#1') AS found UNION ALL SELECT 2, EXISTS (SELECT 1 FROM part WHERE p_type = 'no such type')",
      lambda t: verify.verify_members(t("part").select("p_brand", "p_type"), t("part").sparkSession.createDataFrame([(1, "p_brand", "Brand#1"), (2, "p_type", "no such type")], "claim_id bigint, column string, value string")))
 
@@ -248,6 +291,7 @@ _add("grade_correlation", f"SELECT text, r AS actual_value, CASE WHEN n % 2 = 0
 _add("grade_cluster", f"SELECT text, (SELECT count(DISTINCT p_brand) FROM part)::DOUBLE AS actual_value, (SELECT count(DISTINCT p_brand) FROM part) BETWEEN n - 1 AND n + 1 AS is_correct FROM {H_SQL}", lambda t: hypotheses.grade_cluster(_hypotheses(t), ml.cluster_sizes(t("part"), "p_brand")).select("text", "actual_value", "is_correct"))
 _add("grade_anomaly", f"SELECT text, a::DOUBLE AS actual_value, a BETWEEN n - 1 AND n + 1 AS is_correct FROM {H_SQL}, (SELECT count(*) FILTER (p_size > 45) AS a FROM part)",
      lambda t: hypotheses.grade_anomaly(_hypotheses(t), t("part").agg(F.count_if(F.col("p_size") > 45).alias("n")).select(F.lit("p_size").alias("column"), "n")).select("text", "actual_value", "is_correct"))
+_add("grade_count", f"SELECT text, (SELECT count(*) FROM part WHERE p_size > 25)::DOUBLE AS actual_value, (SELECT count(*) FROM part WHERE p_size > 25) BETWEEN n - 1 AND n + 1 AS is_correct FROM {H_SQL}", lambda t: hypotheses.grade_count(_hypotheses(t), {"matching_rows": filters.threshold(t("part"), "p_size", 25).count()}).select("text", "actual_value", "is_correct"))
 _add("to_samples", f"SELECT verdict, count(*) AS n, round(avg(score), 4) AS mean_score FROM (SELECT CASE WHEN (SELECT avg(p_size) FROM part) BETWEEN lo AND hi THEN 'correct' ELSE 'rejected' END AS verdict, 2 + CASE WHEN 0.2 + n % 3 < 0.3 THEN 1 ELSE 0 END + CASE WHEN lo <> 0 AND (hi - lo) / abs(lo)::DOUBLE < 0.5 THEN 1 ELSE 0 END + CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END AS score FROM {H_SQL}) GROUP BY verdict",
      lambda t: hypotheses.sample_report(hypotheses.to_samples(hypotheses.grade_distribution(_hypotheses(t), profile.profile(t("part").select("p_size"))), "q", "c")))
 _add("parse_hypotheses", "SELECT p_partkey AS response_id, 0 AS nth, p_name AS text, 'count' AS claim_type FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 1, p_brand, 'general' FROM part WHERE p_partkey % 2 = 1",
@@ -255,11 +299,15 @@ _add("parse_hypotheses", "SELECT p_partkey AS response_id, 0 AS nth, p_name AS t
 
 # ---- plot data ----
 _add("histogram", "WITH s AS (SELECT min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 30 AS w FROM lineitem), c AS (SELECT least(floor((l_extendedprice - lo) / w), 29)::INT AS bin, count(*) AS n FROM lineitem, s GROUP BY 1), g AS (SELECT unnest(range(30))::INT AS bin) SELECT g.bin, round(lo + g.bin * w, 4) AS low, round(lo + (g.bin + 1) * w, 4) AS high, coalesce(n, 0) AS n FROM g CROSS JOIN s LEFT JOIN c ON c.bin = g.bin", lambda t: _rounded(plotdata.histogram(t("lineitem"), "l_extendedprice"), "low", "high", places=4))
-_add("density", None, lambda t: plotdata.density(t("lineitem"), "l_extendedprice"))
+_add("density", """WITH s AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, count(*) AS n, stddev_samp(l_extendedprice) * pow(count(*), -0.2) AS h FROM lineitem),
+b AS (SELECT lo + (bin + 0.5) * (hi - lo) / 2000 AS m, k FROM (SELECT least(floor((l_extendedprice - lo) / ((hi - lo) / 2000)), 1999) AS bin, count(*) AS k FROM lineitem, s GROUP BY 1), s)
+SELECT round(lo + (hi - lo) * i / 199, 3) AS x, round(1e6 * sum(k * exp(-0.5 * pow((lo + (hi - lo) * i / 199 - m) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 4) AS density FROM b, s, (SELECT unnest(range(200)) AS i) GROUP BY i, lo, hi""", lambda t: plotdata.density(t("lineitem"), "l_extendedprice").select(F.round("x", 3).alias("x"), F.round(F.col("density") * 1e6, 4).alias("density")))
 _add("scatter_bins", "SELECT least(floor((l_extendedprice - x0) / (x1 - x0) * 20), 19)::INT AS x_bin, least(floor((l_quantity - y0) / (y1 - y0) * 20), 19)::INT AS y_bin, count(*) AS n, round(avg(l_tax), 6) AS colour FROM lineitem, (SELECT min(l_extendedprice) AS x0, max(l_extendedprice) AS x1, min(l_quantity) AS y0, max(l_quantity) AS y1 FROM lineitem) GROUP BY 1, 2", lambda t: _rounded(plotdata.scatter_bins(t("lineitem"), "l_extendedprice", "l_quantity", 20, "l_tax"), "colour"))
 _add("map_bins", "SELECT round_even(l_extendedprice / 4000, 0) * 4000 AS x, round_even(l_quantity / 4000, 0) * 4000 AS y, count(*) AS n, round(avg(l_tax), 6) AS value FROM lineitem GROUP BY 1, 2", lambda t: _rounded(plotdata.map_bins(t("lineitem"), "l_extendedprice", "l_quantity", 4000, "l_tax"), "value"))
 _add("cluster_summary", "SELECT label AS cluster, count(*) AS n, round(avg(embedding[1]), 4) AS mean_x, round(min(embedding[1]), 4) AS min_x, round(max(embedding[1]), 4) AS max_x, round(avg(embedding[2]), 4) AS mean_y, round(min(embedding[2]), 4) AS min_y, round(max(embedding[2]), 4) AS max_y FROM (SELECT label, embedding::DOUBLE[] AS embedding FROM embeddings) GROUP BY label", lambda t: _rounded(plotdata.cluster_summary(_features(t, 2), "e0", "e1", "label"), "mean_x", "min_x", "max_x", "mean_y", "min_y", "max_y", places=4))
 
+_add("cluster_bins", "SELECT label AS cluster, CASE WHEN x1 = x0 THEN 0 ELSE least(floor((x - x0) / (x1 - x0) * 8), 7) END::INT AS x_bin, CASE WHEN y1 = y0 THEN 0 ELSE least(floor((y - y0) / (y1 - y0) * 8), 7) END::INT AS y_bin, count(*) AS n FROM (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), (SELECT min(embedding[1]::DOUBLE) AS x0, max(embedding[1]::DOUBLE) AS x1, min(embedding[2]::DOUBLE) AS y0, max(embedding[2]::DOUBLE) AS y1 FROM embeddings) GROUP BY 1, 2, 3", lambda t: plotdata.cluster_bins(_features(t, 2), "e0", "e1", "label", 8))
+
 # ---- rasters: cells of a 100-column grid that follow the lineitem table ----
 WIDTH = 100
 
@@ -286,16 +334,94 @@ d AS (SELECT i, j FROM (SELECT unnest(range(-3, 4)) AS i), (SELECT unnest(range(
 n AS (SELECT t.row, t.col, v.g, count(*) AS n FROM g t, d JOIN g v ON v.row = t.row + i AND v.col = t.col + j GROUP BY ALL),
 m AS (SELECT row, col, sum(n) AS total FROM n GROUP BY ALL)
 SELECT row, col, round(-sum(n / total::DOUBLE * log2(n / total::DOUBLE)), 4) AS b1 FROM n JOIN m USING (row, col) GROUP BY row, col""", lambda t: raster.texture_entropy(_cells(t)[0].withColumn("b1", F.col("b2"))).select("row", "col", F.round("b1", 4).alias("b1")))
-_add("resample", None, lambda t: raster.resample(*_cells(t), 0.5)[0])
-_add("align_grids", None, lambda t: raster.align_grids(*_cells(t), _cells(t)[1].withColumns({"a": F.lit(5.0), "width": F.col("width") * 2})))
+_add("clip_to_extent_null", f"SELECT (row - 1)::INT AS row, (col - 10)::INT AS col, x, y, CASE WHEN x BETWEEN 500104 AND 500300 AND y BETWEEN 5999900 AND 5999984 THEN b1 END AS b1 FROM {CELLS} WHERE col BETWEEN 10 AND 29 AND row BETWEEN 1 AND 9", lambda t: raster.clip_to_extent(*_cells(t), (500104, 5999900, 500300, 5999984), outside="null").select("row", "col", "x", "y", "b1"))
+_add("clip_meta", f"SELECT 'r' AS raster_id, 20::INT AS width, (least(10, max(row) + 1) - 1)::INT AS height, 500100.0::DOUBLE AS c, 5999990.0::DOUBLE AS f FROM {CELLS}", lambda t: raster.clip_meta(_cells(t)[1], (500104, 5999900, 500300, 5999984)).select("raster_id", "width", "height", "c", "f"))
+_add("resample", f"""WITH c AS {CELLS}, s AS (SELECT max(row) + 1 AS h, max(col) + 1 AS w, floor((max(row) + 1) * 0.5)::INT AS nh, floor((max(col) + 1) * 0.5)::INT AS nw FROM c),
+p AS (SELECT c.*, nh / h::DOUBLE AS sy, nw / w::DOUBLE AS sx, nh, nw FROM c, s),
+q AS (SELECT tr, tc, b1, b2, greatest(0, 1 - abs((tr + 0.5) / sy - 0.5 - row) / greatest(1, 1 / sy)) * greatest(0, 1 - abs((tc + 0.5) / sx - 0.5 - col) / greatest(1, 1 / sx)) AS k
+    FROM p, LATERAL (SELECT unnest(range(greatest(0, floor((row + 0.5) * sy)::INT - 2), least(nh, floor((row + 0.5) * sy)::INT + 3))) AS tr), LATERAL (SELECT unnest(range(greatest(0, floor((col + 0.5) * sx)::INT - 2), least(nw, floor((col + 0.5) * sx)::INT + 3))) AS tc))
+SELECT tr::INT AS row, tc::INT AS col, round(sum(k * b1) / sum(k), 4) AS b1, round(sum(k * b2) / sum(k), 4) AS b2 FROM q WHERE k > 0 GROUP BY tr, tc""", lambda t: _rounded(raster.resample(*_cells(t), 0.5)[0].select("row", "col", "b1", "b2"), "b1", "b2", places=4))
+_add("align_grids", f"""WITH c AS {CELLS}, s AS (SELECT max(row) + 1 AS h, max(col) + 1 AS w FROM c),
+g AS (SELECT row, col, (col + 0.5) / 2 - 0.5 AS u, row::DOUBLE AS v FROM s, LATERAL (SELECT unnest(range(h)) AS row), LATERAL (SELECT unnest(range(2 * w)) AS col)),
+k AS (SELECT g.row, g.col, b1, (1 - abs(v - c.row)) * (1 - abs(u - c.col)) AS k FROM g JOIN c ON c.row = v AND c.col IN (floor(u), floor(u) + 1))
+SELECT g.row::INT AS row, g.col::INT AS col, round(m, 4) AS b1 FROM g LEFT JOIN (SELECT row, col, sum(k * b1) / sum(k) AS m FROM k WHERE k > 0 GROUP BY row, col) USING (row, col)""", lambda t: raster.align_grids(*_cells(t), _cells(t)[1].withColumns({"a": F.lit(5.0), "width": F.col("width") * 2})).select("row", "col", F.round("b1", 4).alias("b1")))
 _add("raster_level", f"SELECT (row // 4)::INT AS row, (col // 4)::INT AS col, round(avg(b1), 4) AS b1 FROM {CELLS} GROUP BY 1, 2", lambda t: plotdata.raster_level(_cells(t)[0], 4).select("row", "col", F.round("b1", 4).alias("b1")))
 _add("reproject_points", "SELECT c_custkey, round(radians(c_custkey % 360 - 180) * 6378137.0, 4) AS x, round(6378137.0 * ln(tan(pi() / 4 + radians(c_custkey % 160 - 80) / 2)), 4) AS y FROM customer", lambda t: _rounded(crs.reproject_points(t("customer").selectExpr("c_custkey", "CAST(c_custkey % 360 - 180 AS DOUBLE) AS x", "CAST(c_custkey % 160 - 80 AS DOUBLE) AS y"), "x", "y", 4326, 3857), "x", "y", places=4))
-_add("reproject_points_utm", None, lambda t: crs.reproject_points(t("customer").selectExpr("c_custkey", "114.0 + (c_custkey % 60) / 10.0 AS x", "-35.0 + (c_custkey % 90) / 10.0 AS y"), "x", "y", 4326, 32750))
+
+
+def _utm_sql() -> str:
+    """The transverse Mercator series of zone 50 south, written out."""
+    n, radius, alpha, _ = crs._series("wgs84")
+    e = 2 * n**0.5 / (1 + n)
+    sums = lambda f, g: " + ".join(f"{a!r} * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, a in enumerate(alpha, 1))
+    return f"""SELECT c_custkey, round(500000 + {crs.K0 * radius!r} * (eta + {sums('cos', 'sinh')}), 4) AS x, round(10000000 + {crs.K0 * radius!r} * (xi + {sums('sin', 'cosh')}), 4) AS y
+FROM (SELECT c_custkey, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta FROM (SELECT c_custkey, radians(lon - 117) AS dl, sinh(atanh(sin(radians(lat))) - {e!r} * atanh({e!r} * sin(radians(lat)))) AS t
+FROM (SELECT c_custkey, 114.0::DOUBLE + (c_custkey % 60) / 10.0::DOUBLE AS lon, -35.0::DOUBLE + (c_custkey % 90) / 10.0::DOUBLE AS lat FROM customer)))"""
+
+
+_add("reproject_points_utm", _utm_sql(), lambda t: _rounded(crs.reproject_points(t("customer").selectExpr("c_custkey", "114.0D + (c_custkey % 60) / 10.0D AS x", "-35.0D + (c_custkey % 90) / 10.0D AS y"), "x", "y", 4326, 32750), "x", "y", places=4))
 
 # ---- sources, flagship ----
 _add("geojson_features", "SELECT '{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":[' || c_custkey || '.0,' || c_nationkey || '.0]},\"properties\":{\"x\":' || c_custkey || ',\"lat\":' || c_nationkey || ',\"c_name\":\"' || c_name || '\"}}' AS value FROM customer", lambda t: tables.geojson_features(t("customer").selectExpr("c_custkey AS x", "c_nationkey AS lat", "c_name")))
 
 
+# readers and writers: a table goes to the shared folder and comes back
+def _csv(t) -> DataFrame:
+    rows = t("customer").selectExpr("c_custkey", "IF(c_custkey % 9 = 0, 'NA', CAST(c_acctbal AS STRING)) AS c_acctbal", "IF(c_custkey % 5 = 0, 'null', c_name) AS c_name", "c_nationkey")
+    path = tables.shared_path(rows.sparkSession, "csv")
+    tables.write_table(rows, path, "csv")
+    return tables.read_csv(rows.sparkSession, path)
+
+
+_add("read_csv", "SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_name END AS c_name, c_nationkey::BIGINT AS c_nationkey FROM customer", _csv)
+
+
+def _las(t) -> DataFrame:
+    """A log file for each hundred customers, with the account balance as a curve that has gaps."""
+    line = F.format_string("%d %d %d %s", F.expr("c_custkey % 100"), F.expr("c_custkey DIV 100"), "c_nationkey", F.expr("IF(c_custkey % 7 = 0, '-999.25', CAST(CAST(c_acctbal AS DECIMAL(12, 2)) AS STRING))"))
+    logs = t("customer").groupBy(F.expr("c_custkey DIV 100").alias("log")).agg(F.sort_array(F.collect_list(F.struct(F.expr("c_custkey % 100").alias("k"), line.alias("v")))).alias("rows"))
+    head = "~V\n VERS. 2.0 : v\n~W\n NULL. -999.25 : n\n~C\n DEPT.M : depth\n LOG. : log\n NAT. : nation\n BAL.USD : balance\n~A\n"
+    logs = logs.select("log", F.concat(F.lit(head), F.array_join("rows.v", "\n")).alias("value"))
+    path = tables.shared_path(logs.sparkSession, "las")
+    tables.write_table(logs, path, "text", ["log"])
+    return tables.read_las(logs.sparkSession, f"{path}/log=*").select(F.col("LOG").cast("long").alias("log"), F.col("DEPT").alias("depth"), F.col("NAT").alias("nation"), F.col("BAL").alias("balance"))
+
+
+_add("read_las", "SELECT (c_custkey // 100)::BIGINT AS log, (c_custkey % 100)::DOUBLE AS depth, c_nationkey::DOUBLE AS nation, CASE WHEN c_custkey % 7 <> 0 THEN round(c_acctbal, 2) END AS balance FROM customer", _las)
+
+
+def _written(t) -> DataFrame:
+    path = tables.shared_path(t("orders").sparkSession, "orders")
+    tables.write_table(t("orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), path, partition_by=["o_orderstatus"])
+    return t("orders").sparkSession.read.parquet(path)
+
+
+_add("write_table", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders", _written)
+
+
+def _stored_cells(t) -> DataFrame:
+    cells, meta = _cells(t)
+    path = tables.shared_path(cells.sparkSession, "cells")
+    tables.write_cells(cells, meta.withColumn("nodata", F.lit(5.0)), path)
+    return tables.read_cells(cells.sparkSession, f"{path}/cells", f"{path}/meta")[0].select("raster_id", "row", "col", F.round("b1", 1).alias("b1"), "b2")
+
+
+_add("write_cells", f"SELECT raster_id, row, col, round(b1::FLOAT::DOUBLE, 1) AS b1, CASE WHEN b2 <> 5 THEN b2 END AS b2 FROM {CELLS}", _stored_cells)
+
+
+def _samples(t) -> DataFrame:
+    """Graded predictions of two sessions, written as samples to two folders and merged: the correct ones of both."""
+    graded = hypotheses.grade_distribution(_hypotheses(t), profile.profile(t("part").select("p_size")))
+    paths = []
+    for k in range(2):
+        paths.append(tables.shared_path(graded.sparkSession, f"samples{k}"))
+        tables.write_samples(hypotheses.to_samples(graded, "q", "c").withColumns({"session_id": F.lit(f"s{k}"), "hypothesis_index": F.lit(k)}), paths[-1])
+    return tables.merge_samples(graded.sparkSession, paths).select("completion", "session_id", "specificity_score", "correct")
+
+
+_add("merge_samples", f"SELECT text AS completion, 's' || k AS session_id, 2 + CASE WHEN 0.2 + n % 3 < 0.3 THEN 1 ELSE 0 END + CASE WHEN lo <> 0 AND (hi - lo) / abs(lo)::DOUBLE < 0.5 THEN 1 ELSE 0 END + CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END AS specificity_score, true AS correct FROM {H_SQL}, (SELECT unnest(range(2)) AS k) WHERE (SELECT avg(p_size) FROM part) BETWEEN lo AND hi", _samples)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _assays(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
     out = anomalous_groups(rows, ["Au_ppm"], "Au_ppm/l_quantity", "l_suppkey", 10)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,17 @@ NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-n
 WHOLE, NUMBER = r"^\s*[+-]?\d{1,18}\s*$", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; it goes when the driver's JVM ends."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def read_csv(spark: SparkSession, path: str, schema: dict[str, str] | None = None, usecols: list[str] | None = None, nrows: int | None = None) -> DataFrame:
     """Delimited text with a header; null tokens become null. Types are given, or found in one pass over the columns.
 
@@ -123,4 +136,4 @@ def sample_stats(samples: DataFrame) -> DataFrame:
     return samples.groupBy("verdict").agg(F.count("*").alias("n"), F.count_distinct("session_id").alias("n_sessions"))
 
 
-__all__ = ["export_geojson", "geojson_features", "merge_samples", "quoted", "read_cells", "read_csv", "read_las", "read_samples", "sample_stats", "write_cells", "write_samples", "write_table"]
+__all__ = ["export_geojson", "geojson_features", "merge_samples", "quoted", "read_cells", "read_csv", "read_las", "read_samples", "sample_stats", "shared_path", "write_cells", "write_samples", "write_table"]

@@ -114,6 +114,23 @@ def test_pivot_melt(spark):
     assert relational.melt(df, ["o"], ["g", "v"]).count() == 10
 
 
+def test_pivot_finds_keys(spark):
+    df = spark.createDataFrame([(1, "x", 5.0, 1), (1, "x", 7.0, 2), (1, "n", None, 3), (2, "n", None, 4), (3, "y", 1.0, 5)], "g long, k string, v double, o long")
+    got = relational.pivot(df, ["g"], "k", ["v"], None, "last", "o")
+    assert got.columns == ["g", "v_x", "v_y"] and sorted(tuple(r) for r in got.collect()) == [(1, 7.0, None), (3, None, 1.0)]
+    assert sorted(tuple(r) for r in relational.pivot(df, ["g"], "k", ["v"], None, "sum").collect()) == [(1, 0.0, 12.0, 0.0), (2, 0.0, 0.0, 0.0), (3, 0.0, 0.0, 1.0)]
+    assert [r.v_x for r in relational.pivot(df, ["g"], "k", ["v"], None, "var").collect()] == [2.0]
+    assert relational.pivot(df.limit(0), ["g"], "k", ["v"], None, "std").count() == 0
+    with pytest.raises(ValueError):
+        relational.pivot(df, ["g"], "k", ["v"], None, "mode")
+
+
+def test_contains_in_large_numbers(spark):
+    df = spark.createDataFrame([(1e30,), (2.5,), (None,)], "v double")
+    assert [r.v for r in filters.filter_rows(df, "v", "contains", "^2.5$").collect()] == [2.5]
+    assert filters.filter_rows(df, "v", "contains", "E30").count() == 1
+
+
 def test_cleaning(spark):
     cells = ["<0.01", "≤ 0.5", ">10", "ND", "bdl", "-", "1,23", "1,234", "abc", "1.2.3", "<1.2.3", "", None, " 2.5 "]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i long, Au_ppm string")
@@ -201,6 +218,13 @@ def test_rasters(spark):
     assert half.count() == 12 and new.first().a == 20.0 and {r.row for r in half.collect()} == {0, 1, 2}
     clip = raster.clip_to_extent(cells, meta, (10.0, -30.0, 30.0, -10.0))
     assert sorted((r.row, r.col) for r in clip.collect()) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    boxed = raster.clip_to_extent(cells, meta, (8.0, -32.0, 32.0, -8.0), outside="null")
+    shifted = raster.clip_meta(meta, (8.0, -32.0, 32.0, -8.0)).first()
+    assert (shifted.width, shifted.height, shifted.c, shifted.f) == (4, 4, 0.0, 0.0) and boxed.count() == 16 and boxed.where("b1 IS NULL").count() == 12
+    assert raster.clip_meta(meta, (900.0, 900.0, 999.0, 999.0)).count() == 0
+    two = cells.unionByName(cells.withColumns({"raster_id": F.lit("s"), "b1": F.col("b1") + 1})), meta.unionByName(meta.withColumn("raster_id", F.lit("s")))
+    both = {(r.raster_id, r.row, r.col): r.b1 for r in raster.align_grids(*two, meta).collect()}
+    assert len(both) == 96 and both["s", 2, 3] == 10.0 and both["r", 2, 3] == 9.0
     assert raster.band_math(cells, "try_divide(b1, 0)").where("b1 IS NULL").count() == 48
     with pytest.raises(ValueError):
         raster.select_bands(cells, [2])
@@ -213,6 +237,13 @@ def test_claims(spark):
     assert got == {1: ("verified", None, 4.5), 2: ("verified", None, 0.0), 3: ("verified", None, 3.0), 4: ("not_found", "range out of bounds", None), 5: ("verified", None, 7.0), 6: ("verified", None, 9.0), 7: ("failed", None, 10.0)}
 
 
+def test_claims_on_text(spark):
+    df = spark.createDataFrame([(1.0, "granite"), (2.0, None)], "v double, s string")
+    claims = spark.createDataFrame([(1, None, "s", "exact", None, None, "granite"), (2, None, "s", "exact", None, None, "basalt"), (3, 1.0, "s", "mean", None, None, None), (4, 1.5, "v", "mean", None, None, None)], "claim_id long, value double, column string, operation string, rows array<long>, tolerance double, text string")
+    got = {r.claim_id: (r.status, r.reason) for r in verify.verify_claims(df, claims).collect()}
+    assert got == {1: ("verified", None), 2: ("not_found", "no such value"), 3: ("not_found", "not a number column"), 4: ("verified", None)}
+
+
 def test_hypotheses(spark):
     text = 'Sure: [{"text": "r", "claim_type": "correlation", "column_a": "a", "column_b": "b", "direction": "positive", "magnitude_range": [0.5, 0.7], "reasoning": "they rise together always"}] done'
     df = spark.createDataFrame([(1, text), (2, "1. first\n- none\n2) second\n•. third"), (3, None), (4, "[broken")], "response_id long, response string")
