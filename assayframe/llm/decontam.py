@@ -6,6 +6,8 @@
 3. Posting lists are shifted by each word's offset in the phrase and intersected: a place that all looked-up words of a
    phrase agree on is a candidate start.
 4. Candidates meet their document once, where the whole phrase is compared, so matches are exact.
+5. Asked for a ``slop``, phrases are also looked for by proximity: places that three of a phrase's four rarest words of the
+   corpus agree on within so many words are candidates, and match if a share of the phrase's words stands there.
 """
 
 from __future__ import annotations
@@ -17,16 +19,23 @@ from .spark_io import row_keys, stage
 
 #: Words of a phrase whose postings are intersected.
 TERMS = 2
+#: Proximity: words looked up, how many of them have to meet, the share of a phrase's distinct words that has to stand at
+#: a place, and the least words of a phrase that is looked for in this way.
+NEAR_TERMS, NEAR_MEET, NEAR_SHARE, NEAR_LEAST = 4, 3, 0.75, 8
 #: Rows up to which a word table is broadcast; above, the join shuffles.
 BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before capitals are lowered.
+OPEN_BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def word_list(text: str) -> Column:
     """Words in lower case (ASCII), an empty array for null."""
-    words = F.array_remove(F.split(F.translate(F.col(text), UPPER, LOWER), BREAKS), "")
-    return F.coalesce(words, F.array().cast("array<string>"))
+    words = F.array_remove(F.split(F.col(text), OPEN_BREAKS), "")
+    # lower() is fast but also lowers capitals beyond ASCII
+    low = F.transform(words, lambda w: F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER)))
+    return F.coalesce(low, F.array().cast("array<string>"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -49,13 +58,16 @@ def corpus_frequency(docs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def lookup_terms(phrase_table: DataFrame, docs: DataFrame, terms: int = TERMS) -> DataFrame:
-    """(phrase_id, word, off, need) of each phrase's rarest words; a phrase with a word the corpus lacks has none."""
+    """(phrase_id, word, off, k, len, need, whole) of each phrase's rarest words that the corpus has, k from 1 on.
+
+    whole: the corpus has all words of the phrase. need: the words of a whole phrase to be intersected.
+    """
     spread = phrase_table.select("phrase_id", F.size("phrase").alias("len"), F.posexplode("phrase").alias("off", "word"))
     often = corpus_frequency(docs, spread.select("word").distinct())
     whole = Window.partitionBy("phrase_id")
-    ranked = spread.join(often, "word").withColumn("found", F.count("*").over(whole)).where("found = len")
+    ranked = spread.join(often, "word").withColumn("whole", F.count("*").over(whole) == F.col("len"))
     ranked = ranked.withColumn("k", F.row_number().over(whole.orderBy("n", "off"))).where(F.col("k") <= terms)
-    return ranked.select("phrase_id", "word", "off", F.least("len", F.lit(terms)).alias("need"))
+    return ranked.select("phrase_id", "word", "off", "k", "len", F.least("len", F.lit(TERMS)).alias("need"), "whole")
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -66,52 +78,63 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def phrase_candidates(index: DataFrame, terms: DataFrame) -> DataFrame:
     """(phrase_id, r1, r2, start): places at which the shifted posting lists of a phrase's terms meet."""
+    terms = terms.where(F.col("whole") & (F.col("k") <= TERMS)).select("phrase_id", "word", "off", "need")
     shifted = index.join(_small(terms), "word").select("phrase_id", "need", "r1", "r2", (F.col("pos") - F.col("off")).alias("start"))
     met = shifted.where("start >= 0").groupBy("phrase_id", "need", "r1", "r2", "start").agg(F.count("*").alias("n"))
     return met.where("n = need").select("phrase_id", "r1", "r2", "start")
 
 
-def proximity_matches(index: DataFrame, terms: DataFrame, slop: int) -> DataFrame:
-    """(phrase_id, r1, r2): documents with all looked-up terms (two at most) of a phrase within slop words.
+def proximity_candidates(index: DataFrame, terms: DataFrame, slop: int) -> DataFrame:
+    """(phrase_id, r1, r2, start): places that NEAR_MEET looked-up words of a phrase agree on within slop words.
 
-    Positions meet in cells of ``slop`` words and the next, so no list is paired with a whole list.
+    Places meet in cells of twice the slop on two grids half a cell apart, so no list is paired with another.
     """
-    placed = index.join(_small(terms), "word").withColumn("cell", F.floor(F.col("pos") / F.lit(max(1, slop))))
-    first = Window.partitionBy("phrase_id").orderBy("off")
-    order = terms.withColumn("k", F.row_number().over(first)).select("phrase_id", "off", "k")
-    placed = placed.join(order, ["phrase_id", "off"])
-    single = placed.where("need = 1").select("phrase_id", "r1", "r2")
-    a = placed.where("need > 1 and k = 1").select("phrase_id", "r1", "r2", F.col("pos").alias("p"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    b = placed.where("need > 1 and k = 2").select("phrase_id", "r1", "r2", F.col("pos").alias("q"), "cell")
-    near = a.join(b, ["phrase_id", "r1", "r2", "cell"]).where((F.abs(F.col("p") - F.col("q")) <= slop) & (F.col("p") != F.col("q")))
-    return single.union(near.select("phrase_id", "r1", "r2")).distinct()
+    terms = terms.where(F.col("len") >= NEAR_LEAST).select("phrase_id", "word", "off")
+    shifted = index.join(_small(terms), "word").select("phrase_id", "off", "r1", "r2", (F.col("pos") - F.col("off")).alias("start"))
+    size = 2 * slop + 1
+    grids = F.array(*[F.struct(F.lit(g).alias("grid"), F.floor((F.col("start") + g * (slop + 1)) / size).alias("cell")) for g in (0, 1)])
+    cells = shifted.withColumn("x", F.explode(grids)).select("phrase_id", "r1", "r2", "x.*", "off", "start")
+    cells = cells.groupBy("phrase_id", "r1", "r2", "grid", "cell", "off").agg(F.min("start").alias("start"))
+    met = cells.groupBy("phrase_id", "r1", "r2", "grid", "cell").agg(F.count("*").alias("n"), F.min("start").alias("start")).where(F.col("n") >= NEAR_MEET)
+    return met.select("phrase_id", "r1", "r2", "start").distinct()
+
 
+def contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slop: int | None = None) -> DataFrame:
+    """All columns of docs, then n_words, n_hit, hits (start, phrase, items), item_ids (sorted as strings) and near_ids.
 
-def contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """All columns of docs, then n_words, n_hit, hits (start, phrase, items), item_ids (sorted as strings).
+    near_ids, for a given slop: items of which no phrase occurs but one of NEAR_LEAST words or more matches by proximity:
+    NEAR_SHARE of its distinct words stand within slop words of the place that NEAR_MEET of its NEAR_TERMS rarest words
+    point to. Without a slop they are not looked for.
 
     A document word is hit when an occurrence of a phrase covers it. A null text has no words; an item without words has
     no phrase; a null item_id counts as no item, though its phrases hit. Repeated rows get equal results; ties of
     frequency go to the earlier word. Empty tables give no rows or no hits. Clashing columns of docs (n_words, n_hit,
-    hits, item_ids) are replaced, and its other columns pass through.
+    hits, item_ids, near_ids) are replaced, and its other columns pass through.
     """
-    added = ["n_words", "n_hit", "hits", "item_ids"]
+    added = ["n_words", "n_hit", "hits", "item_ids", "near_ids"]
     kept = [c for c in docs.columns if c not in added]
     row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
     rows = docs.select(row, *row_keys(f"`{id_col}`", f"`{text_col}`"))
     texts = rows.select("r1", "r2", F.col("row")[text_col].alias("text"))
     table = stage(phrases(items, window, item_col, item_text_col).withColumn("phrase_id", F.xxhash64("phrase")), "phrases")
-    terms = stage(lookup_terms(table, texts), "terms")
+    terms = stage(lookup_terms(table, texts, TERMS if slop is None else NEAR_TERMS), "terms")
     index = stage(postings(texts, terms), "postings")
-    found = phrase_candidates(index, terms).join(_small(table), "phrase_id")
-    found = found.groupBy("r1", "r2").agg(F.collect_list(F.struct("start", "phrase", "items")).alias("c"))
+    found = phrase_candidates(index, terms).withColumn("near", F.lit(False))
+    if slop is not None:
+        found = found.unionByName(proximity_candidates(index, terms, slop).withColumn("near", F.lit(True)))
+    found = found.join(_small(table), "phrase_id")
+    found = found.groupBy("r1", "r2").agg(F.collect_list(F.struct("start", "phrase", "items", "near")).alias("c"))
     both = rows.join(found, ["r1", "r2"], "left").withColumn("w", word_list(f"row.`{text_col}`"))
     both = both.withColumn("c", F.coalesce("c", F.array().cast(found.schema["c"].dataType)))
-    exact = F.filter("c", lambda c: F.slice(F.col("w"), c["start"] + 1, F.size(c["phrase"])) == c["phrase"])
-    both = both.select("row", F.size("w").cast("long").alias("n_words"), F.array_sort(exact).alias("hits"))
+    exact = F.filter("c", lambda c: ~c["near"] & (F.slice(F.col("w"), c["start"] + 1, F.size(c["phrase"])) == c["phrase"]))
+    exact = F.transform(exact, lambda c: F.struct(c["start"].alias("start"), c["phrase"].alias("phrase"), c["items"].alias("items")))
+    first = lambda c: F.greatest(c["start"] - (slop or 0), F.lit(0))
+    there = lambda c: F.array_intersect(c["phrase"], F.slice(F.col("w"), first(c) + 1, F.size(c["phrase"]) + 2 * (slop or 0)))
+    close = F.filter("c", lambda c: c["near"] & (F.size(there(c)) >= NEAR_SHARE * F.size(F.array_distinct(c["phrase"]))))
+    both = both.select("row", F.size("w").cast("long").alias("n_words"), F.array_sort(exact).alias("hits"), close.alias("close"))
     # the union of the hit spans, in order of their starts
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     fold = F.aggregate("hits", zero, lambda t, h: F.struct((t["n"] + F.greatest(F.lit(0), h["start"] + F.size(h["phrase"]) - F.greatest(h["start"], t["end"]))).alias("n"), F.greatest(t["end"], h["start"] + F.size(h["phrase"])).alias("end")))
-    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(h["items"], lambda x: x.cast("string"))))))
-    out = both.select("row", "n_words", fold["n"].alias("n_hit"), "hits", ids.alias("item_ids"))
+    ids = lambda c: F.array_sort(F.array_distinct(F.flatten(F.transform(c, lambda h: F.transform(h["items"], lambda x: x.cast("string"))))))
+    out = both.select("row", "n_words", fold["n"].alias("n_hit"), "hits", ids("hits").alias("item_ids"), F.array_except(ids("close"), ids("hits")).alias("near_ids"))
     return out.select("row.*", *added)

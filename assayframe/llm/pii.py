@@ -268,7 +268,8 @@ def pseudonymize(docs: DataFrame, *, key: str, text_col: str = "text", id_col: s
     shown = mentions.distinct().groupBy("r1", "r2").agg(F.sort_array(F.collect_list(F.struct("k", "kind", "head", F.col("body").alias("mention"), "tail", own.alias("surrogate")))).alias("e"))
     # texts without a replaced mention stay as they are
     shown = shown.where(F.exists("e", lambda x: x["kind"].isNotNull()))
-    both = rows.join(shown, ["r1", "r2"], "left")
+    # one plan at every size: a table that is small enough to be broadcast today grows with the corpus
+    both = rows.join(shown.hint("merge"), ["r1", "r2"], "left")
     parts = F.when(text.rlike(_NAME), F.split(text, NAMING)).otherwise(F.split(text, PATTERN))
     pieces = F.zip_with(parts, "e", lambda p, e: F.concat_ws("", p, e["head"], e["surrogate"], e["tail"]))
     new = F.when(F.size("e") > 0, F.array_join(pieces, "")).otherwise(text)
