@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from .encode import distinct
 from .ragged import LOWER, mix, prefix, slices, span_hash, word_hashes, words
-from .spark_io import stage
+from .spark_io import discard, stage
 
 #: Coordinates of a signature, and matches from which full sets are compared. At a similarity of 0.8 fewer than 36 of 64
 #: match with a probability of 4 in a million.
@@ -195,6 +195,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
         live = live.join(groups.where(F.col("others") > leaders), "cv", "left_semi").join(heads.select("cv", F.col("a").alias("rep")), ["cv", "rep"], "left_anti").select("cv", "rep")
         leaders *= 16
 
+    discard(prefixes, marked, sets, tested)
     classes = reps.join(labels, reps.rep == labels.id, "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .encode import text_encoder
 from .spark_io import stage
 
-#: Parts into which the pieces of one length are dealt for ranking.
-SALT = 64
+#: Pieces of one length that are ranked in one part.
+PART = 50_000
 
 
 def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -117,16 +117,17 @@ def place(pieces: DataFrame, size: int) -> DataFrame:
     """sequence_id and offset for a stored table of pieces.
 
     Only the histogram reaches the driver. The plan has some thousand rows at most, a bound that size sets and not the
-    corpus, and is broadcast. Pieces of one length, however many, are ranked in SALT parts.
+    corpus, and is broadcast. Pieces of one length, however many, are ranked in parts of about PART.
     """
     spark = pieces.sparkSession
-    keyed = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALT)))
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    parts = spark.createDataFrame([(k, -(-n // PART)) for k, n in histogram.items()], "length bigint, parts bigint")
+    keyed = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts"))).drop("parts")
     counts = keyed.groupBy("length", "part").count()
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("skip"))
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     ranked = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece")) - 1)
-    ranked = ranked.join(F.broadcast(offsets), ["length", "part"]).withColumn("rank", F.col("skip") + F.col("nth"))
+    ranked = ranked.join(offsets, ["length", "part"]).withColumn("rank", F.col("skip") + F.col("nth"))
     rows = plan(histogram, size)
     # the slots of a length as one row, so that the join has one partner for each piece
     slots: dict[int, list] = {}

@@ -49,3 +49,18 @@ def test_stages(spark, corpus):
     for r in packed:
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
     assert got == size and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_on_odd_rows(spark, corpus, tmp_path):
+    """Nulls in every column, empty texts, repeated and tied rows, clashing columns; and an empty table."""
+    texts, at = corpus
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words string, marks string, component_id string"
+    rows = [(None, texts[0], None, None, None), (7, None, "en", None, 3), (7, "", None, "s", None), (8, texts[100], "en", "s", 5), (8, texts[100], "en", "s", 5), (9, texts[9], "en", "s", 1), (9, texts[10], "en", "s", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame([(*r, "a", "b", "c", "d") for r in rows], schema)
+    want = {"quality_rules": 5, "line_dedup": 8, "near_duplicates": 8, "decontamination": 8}
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, docs, at)
+        assert out.columns == corpus_pipeline.COLUMNS and out.count() == want[name], name
+        assert step(spark, docs.limit(0), at).count() == 0, name
+    assert corpus_pipeline.best_fit_packing(spark, docs, at).count() == 8
+    assert corpus_pipeline.best_fit_packing(spark, docs.limit(0), at).count() == 0
