@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .decontam import _small
 from .near_dedup import near_duplicates
 from .quality import WHITE
-from .spark_io import discard, row_keys, stage
+from .spark_io import discard, row_keys, scratch, stage
 
 DEPTH, MIN_DOCS, STABLE = 3, 10, 0.5
 FIELD = "<*>"
@@ -63,7 +63,7 @@ def template_lines(rows: DataFrame, min_docs: int) -> DataFrame:
     marks = found.join(_small(stage(good, "recurring")), "exact").groupBy("r1", "r2")
     marks = marks.agg(F.any_value("words").alias("words"), F.collect_set(F.struct("at", F.size("t").alias("n"))).alias("marks"))
     out = stage(marks, "marks")
-    discard(found, docs, exact, spread, shapes)
+    discard(leaves, found, docs, exact, spread, shapes)
     return out
 
 
@@ -95,9 +95,11 @@ def line_dedup(docs: DataFrame, *, min_docs: int = MIN_DOCS, id_col: str = "doc_
     rows = docs.select(row, *row_keys(f"`{id_col}`", f"`{text_col}`"))
     text = F.col("row")[text_col]
     texts = rows.select("r1", "r2", text.alias("text"))
-    marks = template_lines(texts, min_docs)
-    whole = copies(texts, marks).withColumn("copied", F.lit(True))
-    marks = marks.join(whole, "r1", "left").select("r1", "r2", "marks.at", F.coalesce("copied", F.lit(False)).alias("copied"))
+    with scratch() as keep:
+        marks = template_lines(texts, min_docs)
+        whole = copies(texts, marks).withColumn("copied", F.lit(True))
+        marks = stage(marks.join(whole, "r1", "left").select("r1", "r2", "marks.at", F.coalesce("copied", F.lit(False)).alias("copied")), "marks")
+        keep(marks)
     both = rows.join(marks, ["r1", "r2"], "left").withColumn("lines", F.split(text, "\n"))
     both = both.withColumns({"at": F.coalesce("at", F.array().cast("array<int>")), "copied": F.coalesce("copied", F.lit(False))})
     both = both.withColumn("cut", (F.size("at") > 0) & ~F.col("copied"))

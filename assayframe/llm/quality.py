@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spark_io import stage
+from .spark_io import scratch, stage
 
 #: Transformed statistics and the least standard deviation each is given (documents of a group may share one value).
 FEATURES = {
@@ -208,12 +208,15 @@ def quality(docs: DataFrame, *, carry: list[str] | None = None, id_col: str = "d
     rows = docs.select(row, F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{source_col}`").alias("source"))
     rows = with_statistics(rows.withColumn("copy", F.xxhash64("text"))).drop("text").withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
     rows = stage(rows.selectExpr("*", *[f"IF(base_failed, NULL, CAST({e} AS DOUBLE)) AS {x}" for x, (e, _) in FEATURES.items()]), "statistics")
-    sound = stage(rows.where("NOT base_failed").select("lang", "source", "copy", *NAMES).distinct().drop("copy"), "sound")
-    groups = stage(levels(sound), "groups")
-    fed = _same(sound, groups.select("lang", "source", F.explode("feeds").alias("level")), ["lang", "source"])
-    estimates = least_determinant(fed.select(*_at_level(F.col("level")), *NAMES))
-    judges = groups.select("lang", "source", F.struct(*_at_level(F.col("level"))).alias("at"))
-    judges = _same(judges.select(F.struct("lang", "source").alias("group"), "at.*"), estimates, KEYS).drop(*KEYS).select("group.*", "*").drop("group")
+    with scratch() as keep:
+        sound = stage(rows.where("NOT base_failed").select("lang", "source", "copy", *NAMES).distinct().drop("copy"), "sound")
+        groups = stage(levels(sound), "groups")
+        fed = _same(sound, groups.select("lang", "source", F.explode("feeds").alias("level")), ["lang", "source"])
+        estimates = least_determinant(fed.select(*_at_level(F.col("level")), *NAMES))
+        judges = groups.select("lang", "source", F.struct(*_at_level(F.col("level"))).alias("at"))
+        judges = _same(judges.select(F.struct("lang", "source").alias("group"), "at.*"), estimates, KEYS).drop(*KEYS).select("group.*", "*").drop("group")
+        judges = stage(judges, "judges")
+        keep(judges)
     judged = distances(rows, judges, ["lang", "source"], how="left")
     kept = F.expr(f"NOT base_failed AND coalesce(d2 <= {CUTOFF}, true)")
     return judged.select("row.*", *added[:6], F.when(~F.col("base_failed"), F.col("d2")).alias("distance2"), kept.alias("kept"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
@@ -42,6 +46,25 @@ def discard(*tables: DataFrame) -> None:
         p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[..., None]]:
+    """A scope whose staged tables are deleted at its end, but for those that the yielded function was told to keep; an
+    outer scope, if there is one, takes these over."""
+    kept: list[DataFrame] = []
+    _scopes.append([])
+    try:
+        yield lambda *tables: kept.extend(tables)
+    finally:
+        made = _scopes.pop()
+        paths = {t._staged_at for t in kept if hasattr(t, "_staged_at")}
+        discard(*[t for t in made if t._staged_at not in paths])
+        if _scopes:
+            _scopes[-1].extend(t for t in made if t._staged_at in paths)
+
+
 def row_keys(doc_id: str, text: str) -> tuple[Column, Column]:
     """128 bits that tell rows apart by id and text; equal rows share them, and so share every result."""
     return F.xxhash64(doc_id, text).alias("r1"), F.xxhash64(F.lit(7), text, doc_id).alias("r2")
