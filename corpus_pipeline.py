@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayframe.llm import decontam, lines, near_dedup, packing, quality
-from assayframe.llm.spark_io import discard, stage
+from assayframe.llm.spark_io import discard, scratch, stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -73,10 +73,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again by the next."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
-        if before is not None:
-            discard(before)
-        before = docs
+        with scratch() as keep:  # what a stage has stored goes when its result is written, and so does its input
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+            keep(docs)
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
