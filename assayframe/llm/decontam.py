@@ -26,16 +26,14 @@ NEAR_TERMS, NEAR_MEET, NEAR_SHARE, NEAR_LEAST = 4, 3, 0.75, 8
 BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same before capitals are lowered.
-OPEN_BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def word_list(text: str) -> Column:
     """Words in lower case (ASCII), an empty array for null."""
-    words = F.array_remove(F.split(F.col(text), OPEN_BREAKS), "")
-    # lower() is fast but also lowers capitals beyond ASCII
-    low = F.transform(words, lambda w: F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER)))
-    return F.coalesce(low, F.array().cast("array<string>"))
+    t = F.col(text)
+    # lower() is fast but also lowers capitals beyond ASCII, so only texts without such bytes take it
+    low = F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
+    return F.coalesce(F.array_remove(F.split(low, BREAKS), ""), F.array().cast("array<string>"))
 
 
 def _small(df: DataFrame) -> DataFrame:
