@@ -42,6 +42,8 @@ FALL = 0.001
 CUTOFF = 42.0
 #: Sound texts that an estimate needs; a smaller group takes a wider one, and a table with fewer in all has none.
 LEAST = 50
+#: Estimates, of some 200 bytes each, up to which they are broadcast to the rows; more are joined by a shuffle.
+FEW = 20_000
 #: An estimate's rows: those of a language and source (level 0), of a language (1, source null), or all (2, both null).
 KEYS = ["level", "lang", "source"]
 BINS = 200.0
@@ -152,9 +154,15 @@ def moments(rows: DataFrame, keys: list[str], scale: float) -> DataFrame:
     return out.select(*keys, *ESTIMATE, F.expr("2 * (" + " + ".join(f"ln(l_{a}_{a})" for a in NAMES) + ")").alias("logdet"))
 
 
+def _few(estimates: DataFrame) -> bool:
+    """Whether stored estimates are counted to be few enough to be broadcast."""
+    return estimates.count() <= FEW
+
+
 def distances(rows: DataFrame, estimates: DataFrame, keys: list[str], *kept: str, how: str = "inner") -> DataFrame:
     """rows with the squared distance d2 by each estimate of the same keys, and the kept columns of the estimate."""
-    out = _same(rows, estimates.select(*keys, *kept, *ESTIMATE), keys, how)
+    estimates = estimates.select(*keys, *kept, *ESTIMATE)
+    out = _same(rows, F.broadcast(estimates) if _few(estimates) else estimates, keys, how)
     for i, a in enumerate(NAMES):
         s = f"{a} - m_{a}" + "".join(f" - l_{a}_{c} * z_{c}" for c in NAMES[:i])
         out = out.withColumn(f"z_{a}", F.expr(f"({s}) / l_{a}_{a}"))
@@ -170,7 +178,8 @@ def concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     keys = [*KEYS, "start"]
     near = distances(rows, estimates, KEYS, "start").withColumn("bin", F.expr(f"floor(ln(1 + d2) * {BINS})"))
     counts = near.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
-    inside = _same(near, _quantiles(counts, keys, {"edge": SHARE}), keys).where("bin <= edge")
+    edges = _quantiles(counts, keys, {"edge": SHARE})  # a row for each estimate
+    inside = _same(near, F.broadcast(edges) if _few(estimates) else edges, keys).where("bin <= edge")
     new = moments(inside, keys, FACTOR)
     values = [*ESTIMATE, "logdet"]
     both = _same(new, estimates.withColumnsRenamed({c: f"old_{c}" for c in values}), keys)
@@ -211,7 +220,8 @@ def quality(docs: DataFrame, *, carry: list[str] | None = None, id_col: str = "d
     with scratch() as keep:
         sound = stage(rows.where("NOT base_failed").select("lang", "source", "copy", *NAMES).distinct().drop("copy"), "sound")
         groups = stage(levels(sound), "groups")
-        fed = _same(sound, groups.select("lang", "source", F.explode("feeds").alias("level")), ["lang", "source"])
+        feeds = groups.select("lang", "source", F.explode("feeds").alias("level"))
+        fed = _same(sound, F.broadcast(feeds) if _few(groups) else feeds, ["lang", "source"])
         estimates = least_determinant(fed.select(*_at_level(F.col("level")), *NAMES))
         judges = groups.select("lang", "source", F.struct(*_at_level(F.col("level"))).alias("at"))
         judges = _same(judges.select(F.struct("lang", "source").alias("group"), "at.*"), estimates, KEYS).drop(*KEYS).select("group.*", "*").drop("group")
