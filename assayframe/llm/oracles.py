@@ -161,3 +161,31 @@ lined AS MATERIALIZED (SELECT *, coalesce(len(lines), 0)::BIGINT AS n_lines, len
 
 def line_sql() -> str:
     return f"WITH {line_ctes()} SELECT doc_id, n_lines, n_template_lines, n_dropped, copied, sha256(coalesce(rest, '')) AS kept_sha256 FROM lined"
+
+
+def negatives_sql() -> str:
+    """Every anchor against every row."""
+    return """WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+
+def trie_sql() -> str:
+    """Nodes as lists of turns, each compared with every other."""
+    bit = "CASE WHEN {x} % 2 = 1 THEN xor({x} // 2, 3988292384) ELSE {x} // 2 END"
+    step = "xor(acc, b)"
+    byte = f"list_reduce(range(8), lambda x, i: {bit.format(x='x')}, {step})"
+    crc = f"xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda acc, b: xor(acc // 256, {byte.replace('xor(acc, b)', 'xor(acc, b) % 256')}), 4294967295), 4294967295)"
+    return f"""WITH own AS (SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST, role, text) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, t, ({crc} % 6)::INT AS h FROM own),
+whole AS MATERIALIZED (SELECT h.conv_id, list_concat(coalesce(b.t[1:h.h], []), h.t[h.h + 1:]) AS t FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 100),
+node AS MATERIALIZED (SELECT d AS depth, t[1:d] AS p, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(t) = d), '')) AS ends_sha256 FROM whole, LATERAL (SELECT unnest(range(len(t) + 1)) AS d) GROUP BY ALL),
+up AS (SELECT c.depth, c.p, u.conv_id AS parent_conv_id FROM node c JOIN node u ON u.depth = c.depth - 1 AND u.p = c.p[1:c.depth - 1]),
+kids AS (SELECT n.depth, n.p, count(c.p) AS n_children FROM node n LEFT JOIN node c ON c.depth = n.depth + 1 AND c.p[1:n.depth] = n.p GROUP BY n.depth, n.p),
+sums AS (SELECT n.depth, n.p, count(*) FILTER (WHERE k.n_children = 0) AS n_leaves, sum(CASE WHEN s.depth = 0 THEN 0 ELSE (s.n_convs - 1) * length(s.p[s.depth].text) END)::BIGINT AS saved_tokens
+    FROM node n JOIN node s ON s.depth >= n.depth AND s.p[1:n.depth] = n.p JOIN kids k ON k.depth = s.depth AND k.p = s.p GROUP BY n.depth, n.p)
+SELECT node.conv_id, node.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM node JOIN kids USING (depth, p) JOIN sums USING (depth, p) LEFT JOIN up USING (depth, p)"""

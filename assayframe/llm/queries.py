@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, near_dedup, oracles, packing, pii, quality, substring, suffix_array, token_counts, token_store
+from . import decontam, hard_negatives, lines, near_dedup, oracles, packing, pieces, pii, prefix_trie, quality, substring, suffix_array, token_counts, token_store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,5 +66,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), carry=["doc_id"]).drop("distance2")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_store, op3_pii_surrogates, op4_decontamination, near_contamination, op5_near_dedup, op6_line_dedup, op7_token_counts, op8_best_fit_packing, op9_substring_dedup, op10_quality_rules)}
-ORACLES: dict[str, str] = {"op4_decontamination": oracles.contamination_sql(), "op6_line_dedup": oracles.line_sql(), "op10_quality_rules": oracles.quality_sql()}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(hard_negatives.relabelled(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(documents(spark, sf_dir))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_store, op3_pii_surrogates, op4_decontamination, near_contamination, op5_near_dedup, op6_line_dedup, op7_token_counts, op8_best_fit_packing, op9_substring_dedup, op10_quality_rules, op11_hard_negatives, op12_sentencepiece, op13_prefix_trie)}
+ORACLES: dict[str, str] = {"op4_decontamination": oracles.contamination_sql(), "op6_line_dedup": oracles.line_sql(), "op10_quality_rules": oracles.quality_sql(), "op11_hard_negatives": oracles.negatives_sql(), "op13_prefix_trie": oracles.trie_sql()}
