@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import classify_column, classify_columns, col, numeric_columns, require, string_columns
 from .profile import CHUNK, _tidy
 from .relational import duplicate_counts
+from .selection import order_statistics
 
 # Words for a missing assay, and the form of a value with a detection limit.
 SPECIAL = ["nd", "bdl", "na", "trace", "nil", "-"]
@@ -72,18 +73,19 @@ def detect_cleaning_issues(df: DataFrame) -> DataFrame:
     """One row for each column: dtype, class, nulls; for text distinct values, limits, commas and (assays) what is no
     number; for numbers interquartile outliers, min, max and (assays) negatives. Quartiles take a pass of their own."""
     text, numbers, dtypes = set(string_columns(df)), set(numeric_columns(df)), dict(df.dtypes)
-    quartiles = df.agg(*[F.percentile(col(c), F.lit([0.25, 0.75])).alias(f"_q{i}") for i, c in enumerate(df.columns) if c in numbers] or [F.lit(0).alias("_none")])
-    rows = df.join(F.broadcast(quartiles))
-    place = {c: i for i, c in enumerate(df.columns)}
+    quartiles = order_statistics(df, {c: col(c) for c in df.columns if c in numbers}, [0.25, 0.75])
+    rows = df
     null_long, null_double = F.max(F.lit(None).cast("long")), F.max(F.lit(None).cast("double"))
 
     def of(kinds: set, f, none=null_long, assay: bool = False):
         return lambda c: f(c) if c in kinds and (not assay or classify_column(c) == "geochem") else none
 
     def odd(c: str) -> Column:
-        q = F.col(f"_q{place[c]}")
-        spread = 1.5 * (q[1] - q[0])
-        return F.count_if((col(c) < q[0] - spread) | (col(c) > q[1] + spread))
+        low, high = quartiles[c]
+        if low is None:
+            return F.count_if(F.lit(False))
+        spread = 1.5 * (high - low)
+        return F.count_if((col(c) < low - spread) | (col(c) > high + spread))
 
     def unparsed(c: str) -> Column:
         t = F.trim(col(c))

@@ -1,107 +1,178 @@
-"""Clustering and dimension reduction on standardized numeric columns."""
+"""Clustering and dimension reduction on standardized features, which are one vector column throughout."""
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import product
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, require
+from . import gram, regions
 from .graph import connected_components, keep
+from .rowid import with_row_id
 
 
-def _complete(columns: list[str]) -> Column:
-    """Whether a row has all the columns.
+def features(df: DataFrame, columns: list[str] | str) -> Column:
+    """The features as one array: named number columns, or a column that is an array of numbers."""
+    if isinstance(columns, str):
+        require(df, [columns])
+        return col(columns).cast("array<double>")
+    require(df, columns)
+    return F.array(*[col(c).cast("double") for c in columns])
 
-    Operators store their input before they filter by this: over a projection that makes many columns out of an array,
-    the optimizer would try all combinations of the columns and what they are made of.
-    """
-    return F.forall(F.array(*[col(c).cast("double") for c in columns]), lambda x: x.isNotNull())
 
+def complete(x: Column) -> Column:
+    """Whether a row has all its features."""
+    return F.coalesce(x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v)), F.lit(False))
 
-def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows without nulls in the columns, plus z0, z1, ... by mean and population deviation (0 divides by 1)."""
-    require(df, columns)
-    rows = df.where(_complete(columns))
-    stats = rows.agg(*[F.avg(col(c)).alias(f"_m{k}") for k, c in enumerate(columns)], *[F.stddev_pop(col(c)).alias(f"_s{k}") for k, c in enumerate(columns)])
-    z = {f"z{k}": (col(c) - F.col(f"_m{k}")) / F.when(F.col(f"_s{k}") == 0, 1.0).otherwise(F.col(f"_s{k}")) for k, c in enumerate(columns)}
-    out = rows.join(F.broadcast(stats)).withColumns(z)
-    return out.select(*df.columns, *z)
+
+def standardized(df: DataFrame, columns: list[str] | str) -> DataFrame:
+    """Rows with all features, plus _z: an array by mean and population deviation (0 divides by 1).
+
+    Means and deviations come from one pass over the vectors and are a literal of the plan, two numbers a feature.
+    """
+    rows = df.withColumn("_x", features(df, columns)).where(complete(F.col("_x")))
+    mean, dev = gram.moments(rows, "_x")
+    scale = F.transform(F.arrays_zip(F.col("_x").alias("x"), F.lit(mean).alias("m"), F.lit([s or 1.0 for s in dev]).alias("s")), lambda e: (e["x"] - e["m"]) / e["s"])
+    return rows.withColumn("_z", scale if mean else F.col("_x")).drop("_x")
 
 
-def _vectors(df: DataFrame, n: int) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
+def _rest(df: DataFrame, columns: list[str] | str) -> DataFrame:
+    """Rows that lack a feature."""
+    return df.where(~complete(features(df, columns)))
 
-    return VectorAssembler(inputCols=[f"z{k}" for k in range(n)], outputCol="_v").transform(df)
 
+def kmeans(df: DataFrame, columns: list[str] | str, k: int = 3, seed: int = 42, max_iter: int = 300) -> DataFrame:
+    """df with cluster_kmeans; null for rows with a null feature.
 
-def kmeans(df: DataFrame, columns: list[str], k: int = 3, seed: int = 42) -> DataFrame:
-    """df with cluster_kmeans; null for rows with a null feature. Fitted by Spark's parallel k-means."""
+    Spark's parallel k-means from scalable seeds, iterated until no centre moves: every row then has the label of its
+    nearest centre, and every centre is the mean of its rows.
+    """
     from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
 
     df = keep(df)
-    rows = _vectors(standardized(df, columns), len(columns))
-    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster_kmeans").fit(rows)
+    rows = standardized(df, columns).withColumn("_v", array_to_vector("_z"))
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=1e-12, featuresCol="_v", predictionCol="cluster_kmeans").fit(rows.select("_v"))
     done = model.transform(rows).select(*df.columns, "cluster_kmeans")
-    rest = df.where(~_complete(columns))
-    return done.unionByName(rest.withColumn("cluster_kmeans", F.lit(None).cast("int")))
+    return done.unionByName(_rest(df, columns).withColumn("cluster_kmeans", F.lit(None).cast("int")))
 
 
-def pca(df: DataFrame, columns: list[str], n: int = 2) -> tuple[DataFrame, list[float]]:
+def pca(df: DataFrame, columns: list[str] | str, n: int = 2) -> tuple[DataFrame, list[float]]:
     """df with PCA1..PCAn (null for rows with a null feature), and the share of variance of each component.
 
-    The largest loading of a component is positive.
+    The components are eigenvectors of the features' Gram matrix, which one pass adds up by blocks; it has the square of
+    the number of features and is decomposed on the driver. The largest loading of a component is positive.
     """
-    import numpy as np
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import vector_to_array
-
     df = keep(df)
-    rows = _vectors(standardized(df, columns), len(columns))
-    model = PCA(k=n, inputCol="_v", outputCol="_p").fit(rows)
-    loadings = model.pc.toArray()
-    sign = np.sign(loadings[np.abs(loadings).argmax(axis=0), range(n)])
-    done = model.transform(rows).withColumn("_p", vector_to_array("_p"))
-    done = done.select(*df.columns, *[(F.col("_p")[i] * float(sign[i])).alias(f"PCA{i + 1}") for i in range(n)])
-    rest = df.where(~_complete(columns))
-    out = done.unionByName(rest.withColumns({f"PCA{i + 1}": F.lit(None).cast("double") for i in range(n)}))
-    return out, [float(x) for x in model.explainedVariance]
+    rows = standardized(df, columns)
+    count, products = gram.gram(rows, "_z")
+    width = len(products)
+    if not 1 <= n <= max(width, 1):
+        raise ValueError(f"{n} components of {width} features")
+    names = [f"PCA{i + 1}" for i in range(n)]
+    if not width:
+        return df.withColumns({c: F.lit(None).cast("double") for c in names}), []
+    values, vectors = np.linalg.eigh(products / max(count - 1, 1))
+    values, vectors = values[::-1], vectors[:, ::-1][:, :n]
+    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), range(n)])
+    share = np.maximum(values, 0) / max(np.maximum(values, 0).sum(), 1e-300)
+
+    def score(i: int) -> Column:
+        products = F.zip_with("_z", F.lit([float(x) for x in vectors[:, i]]), lambda a, b: a * b)
+        return F.aggregate(products, F.lit(0.0), lambda a, b: a + b)
+
+    done = rows.select(*df.columns, *[score(i).alias(c) for i, c in enumerate(names)])
+    out = done.unionByName(_rest(df, columns).withColumns({c: F.lit(None).cast("double") for c in names}))
+    return out, [float(x) for x in share[:n]]
 
 
 def cluster_sizes(df: DataFrame, label: str) -> DataFrame:
     return df.where(col(label).isNotNull()).groupBy(col(label).alias("cluster")).agg(F.count("*").alias("size"))
 
 
-def dbscan(df: DataFrame, columns: list[str], row_id: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
+def _counts(eps: float):
+    """(id, n): weight of the rows within eps of each row of a block, by the blocks that come with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = ids = total = None
+        for now, a, b in regions.unpacked(batches):
+            if now != key:
+                if key is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "n"])
+                key, ids, total = now, a[0], np.zeros(len(a[0]), np.int64)
+            total = total + regions.within(a[3], b[3], eps) @ b[1]
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "n"])
+
+    return run
+
+
+def _links(eps: float):
+    """(a, b): links that join what is connected between two blocks, a core always second. A core has one link at most, to
+    the least core of its part; another row has one for each part in reach, marked by kind 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, a, b in regions.unpacked(batches):
+            core = b[2]
+            near = regions.within(a[3], b[3][core], eps)
+            mine, other, own = a[0], b[0][core], a[2]
+            none = np.iinfo(np.int64).max
+            left, right = np.where(own, mine, none), other.copy()
+            among = near[own]
+            while True:  # least ids spread over the links between the two sides
+                reach = np.where(among, right, none).min(axis=1, initial=none)
+                new_left = np.minimum(left[own], reach)
+                new_right = np.minimum(right, np.where(among, new_left[:, None], none).min(axis=0, initial=none))
+                if (new_left == left[own]).all() and (new_right == right).all():
+                    break
+                left[own], right = new_left, new_right
+            first, second = [mine[own], other], [left[own], right]
+            i, j = np.nonzero(near[~own])
+            edge = np.unique(np.stack([mine[~own][i], right[j]], axis=1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
+            x, y = np.concatenate(first), np.concatenate(second)
+            some = x != y
+            x, y = np.concatenate([x[some], edge[:, 0]]), np.concatenate([y[some], edge[:, 1]])
+            kind = np.concatenate([np.zeros(int(some.sum()), np.int32), np.ones(len(edge), np.int32)])
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(kind)], names=["a", "b", "kind"])
+
+    return run
+
+
+def dbscan(df: DataFrame, columns: list[str] | str, row_id: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """(row_id, cluster_dbscan) for every row: -1 is noise, null stands for rows with a null feature.
 
     A core has min_samples rows (itself included) within eps of the standardized features; clusters are connected cores,
-    numbered by their least core row; a border row joins the lowest-numbered cluster in reach. Cells of side eps on up to
-    three features bring near rows together by an equi-join; the distance is exact. Cost follows the pairs that share
-    neighbouring cells, so data much denser than eps is costly.
-    """
-    n, z = len(columns), [f"z{k}" for k in range(len(columns))]
-    points = keep(standardized(keep(df.select(col(row_id).alias("id"), *[col(c) for c in columns])), columns).select("id", *z))
-    spread = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in z]).first()
-    axes = sorted(range(n), key=lambda k: -(spread[k] or 0))[:3]
-    cells = points.withColumn("cell", F.array(*[F.floor(F.col(f"z{k}") / eps) for k in axes]))
-    steps = F.array(*[F.array(*[F.lit(s).cast("long") for s in step]) for step in product((-1, 0, 1), repeat=len(axes))])
-    around = cells.withColumn("step", F.explode(steps)).withColumn("cell", F.zip_with("cell", "step", lambda a, b: a + b)).drop("step")
-    around = around.select(F.col("id").alias("other"), "cell", *[F.col(c).alias(f"o{c}") for c in z])
-    d2 = reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"o{c}")) * (F.col(c) - F.col(f"o{c}")) for c in z])
-    near = keep(cells.join(around, "cell").where(d2 <= eps * eps).select("id", "other"))
-    cores = keep(near.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("id"))
-    links = near.join(cores, "id").join(cores.withColumnRenamed("id", "other"), "other").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    found = connected_components(links.where("a < b"))
-    core = cores.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    from .rowid import with_row_id
+    numbered by their least core row; a border row joins the lowest-numbered cluster in reach.
 
+    Rows of equal features are one point with a weight. A metric partition (see regions) brings each point together with all
+    its neighbours; two blocks give counts, and then no more links than they have rows, as each core is linked to the least
+    core it is connected with there. Parts of different blocks meet in the rows they share. Where features lie so far
+    apart that eps reaches across most borders, as in many dimensions without clusters, fewer regions are made, and in the
+    end all points are compared block by block.
+    """
+    every = df.select(col(row_id).alias("_id"), features(df, columns).alias("_f"))
+    numbered = dict(every.dtypes)["_id"] in ("tinyint", "smallint", "int", "bigint")
+    every = keep(every.withColumn("id", F.col("_id").cast("long")) if numbered else with_row_id(every.where("_id IS NOT NULL"), ["_id"], "id"))
+    rows = keep(standardized(every.where("id IS NOT NULL"), "_f").select("id", F.col("_z").alias("z")))
+    points = keep(rows.groupBy("z").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
+    found = regions.fitted(points, eps, points.count())
+    if found is None:
+        return every.select(F.col("_id").alias(row_id), F.lit(None).cast("int").alias("cluster_dbscan"))
+    pairs = regions.block_pairs(keep(regions.blocks(points.withColumn("mark", F.lit(False)), found)))
+    counts = pairs.mapInArrow(_counts(eps), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    points = keep(points.join(counts, "id").select("id", "weight", (F.col("n") >= min_samples).alias("mark"), "z"))
+    pairs = regions.block_pairs(keep(regions.blocks(points, found, "mark")))
+    links = keep(pairs.mapInArrow(_links(eps), "a long, b long, kind int").distinct())
+    parts = connected_components(links.where("kind = 0").select("a", "b"))
+    core = points.where("mark").join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     numbers = with_row_id(core.select("component").distinct(), ["component"], "number")
     core = keep(core.join(numbers, "component").select("id", "number"))
-    border = near.join(core.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("number").alias("reach"))
-    labels = points.select("id").join(core, "id", "left").join(border, "id", "left")
-    labels = labels.select("id", F.coalesce("number", "reach", F.lit(-1)).cast("int").alias("cluster_dbscan"))
-    every = df.select(col(row_id).alias("id")).join(labels, "id", "left")
-    return every.select(F.col("id").alias(row_id), "cluster_dbscan")
+    border = links.where("kind = 1").join(core.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("number").alias("reach"))
+    labels = points.select("id", "z").join(core, "id", "left").join(border, "id", "left")
+    labels = labels.select("z", F.coalesce("number", "reach", F.lit(-1)).cast("int").alias("cluster_dbscan"))
+    labels = rows.join(labels, "z").select("id", "cluster_dbscan")
+    return every.join(labels, "id", "left").select(F.col("_id").alias(row_id), "cluster_dbscan")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, find_columns, numeric_columns, require, string_columns
+from .gram import correlation_pairs
+from .selection import quantile_table
 
 #: Columns of one aggregation; wider tables are profiled in several, as generated code is limited in size.
 CHUNK = 60
@@ -83,34 +83,55 @@ def check_missing(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column, count, mean, std (sample), min, p25, p50, p75, max, 4 places; all numeric columns by default."""
+    """column, count, mean, std (sample), min, p25, p50, p75, max, 4 places; all numeric columns by default.
+
+    Columns of text (or other types) can be asked for in a call of their own: column, count, unique, top, freq, where top is
+    the commonest value, of equals the least.
+    """
     columns = columns or numeric_columns(df)
     require(df, columns)
+    numeric = set(numeric_columns(df))
+    if not set(columns) & numeric:
+        return _describe_text(df, columns)
+    if other := [c for c in columns if c not in numeric]:
+        raise ValueError(f"describe columns of numbers and of others apart: {', '.join(other)}")
     r = lambda x: F.round(x, 4)
     out = _tidy(df, columns, {
         "count": (lambda c: F.count(col(c)), "long"),
         "mean": (lambda c: r(F.avg(col(c))), "double"),
         "std": (lambda c: r(F.stddev_samp(col(c))), "double"),
         "min": (lambda c: r(F.min(col(c).cast("double"))), "double"),
-        "q": (lambda c: F.percentile(col(c), F.lit([0.25, 0.5, 0.75])), "array<double>"),
         "max": (lambda c: r(F.max(col(c).cast("double"))), "double"),
     })
+    out = out.join(F.broadcast(quantile_table(df, {c: col(c) for c in columns}, [0.25, 0.5, 0.75])), "column")
     quartiles = [r(F.get("q", i)).alias(n) for i, n in enumerate(("p25", "p50", "p75"))]
     return out.select("column", "count", "mean", "std", "min", *quartiles, "max")
 
 
+def _describe_text(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, count, unique, top, freq: value counts of all columns in one pass, then one row for each."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in columns]))
+    counts = df.select(cells.alias("x")).select("x.*").groupBy("column", "value").agg(F.count("*").alias("n"))
+    there = F.col("value").isNotNull()
+    top = F.min_by("value", F.when(there, F.struct((-F.col("n")).alias("n"), "value")))
+    out = counts.groupBy("column").agg(F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0)).alias("count"), F.count("value").alias("unique"), top.alias("top"), F.max(F.when(there, F.col("n"))).alias("freq"))
+    return df.sparkSession.createDataFrame([(c,) for c in columns], "column string").join(out, "column", "left").select("column", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("unique", F.lit(0)).alias("unique"), "top", "freq")
+
+
 def percentiles(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """column, p1, p5, p10, p25, p50, p75, p90, p95, p99 with linear interpolation, 4 places.
 
-    All shares of a column come from one aggregate. approx takes sketches instead of exact value counts, for columns of
-    very many distinct values.
+    Exact by counting in buckets (see selection), in a few passes whose cost does not grow with the distinct values.
+    approx takes sketches instead, in one pass.
     """
     columns = columns or numeric_columns(df)
     require(df, columns)
     names = (1, 5, 10, 25, 50, 75, 90, 95, 99)
-    shares = F.lit([n / 100 for n in names])
-    f = (lambda c: F.percentile_approx(col(c).cast("double"), shares, F.lit(10000))) if approx else (lambda c: F.percentile(col(c), shares))
-    out = _tidy(df, columns, {"q": (f, "array<double>")})
+    shares = [n / 100 for n in names]
+    if approx:
+        out = _tidy(df, columns, {"q": (lambda c: F.percentile_approx(col(c).cast("double"), F.lit(shares), F.lit(10000)), "array<double>")})
+    else:
+        out = quantile_table(df, {c: col(c) for c in columns}, shares)
     return out.select("column", *[F.round(F.get("q", i), 4).alias(f"p{n}") for i, n in enumerate(names)])
 
 
@@ -121,16 +142,17 @@ def pearson(a: Column, b: Column) -> Column:
 
 
 def correlations(df: DataFrame, threshold: float = 0.7, columns: list[str] | None = None) -> DataFrame:
-    """col_a, col_b, r (4 places) of the pairs with |r| at or above the threshold, strongest first."""
+    """col_a, col_b, r (4 places) of the pairs with |r| at or above the threshold, strongest first.
+
+    One pass adds up the products of all columns (see gram), however many they are; a pair counts the rows that have both.
+    """
     columns = columns or numeric_columns(df)
     if len(columns) < 2:
         raise ValueError("two numeric columns are needed")
-    pairs, out = list(combinations(columns, 2)), None
-    for i in range(0, len(pairs), CHUNK):
-        part = pairs[i : i + CHUNK]
-        one = df.agg(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.round(pearson(col(a), col(b)), 4).alias("r")).alias(f"c{k}") for k, (a, b) in enumerate(part)])
-        one = one.select(F.explode(F.array(*[f"c{k}" for k in range(len(part))])).alias("x")).select("x.*")
-        out = one if out is None else out.union(one)
+    require(df, columns)
+    found = correlation_pairs(df.select(F.array(*[col(c).cast("double") for c in columns]).alias("v")), "v")
+    names = F.lit(columns)
+    out = found.select(F.get(names, F.col("i").cast("int")).alias("col_a"), F.get(names, F.col("j").cast("int")).alias("col_b"), F.round("r", 4).alias("r"))
     return out.where(F.abs("r") >= threshold).orderBy(F.desc(F.abs("r")), "col_a", "col_b")
 
 

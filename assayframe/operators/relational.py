@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, numeric_columns, require
+from .rowid import with_row_id
+from .selection import grouped_quantiles
 
 HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full"}
 
@@ -45,6 +47,8 @@ def _grouped(df: DataFrame, keys: list[str], statistic: str, skip: list[str]) ->
         return groups.agg(F.count(col(values[0])).alias("count"))
     if statistic not in STATISTICS:
         raise ValueError(f"unknown statistic {statistic!r}")
+    if statistic == "median":
+        return grouped_quantiles(df, keys, values)
     return groups.agg(*[STATISTICS[statistic](col(c)).alias(c) for c in values])
 
 
@@ -146,28 +150,23 @@ def duplicate_counts(df: DataFrame, subsets: list[list[str]]) -> DataFrame:
 def smooth(df: DataFrame, column: str, window: int, method: str = "mean", *, order_by: list[str], partition_by: list[str] | None = None, bucket: int = 65536, row_id: str | None = None) -> DataFrame:
     """{column}_smooth: centred mean or median over ``window`` rows, null where fewer than that many values are present.
 
-    An even window has window // 2 rows before and (window - 1) // 2 after. Without partition columns the rows' dense
-    number (row_id, made here if there is none) is cut into buckets with a halo of neighbours, so no window holds the
-    whole table.
+    An even window has window // 2 rows before and (window - 1) // 2 after. Rows are numbered in the order of partition and
+    order columns (row_id is such a number, where there is one), and the numbers are cut into buckets with a halo of
+    neighbours. So no window holds the whole table, nor all rows of a partition key: a key that every row has is spread
+    over as many tasks as it fills buckets, while many small keys share one.
     """
-    from .rowid import with_row_id
-
-    require(df, [column, *order_by, *(partition_by or [])])
+    keys = partition_by or []
+    require(df, [column, *order_by, *keys])
     if method not in ("mean", "median"):
         raise ValueError(f"method must be mean or median, not {method!r}")
     before, after = window // 2, (window - 1) // 2
-    name = f"{column}_smooth"
-
-    def rolled(keys: list[Column], order: list[Column]) -> Column:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-before, after)
-        x = F.avg(col(column)) if method == "mean" else F.percentile(col(column), F.lit(0.5))
-        return F.when(F.count(col(column)).over(w) == window, x.over(w))
-
-    if partition_by:
-        return df.withColumn(name, rolled([col(k) for k in partition_by], [col(o) for o in order_by]))
-    rows = df if row_id else with_row_id(df, order_by, "_id")
-    at = col(row_id or "_id")
+    rows = df if row_id and not keys else with_row_id(df, [*keys, *order_by], "_id")
+    at = col(row_id if row_id and not keys else "_id")
+    low, high = F.floor((at - after) / bucket), F.floor((at + before) / bucket)
     home = F.floor(at / bucket)
-    spread = rows.withColumn("_b", F.explode(F.sequence(F.greatest(F.floor((at - after) / bucket), F.lit(0)), F.floor((at + before) / bucket))))
-    out = spread.withColumn(name, rolled([F.col("_b")], [at])).where(F.col("_b") == home).drop("_b")
-    return out if row_id else out.drop("_id")
+    spread = rows.withColumn("_b", F.explode(F.sequence(F.greatest(low, F.lit(0)), high)))
+    # the rows of other keys in a bucket are in windows of their own
+    w = Window.partitionBy("_b", *[col(k) for k in keys]).orderBy(at).rowsBetween(-before, after)
+    x = F.avg(col(column)) if method == "mean" else F.percentile(col(column), F.lit(0.5))
+    out = spread.withColumn(f"{column}_smooth", F.when(F.count(col(column)).over(w) == window, x.over(w)))
+    return out.where(F.col("_b") == home).select(*df.columns, f"{column}_smooth")

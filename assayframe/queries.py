@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions import predicates as p
 from .operators import anomaly as an
 from .operators import cleaning, crs, derive, filters, hypotheses, ml, plotdata, profile, raster, relational, rowid, verify
+from .operators.graph import keep
 from .plans.flagship import anomalous_groups
 from .sources import tables
 
@@ -150,8 +151,8 @@ _add("pivot_sum", "SELECT o_custkey, " + ", ".join(f"round(coalesce(sum(o_totalp
 _add("pivot_std", "SELECT * FROM (SELECT o_custkey, " + ", ".join(f"round(stddev_samp(o_totalprice) FILTER (o_orderstatus = '{k}'), 4) AS \"o_totalprice_{k}\"" for k in KINDS) + " FROM orders GROUP BY o_custkey) WHERE " + " OR ".join(f'"o_totalprice_{k}" IS NOT NULL' for k in KINDS), lambda t: _rounded(relational.pivot(t("orders"), ["o_custkey"], "o_orderstatus", ["o_totalprice"], None, "std"), *[f"o_totalprice_{k}" for k in KINDS], places=4))
 _add("pivot_last", "SELECT o_custkey, " + ", ".join(f"arg_max(o_totalprice, o_orderkey) FILTER (o_orderstatus = '{k}') AS \"o_totalprice_{k}\"" for k in KINDS) + " FROM orders GROUP BY o_custkey", lambda t: relational.pivot(t("orders"), ["o_custkey"], "o_orderstatus", ["o_totalprice"], None, "last", "o_orderkey"))
 _add("melt", " UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, '{c}' AS variable, {c} AS value FROM lineitem" for c in ("l_discount", "l_tax")), lambda t: relational.melt(t("lineitem"), ["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"]))
-for keep, order in (("first", "ASC"), ("last", "DESC")):
-    _add(f"remove_duplicates_{keep}", f"SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id {order}) AS k FROM events) WHERE k = 1", lambda t, keep=keep: relational.remove_duplicates(t("events").select("event_id", "user_id", "event_type"), ["event_id"], ["user_id", "event_type"], keep))
+for which, order in (("first", "ASC"), ("last", "DESC")):
+    _add(f"remove_duplicates_{which}", f"SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id {order}) AS k FROM events) WHERE k = 1", lambda t, which=which: relational.remove_duplicates(t("events").select("event_id", "user_id", "event_type"), ["event_id"], ["user_id", "event_type"], which))
 _add("remove_duplicates_none", "SELECT event_id, user_id, event_type FROM (SELECT *, count(*) OVER (PARTITION BY user_id, event_type) AS k FROM events) WHERE k = 1", lambda t: relational.remove_duplicates(t("events").select("event_id", "user_id", "event_type"), ["event_id"], ["user_id", "event_type"], "none"))
 _add("duplicate_counts", "SELECT 'l_orderkey,l_linenumber' AS subset, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS duplicates FROM lineitem UNION ALL SELECT 'l_partkey', count(*) - count(DISTINCT l_partkey) FROM lineitem", lambda t: relational.duplicate_counts(t("lineitem"), [["l_orderkey", "l_linenumber"], ["l_partkey"]]))
 for method, w in (("mean", 3), ("mean", 4), ("median", 5)):
@@ -206,45 +207,91 @@ def _features(t, n: int) -> DataFrame:
     return t("embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)])
 
 
-VALUES = [f"e{i}" for i in range(64)]
 EPS = 9.0
 #: Standardized vectors z of all embeddings.
 STANDARD = """(SELECT vec_id, list(z ORDER BY pos) AS z FROM (SELECT vec_id, pos, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS z FROM
 (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS pos FROM embeddings) WINDOW w AS (PARTITION BY pos)) GROUP BY vec_id)"""
 
 
+def _vectors(t) -> DataFrame:
+    return t("embeddings").select("vec_id", "embedding")
+
+
+def _clusters(t) -> DataFrame:
+    return ml.kmeans(_vectors(t), "embedding", 10).select("vec_id", "cluster_kmeans")
+
+
 def _kmeans_facts(t) -> DataFrame:
     """What must hold of any k-means result: every row has a label, labels are in range, and the rows lie closer to their
     clusters' means than to the common mean."""
-    labels = ml.kmeans(_features(t, 64), VALUES, 10).select("vec_id", "cluster_kmeans")
-    values = t("embeddings").select("vec_id", F.posexplode("embedding").alias("at", "x")).withColumn("x", F.col("x").cast("double"))
-    z = values.join(values.groupBy("at").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")), "at").withColumn("z", F.expr("(x - m) / s"))
+    labels = _clusters(t)
+    z = ml.standardized(_vectors(t), "embedding").select("vec_id", F.posexplode("_z").alias("at", "z"))
     parts = z.join(labels, "vec_id").groupBy("cluster_kmeans", "at").agg((F.sum(F.col("z") * F.col("z"))).alias("square"), (F.count("*") * F.avg("z") * F.avg("z")).alias("between"))
     closer = parts.agg((F.sum("between") > 0.02 * F.sum("square")).alias("closer"))
     return labels.agg(F.count("*").alias("n"), F.count_if(F.col("cluster_kmeans").between(0, 9)).alias("labelled"), F.count_distinct("cluster_kmeans").alias("k")).crossJoin(closer)
 
 
+def _kmeans_fixed_point(t) -> DataFrame:
+    """For every row: whether the mean of its label's rows is the nearest of all such means. Where this holds of all rows,
+    labels and means are a fixed point of k-means."""
+    z = ml.standardized(_vectors(t), "embedding").select("vec_id", "_z")
+    rows = keep(z.join(_clusters(t), "vec_id"))
+    means = rows.select("cluster_kmeans", F.posexplode("_z").alias("at", "x")).groupBy("cluster_kmeans", "at").agg(F.avg("x").alias("m"))
+    means = means.groupBy("cluster_kmeans").agg(F.sort_array(F.collect_list(F.struct("at", "m"))).alias("c")).select(F.col("cluster_kmeans").alias("k"), F.col("c.m").alias("m"))
+    d2 = F.aggregate(F.zip_with("_z", "m", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+    near = rows.crossJoin(F.broadcast(means)).groupBy("vec_id", "cluster_kmeans").agg(F.min(d2).alias("least"), F.min(F.when(F.col("k") == F.col("cluster_kmeans"), d2)).alias("own"))
+    return near.select("vec_id", (F.col("own") <= F.col("least") + 1e-9).alias("nearest"))
+
+
 def _pca_facts(t) -> DataFrame:
     """Components are centred and uncorrelated, the first has the larger variance, and neither more than the whole."""
-    rows, share = ml.pca(_features(t, 64), VALUES, 2)
+    rows, share = ml.pca(_vectors(t), "embedding", 2)
     centred = (F.abs(F.avg("PCA1")) < 1e-6) & (F.abs(F.avg("PCA2")) < 1e-6)
     own = F.abs(F.var_samp("PCA1") / 64 - share[0]) < 0.01 * share[0] + 0.001
     return rows.agg(F.count("PCA1").alias("n"), centred.alias("centred"), (F.abs(F.corr("PCA1", "PCA2")) < 1e-6).alias("uncorrelated"), (F.var_samp("PCA1") >= F.var_samp("PCA2")).alias("ordered"), own.alias("share_fits"))
 
 
-_add("kmeans", None, lambda t: ml.kmeans(_features(t, 64), VALUES, 10).select("vec_id", "cluster_kmeans"))
+def _power(name: str, start: str, squarings: int = 15) -> str:
+    """SQL tables of the leading eigenvector ({name}_v: i, x; the largest entry positive) and eigenvalue ({name}_l) of the
+    matrix in {start} (i, j, x), by squaring it again and again."""
+    steps = [f"{name}0 AS MATERIALIZED (SELECT i, j, x / (SELECT max(abs(x)) FROM {start}) AS x FROM {start})"]
+    for k in range(squarings):
+        steps.append(f"{name}{k + 1}s AS MATERIALIZED (SELECT a.i, b.j, sum(a.x * b.x) AS x FROM {name}{k} a JOIN {name}{k} b ON a.j = b.i GROUP BY ALL)")
+        steps.append(f"{name}{k + 1} AS MATERIALIZED (SELECT i, j, x / (SELECT max(abs(x)) FROM {name}{k + 1}s) AS x FROM {name}{k + 1}s)")
+    last = f"{name}{squarings}"
+    steps.append(f"{name}_c AS MATERIALIZED (SELECT i, x FROM {last} WHERE j = (SELECT arg_max(i, x) FROM {last} WHERE i = j))")
+    steps.append(f"{name}_v AS MATERIALIZED (SELECT i, x * sign((SELECT arg_max(x, abs(x)) FROM {name}_c)) / sqrt((SELECT sum(x * x) FROM {name}_c)) AS x FROM {name}_c)")
+    steps.append(f"{name}_l AS MATERIALIZED (SELECT sum(a.x * m.x * b.x) AS l FROM {start} m JOIN {name}_v a ON a.i = m.i JOIN {name}_v b ON b.i = m.j)")
+    return ", ".join(steps)
+
+
+_add("kmeans", None, _clusters)
 _add("kmeans_facts", "SELECT count(*) AS n, count(*) AS labelled, 10::BIGINT AS k, true AS closer FROM embeddings", _kmeans_facts)
-_add("pca", None, lambda t: ml.pca(_features(t, 64), VALUES, 2)[0].select("vec_id", "PCA1", "PCA2"))
+_add("kmeans_fixed_point", "SELECT vec_id, true AS nearest FROM embeddings", _kmeans_fixed_point)
+_add("pca", f"""WITH s AS MATERIALIZED (SELECT vec_id, unnest(range(64)) AS i, unnest(z) AS z FROM {STANDARD}),
+m AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.z * b.z) / ((SELECT count(*) FROM embeddings) - 1) AS x FROM s a JOIN s b ON a.vec_id = b.vec_id GROUP BY ALL), {_power('p', 'm')},
+d AS MATERIALIZED (SELECT m.i, m.j, m.x - l * a.x * b.x AS x FROM m JOIN p_v a ON a.i = m.i JOIN p_v b ON b.i = m.j, p_l), {_power('q', 'd')}
+SELECT vec_id, round(sum(z * p_v.x), 4) AS PCA1, round(sum(z * q_v.x), 4) AS PCA2 FROM s JOIN p_v ON p_v.i = s.i JOIN q_v ON q_v.i = s.i GROUP BY vec_id""",
+     lambda t: _rounded(ml.pca(_vectors(t), "embedding", 2)[0].select("vec_id", "PCA1", "PCA2"), "PCA1", "PCA2", places=4))
 _add("pca_facts", "SELECT count(*) AS n, true AS centred, true AS uncorrelated, true AS ordered, true AS share_fits FROM embeddings", _pca_facts)
-_add("dbscan", f"""WITH RECURSIVE v AS MATERIALIZED {STANDARD}, near AS MATERIALIZED (SELECT a.vec_id AS id, b.vec_id AS other FROM v a JOIN v b ON list_distance(a.z, b.z) <= {EPS}),
-core AS MATERIALIZED (SELECT id FROM near GROUP BY id HAVING count(*) >= 5),
+
+
+def _dbscan_sql(standard: str, eps: float, least: int) -> str:
+    return f"""WITH RECURSIVE v AS MATERIALIZED {standard}, near AS MATERIALIZED (SELECT a.vec_id AS id, b.vec_id AS other FROM v a JOIN v b ON list_distance(a.z, b.z) <= {eps}),
+core AS MATERIALIZED (SELECT id FROM near GROUP BY id HAVING count(*) >= {least}),
 link AS MATERIALIZED (SELECT id, other FROM near WHERE id IN (SELECT id FROM core) AND other IN (SELECT id FROM core)),
 reach AS (SELECT id, id AS root FROM core UNION SELECT link.other, reach.root FROM reach JOIN link ON link.id = reach.id WHERE reach.root < link.other),
 named AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
 number AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS k FROM named),
 border AS (SELECT near.id, min(k) AS k FROM near JOIN number ON number.id = near.other GROUP BY near.id)
-SELECT vec_id, coalesce(number.k, border.k, -1)::INT AS cluster_dbscan FROM v LEFT JOIN number ON number.id = vec_id LEFT JOIN border ON border.id = vec_id""",
-     lambda t: ml.dbscan(_features(t, 64), VALUES, "vec_id", EPS, 5))
+SELECT vec_id, coalesce(number.k, border.k, -1)::INT AS cluster_dbscan FROM v LEFT JOIN number ON number.id = vec_id LEFT JOIN border ON border.id = vec_id"""
+
+
+#: Eps and least rows of the clusters of the first three values: several clusters, borders and noise.
+NEAR, LEAST = 0.3, 5
+STANDARD_3 = STANDARD.replace("unnest(embedding)", "unnest(embedding[1:3])").replace("range(64)", "range(3)")
+_add("dbscan", _dbscan_sql(STANDARD, EPS, 5), lambda t: ml.dbscan(_vectors(t), "embedding", "vec_id", EPS, 5))
+_add("dbscan_three", _dbscan_sql(STANDARD_3, NEAR, LEAST), lambda t: ml.dbscan(_features(t, 3), ["e0", "e1", "e2"], "vec_id", NEAR, LEAST))
 
 # ---- verification and grading ----
 CLAIMS = [(1, 25.5, "l_quantity", "mean", None, None), (2, 50.0, "l_quantity", "max", None, None), (3, 3.0, "l_quantity", "min", None, None), (4, 0.0, "l_tax", "min", None, None), (5, 0.05, "l_discount", "median", None, 0.2), (6, 0.03, "l_discount", "std", None, 0.1), (7, 1.0, "nothing", "mean", None, None), (8, 1.0, "l_tax", "mode", None, None), (9, None, "l_tax", "mean", None, None), (10, 17.0, "l_quantity", "exact", None, None), (11, 1.0, "l_tax", "sum", None, None)]
