@@ -71,11 +71,11 @@ def pca(df: DataFrame, columns: list[str] | str, n: int = 2) -> tuple[DataFrame,
     rows = standardized(df, columns)
     count, products = gram.gram(rows, "_z")
     width = len(products)
-    if not 1 <= n <= max(width, 1):
-        raise ValueError(f"{n} components of {width} features")
     names = [f"PCA{i + 1}" for i in range(n)]
     if not width:
         return df.withColumns({c: F.lit(None).cast("double") for c in names}), []
+    if not 1 <= n <= width:
+        raise ValueError(f"{n} components of {width} features")
     values, vectors = np.linalg.eigh(products / max(count - 1, 1))
     values, vectors = values[::-1], vectors[:, ::-1][:, :n]
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), range(n)])

@@ -8,16 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, numeric_columns, require
+from .graph import keep
 from .rowid import with_row_id
 from .selection import grouped_quantiles
 
 HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full"}
 
 
+#: Rows of a sample in which hot keys are looked for; a key is hot if it has more than 1 / FINE of an average partition.
+SAMPLED, FINE = 200_000, 4
+
+
 def merge(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on shared names in which null keys match null keys.
 
-    Keys appear once (coalesced for outer and right joins); other shared names get _x and _y.
+    Keys appear once (coalesced for outer and right joins); other shared names get _x and _y. Spark splits the large
+    partitions of other joins at run time, but not those of a full outer one: there hot keys are salted (see _salted).
     """
     if how not in HOW:
         raise ValueError(f"how must be one of {', '.join(HOW)}, not {how!r}")
@@ -29,10 +35,54 @@ def merge(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
     test = F.lit(True)
     for i in range(len(on)):
         test = test & F.col(f"k{i}").eqNullSafe(F.col(f"j{i}"))
-    out = a.join(b, test, HOW[how])
+    out = _salted(a, b, test, len(on)) if how == "outer" else a.join(b, test, HOW[how])
     return out.select(*[F.coalesce(f"k{i}", f"j{i}").alias(c) for i, c in enumerate(on)], *[col(c) for c in [*a.columns[len(on) :], *b.columns[len(on) :]]])
 
 
+def _hot(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """Keys whose share of the rows is above 1 / (FINE * parts), and their share, by a sample: FINE * parts rows at most."""
+    n = rows.count()
+    some = rows.select(*keys).sample(min(1.0, SAMPLED / max(n, 1)), seed=3)
+    counts = some.groupBy(*keys).agg(F.count("*").alias("_m"))
+    share = F.col("_m") / F.lit(float(max(min(n, SAMPLED), 1)))
+    return counts.where((share > 1 / (FINE * parts)) & (F.col("_m") > 1)).select(*keys, share.alias("_share"), (share * n).alias("_rows"))
+
+
+def _salted(a: DataFrame, b: DataFrame, test: Column, n: int) -> DataFrame:
+    """Full outer join in which a hot key is spread over salts on the side that has more of it, and copied to all salts on
+    the other.
+
+    Every row of the first side is in one salt and meets all copies there. A copy that meets none is left out: as the
+    first side has the key, other copies of it are matched. Rows without a partner come once.
+    """
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = {"a": [f"k{i}" for i in range(n)], "b": [f"j{i}" for i in range(n)]}
+    common = [f"_h{i}" for i in range(n)]
+    hot = None
+    for side, rows in (("a", a), ("b", b)):
+        one = _hot(rows, names[side], parts).toDF(*common, "_share", "_rows").withColumn("_side", F.lit(side))
+        hot = one if hot is None else hot.unionByName(one)
+    # of a key that is hot on both sides the greater one is salted
+    hot = hot.groupBy(*common).agg(F.max_by(F.struct("_side", "_share"), "_rows").alias("_x"))
+    hot = keep(hot.select(*common, F.col("_x._side").alias("_side"), F.ceil(F.col("_x._share") * FINE * parts).cast("int").alias("_salts")))
+    if hot.isEmpty():
+        return a.join(b, test, "full")
+
+    def prepared(rows: DataFrame, side: str) -> DataFrame:
+        same = F.lit(True)
+        for x, y in zip(names[side], common):
+            same = same & rows[x].eqNullSafe(F.col(y))
+        out = rows.join(F.broadcast(hot), same, "left")
+        salted, every = F.col("_side") == side, F.sequence(F.lit(0), F.col("_salts") - 1)
+        salt = F.when(F.col("_side").isNull(), F.array(F.lit(0))).when(salted, F.array(F.pmod(F.monotonically_increasing_id(), F.col("_salts")).cast("int"))).otherwise(every)
+        return out.select(*rows.columns, F.coalesce(~salted, F.lit(False)).alias(f"_copy_{side}"), F.explode(salt).alias(f"_salt_{side}"))
+
+    left, right = prepared(a, "a"), prepared(b, "b")
+    out = left.join(right, test & (F.col("_salt_a") == F.col("_salt_b")), "full")
+    alone = (F.col("_salt_b").isNull() & F.col("_copy_a")) | (F.col("_salt_a").isNull() & F.col("_copy_b"))
+    return out.where(~F.coalesce(alone, F.lit(False))).select(*a.columns, *b.columns)
+
+
 STATISTICS = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5)), "max": F.max, "min": F.min, "sum": lambda c: F.coalesce(F.sum(c), F.lit(0))}
 
 
@@ -71,6 +121,8 @@ def aggregate_by(df: DataFrame, column: str, statistic: str = "mean", skip: list
     return _grouped(df, [column], statistic, skip or [])
 
 
+#: Columns up to which pivot makes them of keys it looks for.
+WIDEST = 10_000
 #: Aggregates of pivot; of these the SUMS have a value where all cells are null.
 AGGREGATES = STATISTICS | {"count": F.count, "nunique": F.count_distinct, "std": F.stddev_samp, "var": F.var_samp}
 SUMS = ["sum", "count", "nunique"]
@@ -80,7 +132,7 @@ def pivot(df: DataFrame, index: list[str], columns: str, values: list[str], keys
     """Long to wide: columns {value}_{key} for each value and key, sorted; rows without index or key are left out.
 
     first and last take the first and last non-null value by order_by. Listing the keys spares a pass that looks for
-    them; keys that are looked for give no column, and index values no row, that would be null throughout.
+    them (an error beyond WIDEST keys); keys that are looked for give no column, and index values no row, that would be null throughout.
     """
     require(df, [*index, columns, *values])
     if aggfunc in ("first", "last"):
@@ -96,7 +148,9 @@ def pivot(df: DataFrame, index: list[str], columns: str, values: list[str], keys
     for i in index:
         rows = rows.where(col(i).isNotNull())
     if keys is None:
-        # one row for each column of the result reaches the driver
+        # one row for each column of the result reaches the driver, and no more than WIDEST
+        if rows.select(col(columns)).distinct().limit(WIDEST + 1).count() > WIDEST:
+            raise ValueError(f"{columns} has more than {WIDEST} keys: list those to be columns")
         found = rows.groupBy(col(columns).alias("key")).agg(*[F.count(col(v)).alias(f"n{j}") for j, v in enumerate(values)]).collect()
         cells = sorted((v, r["key"]) for r in found for j, v in enumerate(values) if r[f"n{j}"] or aggfunc in SUMS)
     else:

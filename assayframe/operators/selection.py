@@ -12,6 +12,7 @@ that a group's ranks are row numbers; a group of very many rows lies in many par
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,7 +110,7 @@ def _order_statistics(rows: DataFrame, names: list[str], shares: list[float]) ->
     values: dict[tuple[int, int], float] = {}
     parts = []
     for k, r in size.items():
-        spots = sorted({int(f(s * (r["n"] - 1))) for s in shares for f in (np.floor, np.ceil)})
+        spots = sorted({f(s * (r["n"] - 1)) for s in shares for f in (math.floor, math.ceil)})
         parts.append((k, _signed(r["low"]), _signed(r["high"]), 0, r["n"], spots))
 
     def settle(k: int, low: int, high: int, before: int, n: int, ranks: list[int]) -> _Part | None:
@@ -141,16 +142,16 @@ def _order_statistics(rows: DataFrame, names: list[str], shares: list[float]) ->
         out[name] = []
         for s in shares:
             at = s * (size[k]["n"] - 1)
-            a, b = values[k, int(np.floor(at))], values[k, int(np.ceil(at))]
+            a, b = values[k, math.floor(at)], values[k, math.ceil(at)]
             # as Spark's percentile does it
-            out[name].append(a if a == b else (np.ceil(at) - at) * a + (at - np.floor(at)) * b)
+            out[name].append(a if a == b else (math.ceil(at) - at) * a + (at - math.floor(at)) * b)
     return out
 
 
 def quantile_table(df: DataFrame, columns: dict[str, Column], shares: list[float], name: str = "q") -> DataFrame:
     """(column, name): one row with the array of quantiles for each column."""
     found = order_statistics(df, columns, shares)
-    return df.sparkSession.createDataFrame([(c, [None if x is None else float(x) for x in q]) for c, q in found.items()], f"column string, {name} array<double>")
+    return df.sparkSession.createDataFrame(list(found.items()), f"column string, {name} array<double>")
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], columns: list[str], share: float = 0.5) -> DataFrame:

@@ -339,6 +339,37 @@ _add("grade_cluster", f"SELECT text, (SELECT count(DISTINCT p_brand) FROM part):
 _add("grade_anomaly", f"SELECT text, a::DOUBLE AS actual_value, a BETWEEN n - 1 AND n + 1 AS is_correct FROM {H_SQL}, (SELECT count(*) FILTER (p_size > 45) AS a FROM part)",
      lambda t: hypotheses.grade_anomaly(_hypotheses(t), t("part").agg(F.count_if(F.col("p_size") > 45).alias("n")).select(F.lit("p_size").alias("column"), "n")).select("text", "actual_value", "is_correct"))
 _add("grade_count", f"SELECT text, (SELECT count(*) FROM part WHERE p_size > 25)::DOUBLE AS actual_value, (SELECT count(*) FROM part WHERE p_size > 25) BETWEEN n - 1 AND n + 1 AS is_correct FROM {H_SQL}", lambda t: hypotheses.grade_count(_hypotheses(t), {"matching_rows": filters.threshold(t("part"), "p_size", 25).count()}).select("text", "actual_value", "is_correct"))
+TYPES = ["correlation", "distribution", "cluster", "anomaly", "existence", "count", "comparison", "trend", "general"]
+
+
+def _mixed(t) -> DataFrame:
+    """A prediction of every type in turn for each part and what it says of itself."""
+    kind = f"element_at(array({', '.join(repr(k) for k in TYPES)}), CAST(p_partkey % 9 AS INT) + 1)"
+    return t("part").selectExpr(
+        "concat('part ', p_partkey) AS text", f"{kind} AS claim_type", "IF(p_partkey % 4 = 3, 'nothing', 'p_size') AS column_a", "IF(p_partkey % 9 = 0, 'p_retailprice', NULL) AS column_b",
+        "CASE p_partkey % 5 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' WHEN 2 THEN 'none' END AS direction", "IF(p_partkey % 2 = 0, array(-0.5D, 0.5D), NULL) AS magnitude_range",
+        "IF(p_partkey % 6 < 4, array(CAST(p_size AS DOUBLE), p_size + 30.0D), NULL) AS value_range", "IF(p_partkey % 5 = 1, p_size, NULL) AS expected_count", "IF(p_partkey % 5 = 0, array(p_size - 5L, p_size + 5L), NULL) AS count_range",
+        "IF(p_partkey % 9 = 2, p_size % 12, NULL) AS cluster_id", "IF(p_partkey % 8 < 6, CAST(p_size AS DOUBLE), NULL) AS threshold", "CAST(NULL AS STRING) AS reasoning")
+
+
+def _evaluated(t) -> DataFrame:
+    part = t("part")
+    out = hypotheses.evaluate(
+        _mixed(t), pairs=profile.correlations(part.select("p_size", "p_retailprice"), 0.0), stats=profile.profile(part.select("p_size")), clusters=part.groupBy((F.col("p_size") % 10).alias("cluster")).agg(F.count("*").alias("size")),
+        anomalies=part.agg(F.count_if(F.col("p_size") > 45).alias("n")).select(F.lit("p_size").alias("column"), "n"), rows=part, columns=["p_size"], result={"n": 27})
+    return out.select("text", "claim_type", "actual_value", "is_correct")
+
+
+_KIND = "CASE p_partkey % 9 " + " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(TYPES)) + " END"
+_add("evaluate", f"""WITH g AS (SELECT round(corr(p_size, p_retailprice), 4) AS r, round(avg(p_size), 4) AS m, count(DISTINCT p_size % 10) AS k, count(*) FILTER (p_size > 45) AS a FROM part),
+c AS (SELECT p_size % 10 AS cluster, count(*) AS size FROM part GROUP BY 1), s AS (SELECT x.t, count(*) FILTER (p_size > x.t) AS n FROM (SELECT DISTINCT p_size AS t FROM part) x, part GROUP BY x.t),
+h AS (SELECT 'part ' || p_partkey AS text, {_KIND} AS claim_type, p_partkey AS key, p_size AS z, p_partkey % 4 <> 3 AS known, c.size AS size FROM part LEFT JOIN c ON p_partkey % 9 = 2 AND c.cluster = p_size % 12),
+v AS (SELECT h.*, CASE WHEN claim_type = 'count' THEN 27 WHEN claim_type = 'cluster' THEN CASE WHEN key % 5 < 2 THEN k ELSE size END WHEN NOT known THEN NULL WHEN claim_type = 'correlation' THEN r
+    WHEN claim_type = 'distribution' THEN m WHEN claim_type = 'anomaly' THEN a WHEN claim_type = 'existence' AND key % 8 < 6 THEN n END::DOUBLE AS v FROM h JOIN g ON true LEFT JOIN s ON s.t = z),
+w AS (SELECT *, CASE key % 5 WHEN 0 THEN v BETWEEN z - 5 AND z + 5 WHEN 1 THEN v = z END AS counted FROM v)
+SELECT text, claim_type, v AS actual_value, CASE claim_type WHEN 'correlation' THEN CASE key % 5 WHEN 0 THEN v > 0 WHEN 1 THEN v < 0 WHEN 2 THEN abs(v) <= 0.1 ELSE v IS NOT NULL OR NULL END AND (key % 2 = 1 OR v BETWEEN -0.5 AND 0.5)
+    WHEN 'distribution' THEN CASE WHEN key % 6 < 4 THEN v BETWEEN z AND z + 30 END WHEN 'cluster' THEN CASE WHEN key % 5 < 2 THEN counted WHEN size IS NULL THEN false WHEN key % 6 < 4 THEN size BETWEEN z AND z + 30 END
+    WHEN 'anomaly' THEN CASE key % 5 WHEN 1 THEN abs(v - z) <= greatest(1, 0.1 * z) ELSE counted END WHEN 'existence' THEN v > 0 WHEN 'count' THEN counted END AS is_correct FROM w""", _evaluated)
 _add("to_samples", f"SELECT verdict, count(*) AS n, round(avg(score), 4) AS mean_score FROM (SELECT CASE WHEN (SELECT avg(p_size) FROM part) BETWEEN lo AND hi THEN 'correct' ELSE 'rejected' END AS verdict, 2 + CASE WHEN 0.2 + n % 3 < 0.3 THEN 1 ELSE 0 END + CASE WHEN lo <> 0 AND (hi - lo) / abs(lo)::DOUBLE < 0.5 THEN 1 ELSE 0 END + CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END AS score FROM {H_SQL}) GROUP BY verdict",
      lambda t: hypotheses.sample_report(hypotheses.to_samples(hypotheses.grade_distribution(_hypotheses(t), profile.profile(t("part").select("p_size"))), "q", "c")))
 _add("parse_hypotheses", "SELECT p_partkey AS response_id, 0 AS nth, p_name AS text, 'count' AS claim_type FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 1, p_brand, 'general' FROM part WHERE p_partkey % 2 = 1",
