@@ -407,7 +407,7 @@ _add("clip_to_extent", f"SELECT (row - 2)::INT AS row, (col - 10)::INT AS col, x
 _add("sobel_gradient", f"""WITH c AS {CELLS}, s AS (SELECT max(row) AS h, max(col) AS w FROM c), k AS (SELECT i, j, CASE j WHEN 0 THEN 0.5 ELSE 0.25 END * -i AS gy, CASE i WHEN 0 THEN 0.5 ELSE 0.25 END * -j AS gx FROM (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)),
 n AS (SELECT c.row, c.col, sum(gx * v.b1) AS gx, sum(gy * v.b1) AS gy FROM c, s, k JOIN c v ON v.row = greatest(0, least(h, c.row + i)) AND v.col = greatest(0, least(w, c.col + j)) GROUP BY c.row, c.col)
 SELECT row, col, round(sqrt((gx * gx + gy * gy) / 2), 4) AS b1 FROM n""", lambda t: raster.sobel_gradient(*_cells(t)).select("row", "col", F.round("b1", 4).alias("b1")))
-_add("texture_entropy", f"""WITH c AS {CELLS}, s AS (SELECT min(b2) AS lo, max(b2) AS hi FROM c), g AS (SELECT row, col, floor((b2 - lo) / (hi - lo) * 255)::INT AS g FROM c, s),
+_add("texture_entropy", f"""WITH c AS {CELLS}, s AS (SELECT min(b2) AS lo, max(b2) AS hi FROM c), g AS (SELECT row, col, round_even((b2 - lo) / (hi - lo) * 255, 0)::INT AS g FROM c, s),
 d AS (SELECT i, j FROM (SELECT unnest(range(-3, 4)) AS i), (SELECT unnest(range(-3, 4)) AS j) WHERE i * i + j * j <= 9),
 n AS (SELECT t.row, t.col, v.g, count(*) AS n FROM g t, d JOIN g v ON v.row = t.row + i AND v.col = t.col + j GROUP BY ALL),
 m AS (SELECT row, col, sum(n) AS total FROM n GROUP BY ALL)
