@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, find_columns, numeric_columns, require, string_columns
+from .frequent import commonest
 from .gram import correlation_pairs
 from .selection import quantile_table
 
@@ -65,15 +66,13 @@ def first_values(df: DataFrame, column: str, order_by: str, n: int = 30) -> Data
 
 
 def value_counts(df: DataFrame, columns: list[str], n: int = 10) -> DataFrame:
-    """column, value (as text), count: the n commonest non-null values of each column; ties go by value."""
+    """column, value (as text), count: the n commonest non-null values of each column; ties go by value.
+
+    All columns are sketched in one pass and the candidates counted exactly in a second (see frequent).
+    """
     if not columns:
         raise ValueError("columns are needed")
-    out = None
-    for c in find_columns(df, columns):
-        part = df.where(col(c).isNotNull()).groupBy(col(c).alias("value")).agg(F.count("*").alias("count"))
-        part = part.orderBy(F.desc("count"), "value").limit(n).select(F.lit(c).alias("column"), F.col("value").cast("string"), "count")
-        out = part if out is None else out.union(part)
-    return out
+    return commonest(df, find_columns(df, columns), n)
 
 
 def check_missing(df: DataFrame) -> DataFrame:

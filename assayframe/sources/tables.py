@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,21 +46,37 @@ def read_csv(spark: SparkSession, path: str, schema: dict[str, str] | None = Non
 def read_las(spark: SparkSession, path: str, curves: list[str] | None = None) -> DataFrame:
     """Well logs (~V ~W ~C ~A sections), one row for each depth step: file, step, and one column for each curve.
 
-    Every file is one row of a text scan; sections are cut by column functions. The NULL marker of ~W becomes null. A
-    curve that a file lacks is null there. Listing the curves spares a pass over the headers.
+    Files are read by lines and split like any text, so one long log is read by many tasks. A line's section is that of the
+    last section line before it, by the place of its split and its place in that; these few lines of each file, its NULL
+    marker and its curve names are joined with its lines. Steps are numbered within splits and shifted by the steps of the
+    splits before. The NULL marker of ~W becomes null, as does a value that is no number, and one that a short line lacks.
+    A curve that a file lacks is null there. Blank lines and comments are no steps. Listing the curves spares a pass over
+    the headers. The columns file and step come before curves; files of one name in several folders are told apart by path.
     """
-    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.regexp_replace("value", "\r", "").alias("t"))
-    section = lambda k: F.regexp_extract("t", rf"(?ms)^~{k}[^\n]*\n(.*?)(?=^~|\z)", 1)
-    lines = lambda s: F.filter(F.split(s, "\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#"))
-    mark = F.regexp_extract("t", r"(?m)^\s*NULL\s*\.\S*\s+(\S+)", 1).try_cast("double")
-    names = F.transform(lines(section("C")), lambda x: F.trim(F.substring_index(x, ".", 1)))
-    parsed = files.select("file", mark.alias("mark"), names.alias("names"), lines(section("A")).alias("rows"))
-    rows = parsed.select("file", "mark", "names", F.posexplode("rows").alias("step", "row"))
-    cells = F.transform(F.split(F.trim("row"), r"\s+"), lambda x: F.nullif(x.try_cast("double"), F.coalesce(F.col("mark"), F.lit(float("inf")))))
-    rows = rows.select("file", "step", F.map_from_arrays("names", F.slice(cells, 1, F.size("names"))).alias("m"))
+    text = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r", "").alias("line")
+    )
+    place = F.struct("start", "id")
+    sections = text.where(F.col("line").startswith("~")).groupBy("path").agg(F.sort_array(F.collect_list(F.struct(F.col("start"), F.col("id"), F.substring("line", 2, 1).alias("k")))).alias("sections"))
+    before = F.filter("sections", lambda s: F.struct(s["start"], s["id"]) <= place)
+    shown = (F.trim("line") != "") & ~F.trim("line").startswith("#") & ~F.col("line").startswith("~")
+    lines = text.where(shown).join(sections, "path").withColumn("k", F.element_at(F.transform(before, lambda s: s["k"]), -1)).drop("sections")
+
+    info = lines.where("k <> 'A'")
+    mark = F.when(F.col("line").rlike(r"^\s*NULL\s*\."), F.regexp_extract("line", r"^\s*NULL\s*\.\S*\s+(\S+)", 1).try_cast("double"))
+    name = F.when(F.col("k") == "C", F.struct("start", "id", F.trim(F.substring_index("line", ".", 1)).alias("name")))
+    heads = info.groupBy("path").agg(F.min_by(mark, F.when(mark.isNotNull(), place)).alias("mark"), F.sort_array(F.collect_list(name)).alias("n")).select("path", "mark", F.col("n.name").alias("names"))
     if curves is None:
-        curves = [r["n"] for r in parsed.select(F.explode("names").alias("n")).distinct().orderBy("n").collect()]
-    return rows.select("file", "step", *[F.try_element_at("m", F.lit(c)).alias(c) for c in curves])
+        curves = [r["n"] for r in heads.select(F.explode("names").alias("n")).distinct().orderBy("n").collect()]
+
+    data = lines.where("k = 'A'").select("path", "start", "id", "line")
+    counts = data.groupBy("path", "start").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("path", "start", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("shift"))
+    data = data.withColumn("nth", F.row_number().over(Window.partitionBy("path", "start").orderBy("id")) - 1).join(shifts, ["path", "start"]).join(heads, "path")
+    cells = F.transform(F.split(F.trim("line"), r"\s+"), lambda x: F.nullif(x.try_cast("double"), F.coalesce(F.col("mark"), F.lit(float("inf")))))
+    rows = data.select(F.element_at(F.split("path", "/"), -1).alias("file"), (F.col("shift") + F.col("nth")).cast("int").alias("step"), "names", cells.alias("cells"))
+    return rows.select("file", "step", *[F.get("cells", (F.array_position("names", F.lit(c)) - 1).cast("int")).alias(c) for c in curves])
 
 
 def write_table(df: DataFrame, path: str, format: str = "parquet", partition_by: list[str] | None = None) -> None:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayframe.operators import gram, ml, profile, regions, relational, selection
+from assayframe.operators import frequent, gram, ml, profile, regions, relational, selection
 
 DATA = "/root/testdata/sf0.01"
 
@@ -198,3 +198,39 @@ def test_pca_from_the_gram_matrix(spark):
     assert got[300] == (None, None) and np.allclose([got[i] for i in range(300)], z @ v) and np.allclose(share, values[::-1][:2] / values.sum())
     assert np.allclose(gram.moments(df.where("f IS NOT NULL"), "f"), [x.mean(0), x.std(0)])
     assert ml.pca(df.limit(0), "f", 2)[0].count() == 0
+
+
+@pytest.mark.parametrize("counters", [4096, 6])
+def test_value_counts(spark, monkeypatch, counters):
+    monkeypatch.setattr(frequent, "COUNTERS", counters)
+    rng = random.Random(12)
+    skewed = [rng.choice("abc") if rng.random() < 0.7 else f"v{rng.randrange(400)}" for _ in range(4000)]
+    rows = [(skewed[k], k, [3, 3, 1, 10, 2][k % 5], None, rng.choice([None, "x"])) for k in range(4000)]
+    df = spark.createDataFrame(rows, "s string, id long, few int, none string, holes string").repartition(4)
+    out = profile.value_counts(df, ["s", "id", "few", "none", "holes"], 3)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.column, []).append((r.value, r["count"]))
+    for k, c in enumerate(df.columns):
+        counts = {}
+        for r in rows:
+            if r[k] is not None:
+                counts[r[k]] = counts.get(r[k], 0) + 1
+        assert got.get(c, []) == [(str(v), n) for v, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:3]], c
+    assert profile.value_counts(df.limit(0), ["s"]).count() == 0
+
+
+def test_sketch_bounds():
+    """True counts lie between a counter and the counter plus the error, which is at most the rows / size."""
+    rng = random.Random(13)
+    for size in (5, 50):
+        sketch, true, n = frequent.Counters(size), {}, 0
+        for _ in range(60):
+            values = [int(rng.paretovariate(0.6)) % 1000 for _ in range(100)]
+            for v in values:
+                true[v] = true.get(v, 0) + 1
+            sketch.add(values, [1] * len(values))
+            n += len(values)
+        sketch.prune()
+        assert len(sketch.counts) <= size and sketch.error <= n / size
+        assert all(sketch.counts.get(v, 0) <= k <= sketch.counts.get(v, 0) + sketch.error for v, k in true.items())

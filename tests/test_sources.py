@@ -48,3 +48,26 @@ def test_cells(spark, tmp_path):
 def test_write_table(spark, tmp_path):
     tables.write_table(spark.range(5).withColumn("p", F.col("id") % 2), str(tmp_path / "t"), partition_by=["p"])
     assert spark.read.parquet(str(tmp_path / "t")).where("p = 1").count() == 2
+
+
+def test_a_long_log_is_read_by_many_tasks(spark, tmp_path):
+    """Sections and steps carry over splits, also where a header spans several."""
+    n = 3000
+    head = ["~V", " VERS. 2.0 : v", "~W", "# " + "x" * 3000, " NULL. -9 : n", "~C", " DEPT.M : depth", "# " + "y" * 3000, " GR.API : gamma", " Z. : last", "~A DEPT GR Z"]
+    body = [x for k in range(n) for x in ([f"{k}.5 {-9 if k % 7 == 0 else k} {k % 3}"] if k % 10 else ["# note", "", f"{k}.5 {k}"])]
+    (tmp_path / "long.las").write_text("\r\n".join(head + body))
+    (tmp_path / "short.las").write_text("\n".join(["~C", " DEPT. : d", "~A", "1 2 3"]))
+    settings = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = tables.read_las(spark, str(tmp_path))
+        rows = {r.step: r for r in out.where("file = 'long.las'").collect()}
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 15
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert out.columns == ["file", "step", "DEPT", "GR", "Z"] and sorted(rows) == list(range(n))
+    assert all((r.DEPT, r.GR, r.Z) == (k + 0.5, float(k) if k % 10 == 0 or k % 7 else None, None if k % 10 == 0 else float(k % 3)) for k, r in rows.items())
+    assert [(r.step, r.DEPT, r.GR, r.Z) for r in out.where("file = 'short.las'").collect()] == [(0, 1.0, None, None)]
+    assert tables.read_las(spark, str(tmp_path), ["GR", "none"]).columns == ["file", "step", "GR", "none"]
