@@ -107,9 +107,15 @@ def detect_cleaning_issues(df: DataFrame) -> DataFrame:
     })
 
 
-def fix_decimals(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Decimal commas with other than three digits behind become points; other cells stay, and the column stays text."""
+def fix_decimals(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Decimal commas with other than three digits behind become points; other cells stay, and the column stays text.
+
+    Without columns those are fixed in which a first pass finds such a comma; columns that aren't text are left alone.
+    """
+    columns = comma_columns(df) if columns is None else columns
     require(df, columns)
+    text = set(string_columns(df))
+    columns = [c for c in columns if c in text]
     fixed = lambda c: F.when((_comma_digits(col(c)) > 0) & (_comma_digits(col(c)) != 3), F.replace(F.trim(col(c)), F.lit(","), F.lit("."))).otherwise(col(c))
     return df.withColumns({c: fixed(c) for c in columns})
 

@@ -72,6 +72,10 @@ _add("normalize", f"SELECT event_id, round((coalesce(value, m) - lo) / (hi - lo)
      lambda t: _rounded(derive.normalize(_events(t).select("event_id", "value"), ["value"]), "value_norm").drop("value"))
 _add("convert_dtype", f"SELECT l_orderkey, l_linenumber, CASE WHEN regexp_full_match(Au_ppm, '\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*') THEN try_cast(trim(Au_ppm) AS DOUBLE) END AS Au_ppm FROM {ASSAYS}",
      lambda t: derive.convert_dtype(_assays(t).select("l_orderkey", "l_linenumber", "Au_ppm"), "Au_ppm", "float"))
+_add("convert_dtype_str", "SELECT o_orderkey, o_custkey::VARCHAR AS o_custkey FROM orders", lambda t: derive.convert_dtype(t("orders").select("o_orderkey", "o_custkey"), "o_custkey", "str"))
+_add("convert_dtype_datetime", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN date_trunc('second', o_orderdate) END AS o_orderdate FROM orders",
+     lambda t: derive.convert_dtype(t("orders").select("o_orderkey", F.expr("IF(o_orderkey % 3 = 0, 'no date', date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss'))").alias("o_orderdate")), "o_orderdate", "datetime").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")))
+_add("convert_dtype_raise", "SELECT o_orderkey, o_custkey FROM orders", lambda t: derive.convert_dtype(t("orders").select("o_orderkey", F.concat(F.lit(" "), F.col("o_custkey").cast("string")).alias("o_custkey")), "o_custkey", "int", "raise"))
 _add("convert_dtype_int", "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS l_quantity FROM lineitem",
      lambda t: derive.convert_dtype(t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_quantity", "int"))
 for name, op, value, sql in (
@@ -79,7 +83,7 @@ for name, op, value, sql in (
     ("filter_ge", ">=", "4", "l_linenumber >= 4"), ("filter_le", "<=", "2", "l_linenumber <= 2"), ("filter_in", "in", "1, 3,,5", "l_linenumber IN (1, 3, 5)"), ("filter_not_in", "not_in", "1, 3", "l_linenumber NOT IN (1, 3)"),
 ):
     _add(name, f"SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE {sql}", lambda t, op=op, value=value: filters.filter_rows(t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_linenumber", op, value))
-_add("filter_contains", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '(?i)1.*7$')", lambda t: filters.filter_rows(t("part").select("p_partkey", "p_name"), "p_name", "contains", "1.*7$"))
+_add("filter_contains", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '(?i)r.*T$')", lambda t: filters.filter_rows(t("part").select("p_partkey", "p_name"), "p_name", "contains", "r.*T$"))
 _add("filter_not_null", f"SELECT event_id, value FROM {EVENTS} WHERE value IS NOT NULL", lambda t: filters.filter_rows(_events(t).select("event_id", "value"), "value", "not_null"))
 _add("filter_report", 'SELECT count(*) AS before, count(*) FILTER (l_quantity > 30) AS "after", count(*) - count(*) FILTER (l_quantity > 30) AS removed FROM lineitem', lambda t: filters.filter_report(t("lineitem"), "l_quantity", ">", "30"))
 _add("threshold", f"SELECT event_id, value FROM {EVENTS} WHERE value > 50", lambda t: filters.threshold(_events(t).select("event_id", "value"), "value", 50.0))
@@ -91,6 +95,13 @@ _add("predicate_contains", "SELECT p_partkey FROM part WHERE lower(p_type) LIKE
 _add("predicate_startswith", "SELECT p_partkey FROM part WHERE starts_with(p_type, 'S') OR starts_with(p_name, 'red')", lambda t: t("part").where(p.or_(p.startswith("p_type", "S"), p.startswith("p_name", "red"))).select("p_partkey"))
 _add("predicate_endswith", "SELECT p_partkey FROM part WHERE ends_with(p_name, 'ring') AND NOT ends_with(p_brand, '1')", lambda t: t("part").where(p.and_(p.endswith("p_name", "ring"), p.not_(p.endswith("p_brand", "1")))).select("p_partkey"))
 _add("predicate_arithmetic", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE floor(l_quantity / 7) % 2 = 1 AND l_quantity - 7 * floor(l_quantity / 7) > 3", lambda t: t("lineitem").where(p.and_(p.eq(p.mod(p.floordiv("l_quantity", 7), 2), 1), p.gt(p.mod("l_quantity", 7), 3))).select("l_orderkey", "l_linenumber"))
+_add("predicate_notna", f"SELECT event_id FROM {EVENTS} WHERE value IS NOT NULL AND event_type <> 'view'", lambda t: _events(t).where(p.and_(p.notna("value"), p.ne("event_type", "view"))).select("event_id"))
+for side, low, high in (("both", ">=", "<="), ("left", ">=", "<"), ("right", ">", "<="), ("neither", ">", "<")):
+    _add(f"predicate_between_{side}", f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity {low} 10 AND l_quantity {high} 13", lambda t, side=side: t("lineitem").where(p.between("l_quantity", 10, 13, side)).select("l_orderkey", "l_linenumber"))
+NAMES = "(SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_name END AS p_name FROM part)"
+for na in (True, False):
+    _add(f"predicate_contains_na_{str(na).lower()}", f"SELECT p_partkey FROM {NAMES} WHERE coalesce(contains(p_name, 'bolt'), {str(na).lower()})", lambda t, na=na: t("part").selectExpr("p_partkey", "IF(p_partkey % 5 = 0, NULL, p_name) AS p_name").where(p.contains("p_name", "bolt", na=na)).select("p_partkey"))
+_add("predicate_not_in", f"SELECT p_partkey FROM {NAMES} WHERE p_name IS NULL OR p_name NOT IN ('small ring', 'blue bolt')", lambda t: t("part").selectExpr("p_partkey", "IF(p_partkey % 5 = 0, NULL, p_name) AS p_name").where(p.not_in("p_name", ["small ring", "blue bolt"])).select("p_partkey"))
 _add("rank_by_metric", f"SELECT event_id, value FROM {EVENTS} ORDER BY value DESC NULLS LAST, event_id LIMIT 10", lambda t: filters.rank_by_metric(_events(t).select("event_id", "value"), "value", 10, ["event_id"]))
 
 # ---- profiles ----
@@ -106,9 +117,15 @@ _add("value_counts", "(SELECT 'p_brand' AS \"column\", p_brand AS value, count(*
      lambda t: profile.value_counts(t("part"), ["p_brand", "p_size"], 5))
 _add("check_missing", f"SELECT 'value' AS \"column\", round(100.0 * (count(*) - count(value)) / count(*), 1)::DOUBLE AS missing_pct FROM {EVENTS}", lambda t: profile.check_missing(_events(t)))
 _add("describe", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, round(quantile_cont({c}, .25), 4) AS p25, round(quantile_cont({c}, .5), 4) AS p50, round(quantile_cont({c}, .75), 4) AS p75, round(max({c}), 4) AS max FROM lineitem" for c in NUMBERS), lambda t: profile.describe(t("lineitem"), NUMBERS))
+_add("describe_text", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({x}) AS count, count(DISTINCT {x}) AS \"unique\", (SELECT v FROM (SELECT {x} AS v, count(*) AS n FROM {EVENTS} WHERE {x} IS NOT NULL GROUP BY v ORDER BY n DESC, v LIMIT 1)) AS top, (SELECT max(n) FROM (SELECT count(*) AS n FROM {EVENTS} WHERE {x} IS NOT NULL GROUP BY {x})) AS freq FROM {EVENTS}" for c, x in (("event_type", "event_type"), ("first", "CASE WHEN value IS NOT NULL THEN substr(props, 1, 8) END"))),
+     lambda t: profile.describe(_events(t).selectExpr("event_type", "IF(value IS NOT NULL, substr(props, 1, 8), NULL) AS first"), ["event_type", "first"]))
+_add("value_counts_many", " UNION ALL ".join(f"(SELECT '{c}' AS \"column\", {c}::VARCHAR AS value, count(*) AS count FROM lineitem GROUP BY {c} ORDER BY count DESC, {c} LIMIT 10)" for c in ("l_linenumber", "l_returnflag", "l_suppkey", "l_partkey")), lambda t: profile.value_counts(t("lineitem"), ["l_linenumber", "l_returnflag", "l_suppkey", "l_partkey"]))
 _add("percentiles", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", " + ", ".join(f"round(quantile_cont({c}, {q / 100}), 4) AS p{q}" for q in (1, 5, 10, 25, 50, 75, 90, 95, 99)) + " FROM lineitem" for c in NUMBERS[:2]), lambda t: profile.percentiles(t("lineitem"), NUMBERS[:2]))
 PAIRS = [(a, b) for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]]
-_add("correlations", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 4) AS r FROM lineitem" for a, b in PAIRS) + ") WHERE abs(r) >= 0.5", lambda t: profile.correlations(t("lineitem").select(*NUMBERS), 0.5))
+CHARGES = {"l_quantity": "l_quantity", "l_discount": "l_discount", "rebate": "l_quantity * l_discount", "charge": "CASE WHEN l_linenumber % 5 <> 0 THEN l_quantity * l_tax END"}
+CHARGE_PAIRS = [(a, b) for i, a in enumerate(CHARGES) for b in list(CHARGES)[i + 1 :]]
+_add("correlations", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({CHARGES[a]}, {CHARGES[b]}), 4) AS r FROM lineitem" for a, b in CHARGE_PAIRS) + ") WHERE abs(r) >= 0.5",
+     lambda t: profile.correlations(t("lineitem").selectExpr(*[f"{x} AS {n}" for n, x in CHARGES.items()]), 0.5))
 _add("correlations_all", " UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 4) AS r FROM lineitem" for a, b in PAIRS), lambda t: profile.correlations(t("lineitem").select(*NUMBERS), 0.0))
 _add("head", "SELECT event_id, value FROM events ORDER BY event_id LIMIT 7", lambda t: profile.head(t("events").select("event_id", "value"), ["event_id"], 7))
 _add("tail", "SELECT event_id, value FROM events ORDER BY event_id DESC LIMIT 7", lambda t: profile.tail(t("events").select("event_id", "value"), ["event_id"], 7))
@@ -153,7 +170,7 @@ _add("pivot_last", "SELECT o_custkey, " + ", ".join(f"arg_max(o_totalprice, o_or
 _add("melt", " UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, '{c}' AS variable, {c} AS value FROM lineitem" for c in ("l_discount", "l_tax")), lambda t: relational.melt(t("lineitem"), ["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"]))
 for which, order in (("first", "ASC"), ("last", "DESC")):
     _add(f"remove_duplicates_{which}", f"SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id {order}) AS k FROM events) WHERE k = 1", lambda t, which=which: relational.remove_duplicates(t("events").select("event_id", "user_id", "event_type"), ["event_id"], ["user_id", "event_type"], which))
-_add("remove_duplicates_none", "SELECT event_id, user_id, event_type FROM (SELECT *, count(*) OVER (PARTITION BY user_id, event_type) AS k FROM events) WHERE k = 1", lambda t: relational.remove_duplicates(t("events").select("event_id", "user_id", "event_type"), ["event_id"], ["user_id", "event_type"], "none"))
+_add("remove_duplicates_none", "SELECT event_id, user_id, k FROM (SELECT event_id, user_id, floor(value) AS k, count(*) OVER (PARTITION BY user_id, floor(value)) AS n FROM events) WHERE n = 1", lambda t: relational.remove_duplicates(t("events").selectExpr("event_id", "user_id", "CAST(floor(value) AS DOUBLE) AS k"), ["event_id"], ["user_id", "k"], "none"))
 _add("duplicate_counts", "SELECT 'l_orderkey,l_linenumber' AS subset, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS duplicates FROM lineitem UNION ALL SELECT 'l_partkey', count(*) - count(DISTINCT l_partkey) FROM lineitem", lambda t: relational.duplicate_counts(t("lineitem"), [["l_orderkey", "l_linenumber"], ["l_partkey"]]))
 for method, w in (("mean", 3), ("mean", 4), ("median", 5)):
     frame = f"ROWS BETWEEN {w // 2} PRECEDING AND {(w - 1) // 2} FOLLOWING"
@@ -173,6 +190,7 @@ NUMBER_SQL = "try_cast(regexp_extract(trim(Au_ppm), '([\\d.]+)$', 1) AS DOUBLE)"
 _add("detection_limit_counts", f"SELECT 'Au_ppm' AS \"column\", count(*) FILTER ({LIMIT_SQL} OR {SPECIAL_SQL}) AS n_limits FROM {ASSAYS} UNION ALL SELECT 'lithology', 0", lambda t: cleaning.detection_limit_counts(_assays(t), ["Au_ppm", "lithology"]))
 _add("comma_decimal_counts", f"SELECT 'Au_ppm' AS \"column\", count(*) FILTER ({COMMA_SQL} > 0 AND {COMMA_SQL} <> 3) AS definite, count(*) FILTER ({COMMA_SQL} = 3) AS ambiguous FROM {ASSAYS}", lambda t: cleaning.comma_decimal_counts(_assays(t), ["Au_ppm"]))
 _add("fix_decimals", f"SELECT l_orderkey, l_linenumber, CASE WHEN {COMMA_SQL} > 0 AND {COMMA_SQL} <> 3 THEN replace(trim(Au_ppm), ',', '.') ELSE Au_ppm END AS Au_ppm FROM {ASSAYS}", lambda t: cleaning.fix_decimals(_assays(t).select("l_orderkey", "l_linenumber", "Au_ppm"), ["Au_ppm"]))
+_add("fix_decimals_found", f"SELECT l_orderkey, l_linenumber, CASE WHEN {COMMA_SQL} > 0 AND {COMMA_SQL} <> 3 THEN replace(trim(Au_ppm), ',', '.') ELSE Au_ppm END AS Au_ppm, lithology FROM {ASSAYS}", lambda t: cleaning.fix_decimals(_assays(t).select("l_orderkey", "l_linenumber", "Au_ppm", "lithology")))
 for method, below in (("half", f"{NUMBER_SQL} / 2"), ("zero", "0.0"), ("value", NUMBER_SQL)):
     _add(f"parse_detection_limits_{method}", f"SELECT l_orderkey, l_linenumber, {PARSED.format(s=SPECIAL_SQL, l=LIMIT_SQL, x=NUMBER_SQL, below=below)} AS Au_ppm FROM {ASSAYS}", lambda t, method=method: cleaning.parse_detection_limits(_assays(t).select("l_orderkey", "l_linenumber", "Au_ppm"), ["Au_ppm"], method))
 _add("limit_report", f"SELECT 'Au_ppm' AS \"column\", count(*) FILTER (regexp_matches(trim(Au_ppm), '^(<|≤|<=)\\s*[\\d.]+$')) AS below, count(*) FILTER (regexp_matches(trim(Au_ppm), '^(>|≥|>=)\\s*[\\d.]+$')) AS above, count(*) FILTER ({SPECIAL_SQL}) AS special, count(*) FILTER (NOT {SPECIAL_SQL} AND {PARSED.format(s='false', l=LIMIT_SQL, x=NUMBER_SQL, below=NUMBER_SQL)} IS NULL) AS parse_error FROM {ASSAYS}", lambda t: cleaning.limit_report(_assays(t), ["Au_ppm"]))
@@ -443,6 +461,20 @@ _add("reproject_points_utm", _utm_sql(), lambda t: _rounded(crs.reproject_points
 _add("geojson_features", "SELECT '{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":[' || c_custkey || '.0,' || c_nationkey || '.0]},\"properties\":{\"x\":' || c_custkey || ',\"lat\":' || c_nationkey || ',\"c_name\":\"' || c_name || '\"}}' AS value FROM customer", lambda t: tables.geojson_features(t("customer").selectExpr("c_custkey AS x", "c_nationkey AS lat", "c_name")))
 
 
+
+
+def _geojson(t) -> DataFrame:
+    """The features as they stand in the written files, read back as JSON."""
+    rows = t("customer").selectExpr("c_custkey AS x", "c_nationkey AS lat", "c_name")
+    path = tables.shared_path(rows.sparkSession, "geojson")
+    tables.export_geojson(rows, path)
+    read = rows.sparkSession.read.schema("type string, geometry struct<type: string, coordinates: array<double>>, properties struct<x: bigint, lat: int, c_name: string>").json(path)
+    return read.select("type", F.col("geometry.type").alias("kind"), F.col("geometry.coordinates")[0].alias("lon"), F.col("geometry.coordinates")[1].alias("lat"), "properties.x", "properties.c_name")
+
+
+_add("export_geojson", "SELECT 'Feature' AS type, 'Point' AS kind, c_custkey::DOUBLE AS lon, c_nationkey::DOUBLE AS lat, c_custkey AS x, c_name FROM customer", _geojson)
+
+
 # readers and writers: a table goes to the shared folder and comes back
 def _csv(t) -> DataFrame:
     rows = t("customer").selectExpr("c_custkey", "IF(c_custkey % 9 = 0, 'NA', CAST(c_acctbal AS STRING)) AS c_acctbal", "IF(c_custkey % 5 = 0, 'null', c_name) AS c_name", "c_nationkey")
@@ -500,6 +532,18 @@ def _samples(t) -> DataFrame:
 _add("merge_samples", f"SELECT text AS completion, 's' || k AS session_id, 2 + CASE WHEN 0.2 + n % 3 < 0.3 THEN 1 ELSE 0 END + CASE WHEN lo <> 0 AND (hi - lo) / abs(lo)::DOUBLE < 0.5 THEN 1 ELSE 0 END + CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END AS specificity_score, true AS correct FROM {H_SQL}, (SELECT unnest(range(2)) AS k) WHERE (SELECT avg(p_size) FROM part) BETWEEN lo AND hi", _samples)
 
 
+def _sample_stats(t) -> DataFrame:
+    """Samples of three sessions, written and read, counted by verdict."""
+    graded = hypotheses.grade_distribution(_hypotheses(t), profile.profile(t("part").select("p_size")))
+    path = tables.shared_path(graded.sparkSession, "samples")
+    for k in range(3):
+        tables.write_samples(hypotheses.to_samples(graded, "q", "c").withColumns({"session_id": F.lit(f"s{k}"), "hypothesis_index": F.lit(k)}), path)
+    return tables.sample_stats(tables.read_samples(graded.sparkSession, path, correct_only=False))
+
+
+_add("sample_stats", f"SELECT verdict, 3 * count(*) AS n, 3::BIGINT AS n_sessions FROM (SELECT CASE WHEN (SELECT round(avg(p_size), 4) FROM part) BETWEEN lo AND hi THEN 'correct' ELSE 'rejected' END AS verdict FROM {H_SQL}) GROUP BY verdict", _sample_stats)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _assays(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
     out = anomalous_groups(rows, ["Au_ppm"], "Au_ppm/l_quantity", "l_suppkey", 10)
