@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,23 +19,35 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Spark's own setting that deletes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df written to the shared folder as Parquet and read again: later passes start there, also after lost executors.
 
-    The folder goes when the driver's JVM ends. The shuffle files of the job that wrote it are let go at once: a garbage
-    collection tells Spark's cleaner that nothing can read them any more, so a chain of such jobs needs the disk of one.
+    The folder goes when the driver's JVM ends, or with its scope (see scratch). Spark deletes the shuffle files of the job
+    that wrote it as soon as it is written, so a chain of such jobs needs the disk of one.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    jvm.System.gc()
+    path, before = fresh_path(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
-    if _scopes:
-        _scopes[-1].append(out)
+    if (own := _scope.get()) is not None:
+        own.append(out)
     return out
 
 
@@ -46,7 +59,8 @@ def discard(*tables: DataFrame) -> None:
         p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
 
 
-_scopes: list[list[DataFrame]] = []
+#: Tables staged in the innermost scope of this thread (or asynchronous task); other threads have their own.
+_scope: ContextVar[list[DataFrame] | None] = ContextVar("scope", default=None)
 
 
 @contextmanager
@@ -54,15 +68,17 @@ def scratch() -> Iterator[Callable[..., None]]:
     """A scope whose staged tables are deleted at its end, but for those that the yielded function was told to keep; an
     outer scope, if there is one, takes these over."""
     kept: list[DataFrame] = []
-    _scopes.append([])
+    made: list[DataFrame] = []
+    outer = _scope.get()
+    token = _scope.set(made)
     try:
         yield lambda *tables: kept.extend(tables)
     finally:
-        made = _scopes.pop()
+        _scope.reset(token)
         paths = {t._staged_at for t in kept if hasattr(t, "_staged_at")}
         discard(*[t for t in made if t._staged_at not in paths])
-        if _scopes:
-            _scopes[-1].extend(t for t in made if t._staged_at in paths)
+        if outer is not None:
+            outer.extend(t for t in made if t._staged_at in paths)
 
 
 def row_keys(doc_id: str, text: str) -> tuple[Column, Column]:

@@ -7,7 +7,6 @@ without touching ``ids``. Shards are ranges of (doc_id, text), so one number for
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -18,17 +17,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encode import text_encoder
-from .spark_io import partitions, shared_dir
+from .spark_io import fresh_path, partitions
 
 
 def write_tokens(docs: DataFrame, path: str | None = None, *, tokenizer: str = "byte_bpe_50k.json", end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", row_group_mb: int = 32, page_kb: int = 256, shards: int | None = None) -> str:
     """Encode each whole text, add end_id, and write the ids in ascending (doc_id, text) order; returns the path.
 
     A null or empty text is just the end id. A null doc_id comes first. Repeated rows are written as often as they
-    come. Other columns of docs are not written. An empty table gives files without rows.
+    come. Texts have any length. Other columns of docs are not written. An empty table gives files without rows. Files
+    without a given path are in the shared folder and go when the driver's JVM ends.
     """
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = path or fresh_path(spark, "tokens")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(shards or partitions(spark), "doc_id", "text").sortWithinPartitions("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()

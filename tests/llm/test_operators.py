@@ -543,3 +543,58 @@ print("done")
     env = os.environ | {"PYTHONPATH": root}
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=env, timeout=600)
     assert "done" in out.stdout, out.stderr[-2000:]
+
+
+FORMS = [
+    "token=" + "a1" * 5000 + " end", 'key "' + "0f" * 40 + '"', "Mrs O’Neil called; O’Neil left.", "Mr. van Dyke and Mr. Jan van der Berg; later Berg", "Ms Anna Maria Petrovna came. Anna and Maria Petrovna left, Petrovna too.",
+    "jwt eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVPmB92K27uhb and sk_live_abcdefghijklmnop1234 or ghp_ABCDEFGHIJKLMNOPQRSTUVWXYZabcdef", "password=correcthorse secret: required",
+    "write to bob@bücher.example or иван@почта.рф", "amex 3782 822463 10005 and 378282246310005", "ring +44 (0)20 7946 0958, 020 7946 0958, +1 212 555 0123", "господин Иванов и госпожа Иванова, потом Иванова",
+]
+
+
+def test_surrogates_of_odd_forms(spark):
+    """Long secrets, keys without labels, name forms, part names, wide addresses, spaced cards, kept telephone prefixes."""
+    rows = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(FORMS)), "doc_id long, text string"), key="k").collect()}
+    text = [rows[i].text for i in range(len(FORMS))]
+    assert "a1" * 6 not in text[0] and text[0].endswith(" end") and len(text[0]) == len(FORMS[0]) and "0f" * 6 not in text[1]
+    assert "Neil" not in text[2] and len({e.surrogate for e in rows[2].entities}) == 1
+    assert not any(x in text[3] for x in ("Dyke", "Berg", "Jan ", "van"))
+    names = [e.surrogate for e in rows[4].entities]
+    assert not any(x in text[4] for x in ("Anna", "Maria", "Petrovna")) and names[0].split()[0] == names[1] and names[0].split()[-1] == names[-1]
+    assert "eyJ" in text[5] and "sk_live_" in text[5] and "ghp_" in text[5] and not any(x in text[5] for x in ("hbGci", "abcdefgh", "ABCDEFG", "dBjft"))
+    assert "correcthorse" not in text[6] and text[6].endswith("secret: required")
+    assert "bob@" not in text[7] and "bücher" not in text[7] and "почта" not in text[7] and text[7].endswith(".рф")
+    cards = [e.surrogate for e in rows[8].entities]
+    assert len(cards) == 2 and cards[0].replace(" ", "") == cards[1] != "378282246310005" and [len(x) for x in cards[0].split()] == [4, 6, 5]
+    phones = [e.surrogate for e in rows[9].entities]
+    assert phones[0].startswith("+44 (0)") and phones[1].startswith("0") and phones[2].startswith("+1 ") and not any(x in text[9] for x in ("7946", "0123"))
+    russian = [e.surrogate for e in rows[10].entities]
+    assert russian[1] == russian[2] == russian[0] + "а" and "Иванов" not in text[10]
+
+
+def test_scopes_of_two_threads(spark):
+    """What one thread has staged stays when another's scope ends, and nothing of a scope is left at its end."""
+    import threading
+    from pathlib import Path
+
+    from assayframe.llm import spark_io
+
+    root, wrong = Path(spark_io.shared_dir(spark).removeprefix("file:")), []
+
+    def work(k):
+        with spark_io.scratch() as keep:
+            tables = [spark_io.stage(spark.range(10 * k), f"mine{k}") for _ in range(4)]
+            with spark_io.scratch():
+                spark_io.stage(spark.range(3), f"mine{k}")
+            if [t.count() for t in tables] != [10 * k] * 4:
+                wrong.append(k)
+            keep(tables[0])
+        if len(list(root.glob(f"mine{k}-*"))) != 1 or tables[0].count() != 10 * k:
+            wrong.append(k)
+
+    threads = [threading.Thread(target=work, args=(k,)) for k in (1, 2, 3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not wrong and spark.conf.get(spark_io.CLEANUP) == "false"
