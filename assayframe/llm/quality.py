@@ -6,7 +6,7 @@ and covariance from them, and go on until the determinant stops falling. The est
 starts is kept and reweighted: mean and covariance of all rows within the distance that 97.5 % of normal rows have. A row
 is rejected whose squared Mahalanobis distance exceeds ``CUTOFF``. Equal texts of a group count once in its estimate.
 Groups under ``LEAST`` rows are judged by the estimate of their language over all sources, and those of a language under
-``LEAST`` rows by that of the whole table. Quantiles come from counts over fixed fine bins, so they are exact functions of
+``LEAST`` rows by that of the whole table; a table under ``LEAST`` rows has its medians and quartiles, with wider deviations. Quantiles come from counts over fixed fine bins, so they are exact functions of
 the rows, combine before any shuffle, and no group is gathered; group estimates are a few dozen numbers each.
 """
 
@@ -40,11 +40,13 @@ STARTS = [("q2", "q3 - q1"), ("q2", _SHORT), ("q1", _SHORT), ("q3", _SHORT)]
 FALL = 0.001
 #: Squared distance above which a row is rejected: fewer than one in ten million normal rows reach it.
 CUTOFF = 42.0
-#: Sound texts that an estimate needs; a smaller group takes a wider one, and a table with fewer in all has none.
-LEAST = 50
+#: Sound texts that an estimate by concentration needs; a smaller group takes a wider one. In a table with fewer in all,
+#: medians and quartiles judge, with BROAD times the least standard deviations.
+LEAST, BROAD = 50, 4.0
 #: Estimates, of some 200 bytes each, up to which they are broadcast to the rows; more are joined by a shuffle.
 FEW = 20_000
-#: An estimate's rows: those of a language and source (level 0), of a language (1, source null), or all (2, both null).
+#: An estimate's rows: those of a language and source (level 0), of a language (1, source null), or all (2, and 3 for a
+#: table of few, both null).
 KEYS = ["level", "lang", "source"]
 BINS = 200.0
 
@@ -109,14 +111,14 @@ def _same(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner")
 
 
 def levels(sound: DataFrame) -> DataFrame:
-    """(lang, source, level, feeds) of each group: the level it is judged at, null if all rows are too few, and the levels
-    whose estimates its rows belong to. Wider estimates are only made where a small group needs them."""
+    """(lang, source, level, feeds) of each group: the level it is judged at, and the levels whose estimates its rows belong
+    to. Wider estimates are only made where a small group needs them."""
     groups = sound.groupBy("lang", "source").agg(F.count("*").alias("n"))
     langs = groups.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.min("n").alias("least"))
     every = langs.agg(F.sum("n_lang").alias("n_all"), F.min("n_lang").alias("least_lang"))
     out = _same(groups, langs, ["lang"]).crossJoin(F.broadcast(every))
-    out = out.withColumn("level", F.expr(f"CASE WHEN n >= {LEAST} THEN 0 WHEN n_lang >= {LEAST} THEN 1 WHEN n_all >= {LEAST} THEN 2 END"))
-    wide = f"array(IF(level = 0, 0, NULL), IF(least < {LEAST} AND n_lang >= {LEAST}, 1, NULL), IF(least_lang < {LEAST} AND n_all >= {LEAST}, 2, NULL))"
+    out = out.withColumn("level", F.expr(f"CASE WHEN n >= {LEAST} THEN 0 WHEN n_lang >= {LEAST} THEN 1 WHEN n_all >= {LEAST} THEN 2 ELSE 3 END"))
+    wide = f"array(IF(level = 0, 0, NULL), IF(least < {LEAST} AND n_lang >= {LEAST}, 1, NULL), IF(least_lang < {LEAST} AND n_all >= {LEAST}, 2, NULL), IF(level = 3, 3, NULL))"
     return out.select("lang", "source", "level", F.array_compact(F.expr(wide)).alias("feeds"))
 
 
@@ -188,18 +190,22 @@ def concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 
 
 def least_determinant(rows: DataFrame) -> DataFrame:
-    """Per KEYS the reweighted estimate around that of the least determinant."""
-    going, done = stage(first_estimates(rows), "estimates"), []
+    """Per KEYS the reweighted estimate around that of the least determinant; that of a table of too few rows is its medians
+    and quartiles, widened."""
+    first, done = stage(first_estimates(rows), "estimates"), []
+    broad = {f"l_{a}_{a}": F.expr(f"sqrt(l_{a}_{a} * l_{a}_{a} + {((BROAD**2 - 1) * FEATURES[a][1] ** 2)!r}D)") for a in NAMES}
+    few = first.where("level = 3 AND start = 0").withColumns(broad).select(*KEYS, *ESTIMATE, F.lit(0.0).alias("logdet"))
+    going = first.where("level < 3")
     while not going.isEmpty():
         step = stage(concentrate(rows, going), "estimates")
         going = step.where("going").drop("going")
         done.append(step.where("NOT going").drop("going"))
     if not done:
-        return going
+        return few
     every = reduce(DataFrame.unionByName, done)
     best = every.groupBy(*KEYS).agg(F.min_by(F.struct(*ESTIMATE), F.struct("logdet", "start")).alias("e")).select(*KEYS, "e.*")
     near = distances(rows, stage(best, "estimates"), KEYS).where(f"d2 <= {NEAR}")
-    return stage(moments(near, KEYS, NEAR_FACTOR), "estimates")
+    return stage(moments(near, KEYS, NEAR_FACTOR).unionByName(few), "estimates")
 
 
 def quality(docs: DataFrame, *, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -207,9 +213,10 @@ def quality(docs: DataFrame, *, carry: list[str] | None = None, id_col: str = "d
 
     base_failed: fewer than 50 words, or more than half the words in repeated three-word windows. Other rows are kept
     unless they are outliers of their (lang, source); a null language or source is a group of its own. Groups under LEAST
-    sound texts are judged by their language over all sources, or else by the whole table; a table under LEAST sound texts
-    rejects nothing (distance2 is null there). A null text has no words and fails. Repeated rows and ties are
-    judged alike. Columns of docs that clash with the added ones are replaced.
+    sound texts are judged by their language over all sources, or else by the whole table, and in a table under LEAST sound
+    texts by its medians and quartiles with wide least deviations. A null text has no words and fails. Texts are taken whole
+    at any length. Repeated rows and ties are judged alike. Columns of docs that clash with the added ones are replaced. An
+    empty table gives no rows.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", "kept"]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in added]

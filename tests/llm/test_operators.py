@@ -598,3 +598,15 @@ def test_scopes_of_two_threads(spark):
     for t in threads:
         t.join()
     assert not wrong and spark.conf.get(spark_io.CLEANUP) == "false"
+
+
+def test_outliers_of_few_texts(spark):
+    """A table too small for an estimate still rejects what is far off, and keeps the rest."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("aeioustrnl") for _ in range(rng.randint(2, 8)))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(60, 400))), "en", f"s{i % 3}") for i in range(20)]
+    rows += [(90, " ".join(word() * 40 for _ in range(200)), "en", "s0"), (91, " ".join("#$%&" * 5 + word() for _ in range(300)), "en", "s1"), (92, "short", "en", "s1")]
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i for i, kept in got.items() if not kept} == {90, 91, 92}
+    one = quality.quality(spark.createDataFrame(rows[:1], "doc_id long, text string, lang string, source string")).collect()
+    assert [r.kept for r in one] == [True]
