@@ -67,7 +67,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Token ids are beyond SQL; tests hold the pipeline against a brute-force version.
+#: Token ids are beyond SQL; tests/llm/test_pipeline.py holds the stages against a brute-force version.
 ORACLE_SQL = None
 
 
