@@ -2,7 +2,7 @@
 
 1. Each text's distinct word shingles give a 128-bit set fingerprint and a signature of H minima. Texts with equal sets
    form one class, so copies are never paired.
-2. Each class is posted under its (coordinate, value) pairs. Two signatures that agree in T places share one of any
+2. Each class is posted under its (coordinate, value) pairs, 64 bits each, so strangers hardly ever share a list. Two signatures that agree in T places share one of any
    H - T + 1 of them, so only the rarest H - T + 1 are kept (prefix merging); pairs that occur once take up places of
    the prefix but need no list, and the commonest lists are skipped.
 3. In each list the class with most shared coordinates leads and is paired with the others. A pair goes on if its sizes
@@ -54,6 +54,8 @@ def shingle_hashes(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.nda
 def signatures(docs: DataFrame, *, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, f1, f2 (fingerprint of the set), sig (null for a text without words), and MARKS.
 
+    A coordinate's 64 bits are its least hash mixed with the coordinate's own factor, so they stand for both.
+
     The bitmap w0, w1 ... has a bit for the hash of each shingle; s0, s1 ... hold the lowest byte of each coordinate.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -65,7 +67,7 @@ def signatures(docs: DataFrame, *, shingle: int, id_col: str, text_col: str) ->
                 h, edge = shingle_hashes(data, bounds, shingle)
                 n = np.zeros(j - i, np.int64)
                 prints = np.zeros((2, j - i), np.uint64)
-                sig = np.zeros((j - i, COORDINATES), np.uint32)
+                sig = np.zeros((j - i, COORDINATES), np.uint64)
                 bits = np.zeros((j - i) * 64 * WORDS, bool)
                 full = np.flatnonzero(np.diff(edge))
                 if len(full):
@@ -78,13 +80,13 @@ def signatures(docs: DataFrame, *, shingle: int, id_col: str, text_col: str) ->
                     for k in (0, 1):
                         prints[k, full] = np.add.reduceat(np.where(first, mix(h ^ _FACTORS[k]), np.uint64(0)), at)
                     for k in range(COORDINATES):
-                        sig[full, k] = np.minimum.reduceat(h * _FACTORS[k], at) >> np.uint64(32)
+                        sig[full, k] = mix(np.minimum.reduceat(h * _FACTORS[k], at) ^ _FACTORS[k])
                 off = np.concatenate([[0], np.cumsum(np.where(n > 0, COORDINATES, 0))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(off), pa.array(sig[n > 0].ravel().view(np.int32)), mask=pa.array(n == 0))
+                lists = pa.ListArray.from_arrays(pa.array(off), pa.array(sig[n > 0].ravel().view(np.int64)), mask=pa.array(n == 0))
                 marks = np.hstack([np.packbits(bits, bitorder="little").view("<i8").reshape(j - i, WORDS), sig.astype(np.uint8).view("<i8")])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), *(pa.array(p.view(np.int64)) for p in prints), lists, *(pa.array(m.copy()) for m in marks.T)], names=["doc_id", "n_shingles", "f1", "f2", "sig", *MARKS])
 
-    return rows.mapInArrow(sign, f"doc_id {kind}, n_shingles bigint, f1 bigint, f2 bigint, sig array<int>, {', '.join(f'{m} bigint' for m in MARKS)}")
+    return rows.mapInArrow(sign, f"doc_id {kind}, n_shingles bigint, f1 bigint, f2 bigint, sig array<bigint>, {', '.join(f'{m} bigint' for m in MARKS)}")
 
 
 def shingle_sets(docs: DataFrame, *, shingle: int) -> DataFrame:
@@ -141,7 +143,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     Texts are linked when 100 * common shingles >= percent * all shingles of both; component_id is the least doc_id in
     reach. A null text and one without words has no shingles, is linked with nothing and kept. A null doc_id is never a
     component's least one, and a text that only rows with a null doc_id have links nothing. Rows that share a doc_id count
-    as one document with all their texts, and are kept or not together. An empty table gives no rows; other columns are not read.
+    as one document with all their texts, and are kept or not together. Texts are taken whole at any length. An empty table
+    gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     with scratch() as keep:
@@ -150,8 +153,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
         reps = signed.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct(*kept), "doc_id").alias("x"))
         reps = stage(reps.where("rep is not null").select("f1", "f2", "rep", "x.*"), "classes")
 
-        post = reps.select("rep", F.posexplode("sig").alias("c", "v"))
-        post = post.select("rep", F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(0xFFFFFFFF)).alias("cv"))
+        post = reps.select("rep", F.explode("sig").alias("cv"))
         often = post.groupBy("cv").agg(F.count("*").alias("f")).where("f > 1")
         shared = post.join(often, "cv").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "cv"))).alias("p")).where(F.size("p") >= MATCHES)
         prefixes = stage(shared.select("rep", F.size("p").alias("p"), F.expr(f"slice(p.cv, 1, size(p) - {MATCHES - 1})").alias("pre")), "postings")
