@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 #: Rows that pivots are chosen from, rows a region should have, regions at most, and regions that a row may be sent to on
 #: average; more regions are not worth their copies.
 SAMPLE, REGION, MOST, COPIES = 4096, 256, 512, 6.0
+#: Pivots of a row whose borders are looked at.
+NEAREST = 4
 #: Rows of a block, rows that a task holds before it sends its fullest region, and blocks on one key of the join.
 BLOCK, HELD, SPREAD = 2048, 32_768, 64
 
@@ -59,9 +61,11 @@ class Regions:
         apart = 2 * np.sqrt(squared(self.pivots, self.pivots))
         slack = 1e-9 * (1 + self.eps)
         sent = np.ones(d.shape, bool)
-        for k in range(len(self.pivots)):
+        # the borders of the nearest pivots' regions cut off most; those of all would cost the square of the pivots
+        nearest = np.argpartition(d, min(NEAREST, d.shape[1]) - 1, axis=1)[:, :NEAREST]
+        for k in nearest.T:
             with np.errstate(divide="ignore", invalid="ignore"):
-                beyond = (d - d[:, k, None]) / apart[k]  # from the hyperplane between k and each pivot; on k's side positive
+                beyond = (d - d[np.arange(len(d)), k][:, None]) / apart[k]  # from the hyperplane between k and each pivot; on k's side positive
             sent &= ~(beyond > self.eps + slack)
         if self.radius is not None:
             sent &= np.sqrt(d) <= self.radius + self.eps + slack
