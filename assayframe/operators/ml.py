@@ -45,18 +45,23 @@ def _rest(df: DataFrame, columns: list[str] | str) -> DataFrame:
     return df.where(~complete(features(df, columns)))
 
 
-def kmeans(df: DataFrame, columns: list[str] | str, k: int = 3, seed: int = 42, max_iter: int = 300) -> DataFrame:
+#: Spark's largest number of steps, for k-means without a limit.
+UNTIL_STILL = 2**31 - 1
+
+
+def kmeans(df: DataFrame, columns: list[str] | str, k: int = 3, seed: int = 42, max_iter: int | None = None) -> DataFrame:
     """df with cluster_kmeans; null for rows with a null feature.
 
     Spark's parallel k-means from scalable seeds, iterated until no centre moves: every row then has the label of its
-    nearest centre, and every centre is the mean of its rows.
+    nearest centre, and every centre is the mean of its rows. Each step brings rows nearer to their centres, so there is
+    an end; it takes the more steps the more rows there are. A max_iter stops before it, short of a fixed point.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     df = keep(df)
     rows = standardized(df, columns).withColumn("_v", array_to_vector("_z"))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=1e-12, featuresCol="_v", predictionCol="cluster_kmeans").fit(rows.select("_v"))
+    model = KMeans(k=k, seed=seed, maxIter=UNTIL_STILL if max_iter is None else max_iter, tol=1e-12, featuresCol="_v", predictionCol="cluster_kmeans").fit(rows.select("_v"))
     done = model.transform(rows).select(*df.columns, "cluster_kmeans")
     return done.unionByName(_rest(df, columns).withColumn("cluster_kmeans", F.lit(None).cast("int")))
 

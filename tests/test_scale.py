@@ -234,3 +234,26 @@ def test_sketch_bounds():
         sketch.prune()
         assert len(sketch.counts) <= size and sketch.error <= n / size
         assert all(sketch.counts.get(v, 0) <= k <= sketch.counts.get(v, 0) + sketch.error for v, k in true.items())
+
+
+def test_kmeans_goes_on_until_no_centre_moves(spark, monkeypatch):
+    """Evenly spaced points need many steps, and no number of steps is the limit."""
+    from pyspark.ml import clustering
+
+    limits = []
+
+    class Spy(clustering.KMeans):
+        def __init__(self, **settings):
+            limits.append(settings["maxIter"])
+            super().__init__(**settings)
+
+    monkeypatch.setattr(clustering, "KMeans", Spy)
+    df = spark.range(2000).selectExpr("id", "CAST(id AS DOUBLE) AS x").repartition(2)
+
+    def still(**more):
+        rows = np.array([(r.x, r.cluster_kmeans) for r in ml.kmeans(df, ["x"], 10, **more).select("x", "cluster_kmeans").collect()])
+        x, label = rows[:, 0], rows[:, 1].astype(int)
+        d = np.abs(x[:, None] - np.bincount(label, x) / np.bincount(label))
+        return (d[np.arange(len(x)), label] <= d.min(axis=1) + 1e-6).all()
+
+    assert still() and not still(max_iter=3) and limits == [ml.UNTIL_STILL, 3]
