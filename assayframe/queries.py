@@ -487,11 +487,17 @@ _add("read_csv", "SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c
 
 
 def _las(t) -> DataFrame:
-    """A log file for each hundred customers, with the account balance as a curve that has gaps."""
-    line = F.format_string("%d %d %d %s", F.expr("c_custkey % 100"), F.expr("c_custkey DIV 100"), "c_nationkey", F.expr("IF(c_custkey % 7 = 0, '-999.25', CAST(CAST(c_acctbal AS DECIMAL(12, 2)) AS STRING))"))
-    logs = t("customer").groupBy(F.expr("c_custkey DIV 100").alias("log")).agg(F.sort_array(F.collect_list(F.struct(F.expr("c_custkey % 100").alias("k"), line.alias("v")))).alias("rows"))
-    head = "~V\n VERS. 2.0 : v\n~W\n NULL. -999.25 : n\n~C\n DEPT.M : depth\n LOG. : log\n NAT. : nation\n BAL.USD : balance\n~A\n"
-    logs = logs.select("log", F.concat(F.lit(head), F.array_join("rows.v", "\n")).alias("value"))
+    """A log file for each hundred customers, with the account balance as a curve that has gaps.
+
+    A log's marker of gaps lies below all its values, as a balance may be any amount, also the usual -999.25.
+    """
+    amount = F.expr("CAST(c_acctbal AS DECIMAL(12, 2))")
+    line = F.struct(F.expr("c_custkey % 100").alias("k"), F.expr("c_custkey DIV 100").alias("log"), F.col("c_nationkey").alias("nation"), F.when(F.expr("c_custkey % 7 <> 0"), F.coalesce(amount.cast("string"), F.lit("null"))).alias("balance"))
+    logs = t("customer").groupBy(F.expr("c_custkey DIV 100").alias("log")).agg(F.sort_array(F.collect_list(line)).alias("rows"), (F.least(F.min(amount), F.lit(0)) - F.expr("999.25BD")).cast("string").alias("gap"))
+    gap = F.coalesce("gap", F.lit("-999.25"))
+    lines = F.transform("rows", lambda r: F.format_string("%d %d %d %s", r["k"], r["log"], r["nation"], F.coalesce(r["balance"], gap)))
+    head = "~V\n VERS. 2.0 : v\n~W\n NULL. %s : n\n~C\n DEPT.M : depth\n LOG. : log\n NAT. : nation\n BAL.USD : balance\n~A\n"
+    logs = logs.select("log", F.concat(F.format_string(head, gap), F.array_join(lines, "\n")).alias("value"))
     path = tables.shared_path(logs.sparkSession, "las")
     tables.write_table(logs, path, "text", ["log"])
     return tables.read_las(logs.sparkSession, f"{path}/log=*").select(F.col("LOG").cast("long").alias("log"), F.col("DEPT").alias("depth"), F.col("NAT").alias("nation"), F.col("BAL").alias("balance"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col, quoted
+from ..operators.graph import keep
 
 # Texts that a table file uses for a missing cell.
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -56,6 +57,8 @@ def read_las(spark: SparkSession, path: str, curves: list[str] | None = None) ->
     text = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r", "").alias("line")
     )
+    # every scan may cut the files anew, by the cores there are then, so places hold for one scan only
+    text = keep(text)
     place = F.struct("start", "id")
     sections = text.where(F.col("line").startswith("~")).groupBy("path").agg(F.sort_array(F.collect_list(F.struct(F.col("start"), F.col("id"), F.substring("line", 2, 1).alias("k")))).alias("sections"))
     before = F.filter("sections", lambda s: F.struct(s["start"], s["id"]) <= place)

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from assayframe import queries
 from assayframe.sources import tables
 
 
@@ -71,3 +72,10 @@ def test_a_long_log_is_read_by_many_tasks(spark, tmp_path):
     assert all((r.DEPT, r.GR, r.Z) == (k + 0.5, float(k) if k % 10 == 0 or k % 7 else None, None if k % 10 == 0 else float(k % 3)) for k, r in rows.items())
     assert [(r.step, r.DEPT, r.GR, r.Z) for r in out.where("file = 'short.las'").collect()] == [(0, 1.0, None, None)]
     assert tables.read_las(spark, str(tmp_path), ["GR", "none"]).columns == ["file", "step", "GR", "none"]
+
+
+def test_a_balance_like_the_marker_of_gaps(spark, tmp_path):
+    rows = [(1, 5, -999.25), (2, 5, -1998.5), (7, 5, 3.0), (101, 6, -999.25), (102, 6, None), (205, 6, None)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {(r.log, r.depth): (r.nation, r.balance) for r in queries.QUERIES["read_las"](spark, str(tmp_path)).collect()}
+    assert got == {(k // 100, float(k % 100)): (float(n), b if k % 7 else None) for k, n, b in rows}
