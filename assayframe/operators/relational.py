@@ -15,15 +15,17 @@ from .selection import grouped_quantiles
 HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full"}
 
 
-#: Rows of a sample in which hot keys are looked for; a key is hot if it has more than 1 / FINE of an average partition.
-SAMPLED, FINE = 200_000, 4
+#: Rows of a sample in which hot keys are looked for, and how often they are there at least. A key is hot if it has more
+#: than 1 / FINE of an average partition's rows, or more than PAIRS pairs of rows; a task joins about PAIRS at most.
+SAMPLED, OFTEN, FINE, PAIRS = 200_000, 16, 4, 1 << 25
 
 
 def merge(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on shared names in which null keys match null keys.
 
-    Keys appear once (coalesced for outer and right joins); other shared names get _x and _y. Spark splits the large
-    partitions of other joins at run time, but not those of a full outer one: there hot keys are salted (see _salted).
+    Keys appear once (coalesced for outer and right joins); other shared names get _x and _y. Spark splits large partitions
+    at run time by their bytes, those of an outer join on one side only or not at all, and never by the pairs they make:
+    hot keys are spread here (see _spread).
     """
     if how not in HOW:
         raise ValueError(f"how must be one of {', '.join(HOW)}, not {how!r}")
@@ -32,55 +34,78 @@ def merge(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
     shared = {c for c in left.columns if c in right.columns and c not in on}
     a = left.select(*[col(c).alias(f"k{i}") for i, c in enumerate(on)], *[col(c).alias(f"{c}_x" if c in shared else c) for c in left.columns if c not in on])
     b = right.select(*[col(c).alias(f"j{i}") for i, c in enumerate(on)], *[col(c).alias(f"{c}_y" if c in shared else c) for c in right.columns if c not in on])
-    test = F.lit(True)
-    for i in range(len(on)):
-        test = test & F.col(f"k{i}").eqNullSafe(F.col(f"j{i}"))
-    out = _salted(a, b, test, len(on)) if how == "outer" else a.join(b, test, HOW[how])
+    out = _spread(a, b, len(on), HOW[how])
     return out.select(*[F.coalesce(f"k{i}", f"j{i}").alias(c) for i, c in enumerate(on)], *[col(c) for c in [*a.columns[len(on) :], *b.columns[len(on) :]]])
 
 
-def _hot(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
-    """Keys whose share of the rows is above 1 / (FINE * parts), and their share, by a sample: FINE * parts rows at most."""
-    n = rows.count()
-    some = rows.select(*keys).sample(min(1.0, SAMPLED / max(n, 1)), seed=3)
-    counts = some.groupBy(*keys).agg(F.count("*").alias("_m"))
-    share = F.col("_m") / F.lit(float(max(min(n, SAMPLED), 1)))
-    return counts.where((share > 1 / (FINE * parts)) & (F.col("_m") > 1)).select(*keys, share.alias("_share"), (share * n).alias("_rows"))
+def _often(rows: DataFrame, keys: list[str], common: list[str], n: int) -> DataFrame:
+    """Keys that a sample has OFTEN: no more than SAMPLED / OFTEN."""
+    some = rows.select(*[F.col(k).alias(c) for k, c in zip(keys, common)]).sample(min(1.0, SAMPLED / max(n, 1)), seed=3)
+    return some.groupBy(*common).agg(F.count("*").alias("_n")).where(F.col("_n") >= OFTEN).select(*common)
 
 
-def _salted(a: DataFrame, b: DataFrame, test: Column, n: int) -> DataFrame:
-    """Full outer join in which a hot key is spread over salts on the side that has more of it, and copied to all salts on
-    the other.
+def _same(rows: DataFrame, keys: list[str], common: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [rows[k].eqNullSafe(F.col(c)) for k, c in zip(keys, common)])
 
-    Every row of the first side is in one salt and meets all copies there. A copy that meets none is left out: as the
-    first side has the key, other copies of it are matched. Rows without a partner come once.
+
+def _hot(a: DataFrame, b: DataFrame, n: int, parts: int) -> DataFrame:
+    """Hot keys (_h0, ..), their rows on both sides (_na, _nb), and into how many parts each side is cut (_sa, _sb), so that
+    no cell of a part of a with a part of b has too many rows or pairs. A key that one side lacks has no cells but parts."""
+    common = [f"_h{i}" for i in range(n)]
+    sides = [(a, [f"k{i}" for i in range(n)], "_na"), (b, [f"j{i}" for i in range(n)], "_nb")]
+    sizes = [rows.count() for rows, _, _ in sides]
+    maybe = keep(reduce(DataFrame.union, [_often(rows, keys, common, size) for (rows, keys, _), size in zip(sides, sizes)]).distinct())
+    # the counts of these few keys are exact
+    counts = [rows.join(F.broadcast(maybe), _same(rows, keys, common)).groupBy(*common).agg(F.count("*").alias(name)) for rows, keys, name in sides]
+    counts = [c.select(*common, *[F.col(x) if x in c.columns else F.lit(0).cast("long").alias(x) for x in ("_na", "_nb")]) for c in counts]
+    hot = counts[0].union(counts[1]).groupBy(*common).agg(F.sum("_na").alias("_na"), F.sum("_nb").alias("_nb"))
+    most = [F.lit(max(size / (FINE * parts), 1.0)) for size in sizes]
+    pairs = F.col("_na").cast("double") * F.col("_nb")
+    cells = F.ceil(pairs / PAIRS)
+    hot = hot.where((F.col("_na") > most[0]) | (F.col("_nb") > most[1]) | (cells > 1))
+    # as many parts of each side as make the fewest copies
+    even = F.when((F.col("_na") > 0) & (F.col("_nb") > 0), F.sqrt(cells * F.col("_na") / F.col("_nb"))).otherwise(F.lit(1.0))
+    hot = hot.withColumn("_sa", F.ceil(F.greatest(F.least(even, cells), F.col("_na") / most[0], F.lit(1.0))).cast("int"))
+    return hot.withColumn("_sb", F.ceil(F.greatest(cells / F.col("_sa"), F.col("_nb") / most[1], F.lit(1.0))).cast("int"))
+
+
+def _spread(a: DataFrame, b: DataFrame, n: int, how: str) -> DataFrame:
+    """The join of a (k0, ..) and b (j0, ..), with hot keys in many tasks whatever the kind of join.
+
+    The rows of a hot key that both sides have are cut into parts, and each part of a meets each part of b in a cell of its
+    own; there every row has a partner, so the cells are inner joins. All other rows are joined as asked; those of a hot key
+    without partners carry a salt, which keeps them apart.
     """
     parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = {"a": [f"k{i}" for i in range(n)], "b": [f"j{i}" for i in range(n)]}
     common = [f"_h{i}" for i in range(n)]
-    hot = None
-    for side, rows in (("a", a), ("b", b)):
-        one = _hot(rows, names[side], parts).toDF(*common, "_share", "_rows").withColumn("_side", F.lit(side))
-        hot = one if hot is None else hot.unionByName(one)
-    # of a key that is hot on both sides the greater one is salted
-    hot = hot.groupBy(*common).agg(F.max_by(F.struct("_side", "_share"), "_rows").alias("_x"))
-    hot = keep(hot.select(*common, F.col("_x._side").alias("_side"), F.ceil(F.col("_x._share") * FINE * parts).cast("int").alias("_salts")))
+    test = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(j)) for k, j in zip(names["a"], names["b"])])
+    hot = keep(_hot(a, b, n, parts))
     if hot.isEmpty():
-        return a.join(b, test, "full")
-
-    def prepared(rows: DataFrame, side: str) -> DataFrame:
-        same = F.lit(True)
-        for x, y in zip(names[side], common):
-            same = same & rows[x].eqNullSafe(F.col(y))
-        out = rows.join(F.broadcast(hot), same, "left")
-        salted, every = F.col("_side") == side, F.sequence(F.lit(0), F.col("_salts") - 1)
-        salt = F.when(F.col("_side").isNull(), F.array(F.lit(0))).when(salted, F.array(F.pmod(F.monotonically_increasing_id(), F.col("_salts")).cast("int"))).otherwise(every)
-        return out.select(*rows.columns, F.coalesce(~salted, F.lit(False)).alias(f"_copy_{side}"), F.explode(salt).alias(f"_salt_{side}"))
-
-    left, right = prepared(a, "a"), prepared(b, "b")
-    out = left.join(right, test & (F.col("_salt_a") == F.col("_salt_b")), "full")
-    alone = (F.col("_salt_b").isNull() & F.col("_copy_a")) | (F.col("_salt_a").isNull() & F.col("_copy_b"))
-    return out.where(~F.coalesce(alone, F.lit(False))).select(*a.columns, *b.columns)
+        return a.join(b, test, how)
+    order = Window.orderBy(*common).rowsBetween(Window.unboundedPreceding, -1)  # a few keys
+    size = F.when((F.col("_na") > 0) & (F.col("_nb") > 0), F.col("_sa") * F.col("_sb")).otherwise(0)
+    hot = keep(hot.withColumn("_first", F.when(size > 0, F.coalesce(F.sum(size).over(order), F.lit(0)))))
+    total = hot.agg(F.sum(size)).first()[0]
+
+    def marked(rows: DataFrame, side: str) -> DataFrame:
+        out = rows.join(F.broadcast(hot), _same(rows, names[side], common), "left")
+        return out.withColumn("_p", F.pmod(F.monotonically_increasing_id(), F.coalesce(f"_s{side}", F.lit(1))).cast("int"))
+
+    left, right = marked(a, "a"), marked(b, "b")
+    rest = left.where("_first IS NULL").select(*a.columns, F.col("_p").alias("_pa")).join(right.where("_first IS NULL").select(*b.columns, F.col("_p").alias("_pb")), test & (F.col("_pa") == F.col("_pb")), how)
+    rest = rest.select(*a.columns, *b.columns)
+    if not total:
+        return rest
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    of_a = F.transform(upto("_sb"), lambda j: F.col("_first") + F.col("_p") * F.col("_sb") + j)
+    of_b = F.transform(upto("_sa"), lambda i: F.col("_first") + i * F.col("_sb") + F.col("_p"))
+    left = left.where("_first IS NOT NULL").select(*a.columns, F.explode(of_a).alias("_cell"))
+    right = right.where("_first IS NOT NULL").select(*b.columns, F.explode(of_b).alias("_at"))
+    # a number of partitions of its own, as Spark would put cells together by their few bytes
+    tasks = max(parts, min(total, 20_000))
+    cells = left.repartition(tasks, "_cell").join(right.repartition(tasks, "_at"), F.col("_cell") == F.col("_at"))
+    return rest.union(cells.select(*a.columns, *b.columns))
 
 
 STATISTICS = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5)), "max": F.max, "min": F.min, "sum": lambda c: F.coalesce(F.sum(c), F.lit(0))}

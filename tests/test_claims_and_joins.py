@@ -167,3 +167,20 @@ def test_thresholds_are_counted_once(spark):
     claims = spark.createDataFrame([("v", t) for t in (-1.0, 0.0, 499.5, 998.0, 999.0, 5000.0)], "column string, t double")
     got = {r.t: r.n for r in hypotheses._above(df, ["v"], claims).collect()}
     assert got == {-1.0: 1000, 0.0: 999, 499.5: 500, 998.0: 1, 999.0: 0, 5000.0: 0}
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_the_pairs_of_a_hot_key_are_spread(spark, monkeypatch, how):
+    """Null on both sides, a key that only one side has often, and one of each side's own: all rows, and no task with many."""
+    monkeypatch.setattr(relational, "PAIRS", 2000)
+    a = spark.range(900).selectExpr("CASE WHEN id < 300 THEN NULL WHEN id < 600 THEN -1 ELSE id END AS k", "id AS p")
+    b = spark.range(500).selectExpr("CASE WHEN id < 120 THEN NULL WHEN id < 300 THEN -2 ELSE id + 300 END AS k", "id AS q")
+    out = relational.merge(a, b, ["k"], how)
+    size = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    left, right = ({r[1]: r[0] for r in df.collect()} for df in (a, b))
+    want = [(k, p, q) for p, k in left.items() for q, j in right.items() if j == k]
+    want += [(k, p, None) for p, k in left.items() if k not in right.values()] if how in ("left", "outer") else []
+    want += [(j, None, q) for q, j in right.items() if j not in left.values()] if how in ("right", "outer") else []
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key)
+    assert sum(size) == len(want) and max(size) < 0.4 * 300 * 120
