@@ -147,6 +147,46 @@ def _links(eps: float):
     return run
 
 
+#: Blocks of a region that the first round compares points with; each further round of counts has GROWTH times as many.
+FIRST, GROWTH = 4, 4
+
+
+def _marked(points: DataFrame, found: regions.Regions, eps: float, least: int) -> DataFrame:
+    """Points with mark: whether rows of a weight of least lie within eps. Those that are not yet known to be cores meet
+    more blocks, round by round, in the end all of their region."""
+    points = keep(points.withColumn("mark", F.lit(False)))
+    blocks = keep(regions.ranked(regions.blocks(points, found)))
+    last = blocks.agg(F.max("rank")).first()[0]
+    open_, known, low, high = points.withColumn("n", F.lit(0).cast("long")), None, 0, FIRST
+    while True:
+        own = keep(regions.blocks(open_, found, "false"))
+        pairs = regions.block_pairs(own, blocks.where((F.col("rank") >= low) & (F.col("rank") < high)))
+        more = pairs.mapInArrow(_counts(eps), "id long, n long").groupBy("id").agg(F.sum("n").alias("more"))
+        counted = keep(open_.join(more, "id", "left").select("id", "weight", "mark", "z", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+        low, high = high, high * GROWTH
+        open_ = counted.where(F.col("n") < least)
+        done = low > last or open_.isEmpty()
+        mark = (F.col("n") >= least).alias("mark")
+        now = (counted if done else counted.where(F.col("n") >= least)).select("id", "weight", mark, "z")
+        known = now if known is None else known.union(now)
+        if done:
+            return keep(known)
+
+
+def _linked(points: DataFrame, found: regions.Regions, eps: float) -> DataFrame:
+    """(a, b, kind) of _links for all cores and the other points in their reach, from marked points."""
+    spanning = lambda own, blocks: keep(regions.block_pairs(own, blocks).mapInArrow(_links(eps), "a long, b long, kind int").distinct())
+    blocks = keep(regions.ranked(regions.blocks(points, found, "mark")))
+    if blocks.agg(F.max("rank")).first()[0] < FIRST:
+        return spanning(blocks, blocks)
+    links = spanning(keep(regions.blocks(points.where("mark"), found, "false")), blocks.where(F.col("rank") < FIRST))
+    parts = keep(connected_components(links.select("a", "b")))
+    largest = parts.groupBy("component").count().orderBy(F.desc("count"), "component").select("component").limit(1)
+    inside = parts.join(F.broadcast(largest), "component", "left_semi")
+    rest = points.join(inside, "id", "left_anti").select("id", "weight", "mark", "z")
+    return links.union(spanning(keep(regions.blocks(rest, found, "false")), blocks))
+
+
 def dbscan(df: DataFrame, columns: list[str] | str, row_id: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """(row_id, cluster_dbscan) for every row: -1 is noise, null stands for rows with a null feature.
 
@@ -156,8 +196,10 @@ def dbscan(df: DataFrame, columns: list[str] | str, row_id: str, eps: float = 0.
     Rows of equal features are one point with a weight. A metric partition (see regions) brings each point together with all
     its neighbours; two blocks give counts, and then no more links than they have rows, as each core is linked to the least
     core it is connected with there. Parts of different blocks meet in the rows they share. Where features lie so far
-    apart that eps reaches across most borders, as in many dimensions without clusters, fewer regions are made, and in the
-    end all points are compared block by block.
+    apart that eps reaches across most borders, as in many dimensions without clusters, fewer regions are made, and large
+    regions are compared in rounds: a point leaves as soon as it is known to be a core, and links are looked for only from
+    the points outside the largest cluster of the first round, as no link within it is wanted. Only noise and small
+    clusters are compared with all points of their region.
     """
     every = df.select(col(row_id).alias("_id"), features(df, columns).alias("_f"))
     numbered = dict(every.dtypes)["_id"] in ("tinyint", "smallint", "int", "bigint")
@@ -167,11 +209,8 @@ def dbscan(df: DataFrame, columns: list[str] | str, row_id: str, eps: float = 0.
     found = regions.fitted(points, eps, points.count())
     if found is None:
         return every.select(F.col("_id").alias(row_id), F.lit(None).cast("int").alias("cluster_dbscan"))
-    pairs = regions.block_pairs(keep(regions.blocks(points.withColumn("mark", F.lit(False)), found)))
-    counts = pairs.mapInArrow(_counts(eps), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    points = keep(points.join(counts, "id").select("id", "weight", (F.col("n") >= min_samples).alias("mark"), "z"))
-    pairs = regions.block_pairs(keep(regions.blocks(points, found, "mark")))
-    links = keep(pairs.mapInArrow(_links(eps), "a long, b long, kind int").distinct())
+    points = _marked(points, found, eps, min_samples)
+    links = _linked(points, found, eps)
     parts = connected_components(links.where("kind = 0").select("a", "b"))
     core = points.where("mark").join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     numbers = with_row_id(core.select("component").distinct(), ["component"], "number")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that pivots are chosen from, rows a region should have, regions at most, and regions that a row may be sent to on
@@ -173,19 +173,33 @@ def blocks(points: DataFrame, regions: Regions, halo: str = "true") -> DataFrame
     return points.select("id", "weight", "mark", "z", F.expr(halo).alias("_may")).mapInArrow(run, BLOCKS)
 
 
-def block_pairs(stored: DataFrame) -> DataFrame:
-    """Each block of a region's own rows (a_) with each block of its rows and halo (b_), from stored blocks.
+def ranked(stored: DataFrame) -> DataFrame:
+    """Stored blocks with their rank among the blocks of their region, in the order of a hash, from 0 on."""
+    key = F.xxhash64("ids", "region", "home")
+    ranks = stored.select("region", key.alias("_key")).distinct()
+    ranks = ranks.select("_key", (F.row_number().over(Window.partitionBy("region").orderBy("_key")) - 1).alias("rank"))
+    return stored.withColumn("_key", key).join(F.broadcast(ranks), "_key").drop("_key")
 
-    Keys are split by the number of blocks of a region, which one small row each tells the driver.
+
+def block_pairs(own: DataFrame, others: DataFrame) -> DataFrame:
+    """Each block of a region's own rows in own (a_) with each block of its rows and halo in others (b_), from stored blocks.
+
+    Keys are split by the number of blocks of a region on both sides, which one small row each tells the driver.
     """
-    counts = {r["region"]: r["n"] for r in stored.groupBy("region").agg(F.count("*").alias("n")).collect()}
-    keys = stored.sparkSession.createDataFrame([(r, -(-n // SPREAD)) for r, n in counts.items()], "region int, salts int")
-    keyed = stored.join(F.broadcast(keys), "region")
+    count = lambda df: {r["region"]: r["n"] for r in df.groupBy("region").agg(F.count("*").alias("n")).collect()}
+    own = own.where("home")
+    na, nb = count(own), count(others)
+    wide = lambda n: max(SPREAD // 4, 4 * SPREAD // n, 1)  # blocks of own on one key
+    keys = [(r, -(-n // wide(nb[r])), -(-nb[r] // SPREAD)) for r, n in na.items() if r in nb]
+    keys = F.broadcast(own.sparkSession.createDataFrame(keys, "region int, a_salts int, b_salts int"))
     fields = ("ids", "weights", "marks", "vectors")
-    a = keyed.where("home").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    a = a.select("region", "salt", F.xxhash64("ids").alias("a_key"), *[F.col(c).alias(f"a_{c}") for c in fields])
-    b = keyed.withColumn("salt", F.pmod(F.xxhash64("ids"), F.col("salts")).cast("int")).select("region", "salt", *[F.col(c).alias(f"b_{c}") for c in fields])
-    return a.join(b, ["region", "salt"]).drop("region", "salt")
+    salted = lambda n: F.pmod(F.xxhash64("ids"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = own.join(keys, "region").withColumn("i", salted("a_salts")).withColumn("j", every("b_salts"))
+    b = others.join(keys, "region").withColumn("j", salted("b_salts")).withColumn("i", every("a_salts"))
+    a = a.select("region", "i", "j", F.xxhash64("ids").alias("a_key"), *[F.col(c).alias(f"a_{c}") for c in fields])
+    b = b.select("region", "i", "j", *[F.col(c).alias(f"b_{c}") for c in fields])
+    return a.join(b, ["region", "i", "j"]).drop("region", "i", "j")
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

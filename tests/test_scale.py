@@ -251,3 +251,24 @@ def test_kmeans_goes_on_until_no_centre_moves(spark, monkeypatch):
         return (d[np.arange(len(x)), label] <= d.min(axis=1) + 1e-6).all()
 
     assert still() and not still(max_iter=3) and limits == [ml.UNTIL_STILL, 3]
+
+
+def test_dbscan_leaves_known_cores_out(spark, monkeypatch):
+    """One large region: points that are known to be cores, or to be linked, are not compared with all others."""
+    for name, value in (("BLOCK", 64), ("HELD", 64), ("MOST", 1)):
+        monkeypatch.setattr(regions, name, value)
+    compared, real = [], regions.block_pairs
+
+    def counted(own, others):
+        rows = lambda df: df.agg(F.sum("n")).first()[0] or 0
+        compared.append(rows(own.where("home")) * rows(others))
+        return real(own, others)
+
+    monkeypatch.setattr(regions, "block_pairs", counted)
+    x = np.random.default_rng(9).normal(size=(1500, 2))
+    x[:3] += 40
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i long, x double, y double").repartition(2)
+    z = (x - x.mean(0)) / x.std(0)
+    got = {r.i: r.cluster_dbscan for r in ml.dbscan(df, ["x", "y"], "i", 0.5, 5).collect()}
+    assert [got[i] for i in range(len(x))] == brute_dbscan(z, 0.5, 5).tolist() and got[0] == -1
+    assert sum(compared) < 1500**2  # all pairs twice before
