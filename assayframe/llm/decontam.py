@@ -7,7 +7,8 @@
    phrase agree on is a candidate start.
 4. Candidates meet their document once, where the whole phrase is compared, so matches are exact.
 5. Asked for a ``slop``, phrases are also looked for by proximity: places that three of a phrase's four rarest words of the
-   corpus agree on within so many words are candidates, and match if a share of the phrase's words stands there.
+   corpus agree on within so many words are candidates, and match if a share of the phrase's words stands there. One of the
+   two rarest is always among the three, so the postings of the other two are not needed: the text around is looked at.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ TERMS = 2
 #: Proximity: words looked up, how many of them have to meet, the share of a phrase's distinct words that has to stand at
 #: a place, and the least words of a phrase that is looked for in this way.
 NEAR_TERMS, NEAR_MEET, NEAR_SHARE, NEAR_LEAST = 4, 3, 0.75, 8
+#: So many of the rarest looked-up words that one of them is always among those that meet.
+NEAR_ANCHORS = NEAR_TERMS - NEAR_MEET + 1
 #: Rows up to which a word table is broadcast; above, the join shuffles.
 BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,19 +85,42 @@ def phrase_candidates(index: DataFrame, terms: DataFrame) -> DataFrame:
     return met.where("n = need").select("phrase_id", "r1", "r2", "start")
 
 
-def proximity_candidates(index: DataFrame, terms: DataFrame, slop: int) -> DataFrame:
+def proximity_candidates(index: DataFrame, terms: DataFrame, texts: DataFrame, slop: int) -> DataFrame:
     """(phrase_id, r1, r2, start): places that NEAR_MEET looked-up words of a phrase agree on within slop words.
 
-    Places meet in cells of twice the slop on two grids half a cell apart, so no list is paired with another.
+    Places meet in cells of twice the slop on two grids half a cell apart. NEAR_MEET words cannot meet without one of the
+    NEAR_ANCHORS rarest, so only the postings of those travel, and the others are looked for in the text, in the two cells
+    around them.
     """
-    terms = terms.where(F.col("len") >= NEAR_LEAST).select("phrase_id", "word", "off")
-    shifted = index.join(_small(terms), "word").select("phrase_id", "off", "r1", "r2", (F.col("pos") - F.col("off")).alias("start"))
-    size = 2 * slop + 1
-    grids = F.array(*[F.struct(F.lit(g).alias("grid"), F.floor((F.col("start") + g * (slop + 1)) / size).alias("cell")) for g in (0, 1)])
-    cells = shifted.withColumn("x", F.explode(grids)).select("phrase_id", "r1", "r2", "x.*", "off", "start")
-    cells = cells.groupBy("phrase_id", "r1", "r2", "grid", "cell", "off").agg(F.min("start").alias("start"))
-    met = cells.groupBy("phrase_id", "r1", "r2", "grid", "cell").agg(F.count("*").alias("n"), F.min("start").alias("start")).where(F.col("n") >= NEAR_MEET)
-    return met.select("phrase_id", "r1", "r2", "start").distinct()
+    terms, size = terms.where(F.col("len") >= NEAR_LEAST), 2 * slop + 1
+    known = terms.groupBy("phrase_id").agg(F.collect_list(F.struct("off", "word")).alias("known")).where(F.size("known") >= NEAR_MEET)
+    rarest = terms.where(F.col("k") <= NEAR_ANCHORS).select("phrase_id", "word", "off", "len")
+    anchors = index.join(_small(rarest), "word").select("phrase_id", "r1", "r2", "len", (F.col("pos") - F.col("off")).alias("at"))
+    # of a text only the words around go on from the join, those of base and after
+    words = texts.dropDuplicates(["r1", "r2"]).select("r1", "r2", word_list("text").alias("w"))
+    base = F.greatest(F.col("at") - 2 * slop, F.lit(0))
+    around = F.slice("w", base + 1, F.col("at") + F.col("len") + 2 * slop - base)
+    places = anchors.join(words, ["r1", "r2"]).select("phrase_id", "r1", "r2", "at", base.alias("base"), around.alias("around"))
+
+    def firsts(grid: int) -> Column:
+        """For each known word the first place in the anchor's cell that it points to, null if none."""
+        shift = grid * (slop + 1)
+        low = (F.floor((F.col("at") + shift) / size) * size - shift - F.col("base")).cast("int")
+
+        def first(term: Column) -> Column:
+            begin = F.greatest(low + term["off"], F.lit(0))
+            found = F.array_position(F.slice("around", begin + 1, F.greatest(low + term["off"] + size - begin, F.lit(0))), term["word"])
+            return F.when(found > 0, begin + F.col("base") + found.cast("int") - 1 - term["off"])
+
+        return F.transform("known", first)
+
+    # whether enough of the words are there at all is quickly seen; words that the phrase repeats count as there
+    both, again = F.array_intersect("words", "around"), F.size("known") - F.size("words")
+    known = known.withColumn("words", F.array_distinct("known.word"))
+    places = places.join(_small(known), "phrase_id").where(F.size(both) + again >= NEAR_MEET)
+    places = places.select("phrase_id", "r1", "r2", F.explode(F.array(firsts(0), firsts(1))).alias("cell"))
+    met = places.where(F.size(F.filter("cell", F.isnotnull)) >= NEAR_MEET)
+    return met.select("phrase_id", "r1", "r2", F.array_min("cell").alias("start")).distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slop: int | None = None) -> DataFrame:
@@ -116,10 +142,10 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col
     texts = rows.select("r1", "r2", F.col("row")[text_col].alias("text"))
     table = stage(phrases(items, window, item_col, item_text_col).withColumn("phrase_id", F.xxhash64("phrase")), "phrases")
     terms = stage(lookup_terms(table, texts, TERMS if slop is None else NEAR_TERMS), "terms")
-    index = stage(postings(texts, terms), "postings")
+    index = stage(postings(texts, terms.where(F.col("k") <= max(TERMS, NEAR_ANCHORS))), "postings")
     found = phrase_candidates(index, terms).withColumn("near", F.lit(False))
     if slop is not None:
-        found = found.unionByName(proximity_candidates(index, terms, slop).withColumn("near", F.lit(True)))
+        found = found.unionByName(proximity_candidates(index, terms, texts, slop).withColumn("near", F.lit(True)))
     found = found.join(_small(table), "phrase_id")
     found = found.groupBy("r1", "r2").agg(F.collect_list(F.struct("start", "phrase", "items", "near")).alias("c"))
     both = rows.join(found, ["r1", "r2"], "left").withColumn("w", word_list(f"row.`{text_col}`"))

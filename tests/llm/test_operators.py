@@ -300,6 +300,32 @@ def test_proximity(spark):
     assert decontam.contamination(rows, items).where("size(near_ids) > 0").count() == 0
 
 
+def shuffled(spark):
+    """Records that the session's stages have written to shuffles so far."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("broadcast", [decontam.BROADCAST_ROWS, 0])
+def test_proximity_sends_no_common_words(spark, monkeypatch, broadcast):
+    """Of a phrase's four words looked up, two rare and two common, only postings of the rare ones are shuffled."""
+    rng, common = random.Random(4), [f"c{i}" for i in range(11)]
+    item = [*common[:4], "rare", *common[4:8], "scarce", *common[8:]]
+    noise = lambda n: rng.choices(common, k=n)
+    near = [*item[:6], "other", *item[7:]]
+    docs = [noise(900) for _ in range(20)] + [near + noise(30), noise(30) + near[:2] + ["x"] + near[2:], ["rare"] + noise(400) + ["scarce"], item[2:], near[4:], ["rare", "scarce", "c0"]]
+    rows = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", broadcast)
+    before = shuffled(spark)
+    got = {r.doc_id for r in decontam.contamination(rows, items, slop=3).where("size(near_ids) > 0").collect()}
+    assert got == {20, 21, 23}
+    if broadcast:
+        assert shuffled(spark) - before < 1000  # c0 and c1 alone stand in the texts over 3,000 times
+
+
 def test_line_dedup(docs, empty):
     got = {r.doc_id: r for r in lines.line_dedup(docs).collect()}
     pages = [i * 3 for i, t in enumerate(TEXTS) if t and t.startswith("Page ")]
