@@ -393,7 +393,8 @@ def hard_negatives(
                     asked = asked.join(kth, "row", "left").withColumn("low", F.when(F.col("kth").isNull(), F.col("low")).otherwise(bound)).drop("kth")
                 chunks = asked.select("row", "label", "home", "vector", "low", "high").coalesce(max(1, full)).mapInArrow(_chunks(tree, salts, home), CHUNKS)
                 chunks = chunks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-                got = chunks.join(blocks, ["region", "salt"]).drop("region", "salt", "salts").mapInArrow(_searched(k, same), FOUND)
+                # neither side may be broadcast: Spark takes their sizes from the small files that chunks and blocks come from
+                got = chunks.hint("merge").join(blocks, ["region", "salt"]).drop("region", "salt", "salts").mapInArrow(_searched(k, same), FOUND)
                 got = stage(_best(got, k).drop("rank"), "found")
                 found = got if found is None else found.union(got)
             return _best(found, k)
@@ -404,7 +405,7 @@ def hard_negatives(
         low, high = f"-({down(f'(-positive_score * {window[0]}L)')})", down(f"(positive_score * {window[1]}L)")
         edges = positives.select("row", "nth", F.expr(low).alias("low"), F.expr(high).alias("high"))
         edges = edges.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("nth", "low", "high"))).alias("e")).select("row", F.col("e.low").alias("low"), F.col("e.high").alias("high"))
-        negatives = searched(stage(anchors.join(edges, "row"), "windows"), n_negatives, False)
+        negatives = searched(stage(anchors.hint("merge").join(edges, "row"), "windows"), n_negatives, False)
         out = negatives.withColumn("nth", F.col("w") + 1).join(positives, ["row", "nth"]).join(anchors.select("row", F.col("id").alias("anchor_id")), "row")
         out = stage(out.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")), "negatives")
         keep(out)

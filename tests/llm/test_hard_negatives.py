@@ -59,6 +59,26 @@ def test_empty_and_alone(spark):
     assert hn.hard_negatives(spark.createDataFrame([(50, 1, [1.0], "", ""), (51, 2, [1.0], "", "")], SCHEMA)).count() == 0
 
 
+def test_chunks_of_anchors_are_never_broadcast(spark, monkeypatch):
+    """The file of anchors is small, the chunks made of it are not: each anchor goes to every region it may search."""
+    monkeypatch.setattr(hn, "BLOCK", 256)  # many regions
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(k, k % 3, [float(v) for v in np.float32(x[k])], "r", "s") for k in range(len(x))]
+    limit = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(limit, "80m")  # the least relation takes a page of memory, up to 64 MB
+    try:
+        got = found(hn.hard_negatives(spark.createDataFrame(rows, SCHEMA).repartition(4), every=2))
+    finally:
+        spark.conf.unset(limit)
+    ints = np.floor(256 * np.float32(x).astype(float))
+    anchors = ints[::2]
+    assert {k[0] for k in got} == {2 * a for a in range(len(anchors))}
+    for (a, p, _, n, s, t), times in got.items():
+        assert times == 1 and a != p and a % 3 == p % 3 != n % 3 and (s, t) == (ints[a] @ ints[p], ints[a] @ ints[n]) and 50 * s <= 100 * t <= 95 * s
+
+
 def test_siblings_are_eliminated():
     """On clustered rows a search looks at a small part of them; on any rows it gives what scoring all gives."""
     rng = np.random.default_rng(2)
