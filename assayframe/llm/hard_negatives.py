@@ -6,11 +6,12 @@ rows' norms. A query asks for the best scores (inner products) inside a window.
 annulus of distances around the query; by the triangle inequality the ranges bound the distances of a subtree's rows, and a
 sibling whose bounds miss the annulus is eliminated. Leaves are scored exactly, so results are exact.
 
-1. The upper tree is fitted on a sample of at most SAMPLE rows; its leaves are regions. Every row is routed to its region
-   and packed into blocks of one region, each with a tree of its own, in the pass that reads the rows: no shuffle, and a
-   region that holds a third of all rows is many blocks. The ranges of the upper tree are those of all rows.
+1. The upper tree is fitted on a sample of at most SAMPLE rows; its leaves are regions. Every row is routed to its region,
+   rows are shuffled by region, and packed into blocks of one region, each with a tree of its own. A region that holds a
+   third of all rows is dealt to many tasks and is many blocks. The ranges of the upper tree are those of all rows.
 2. Anchors search their own region first, then, with the bounds found there, all regions that are not eliminated: chunks of
-   anchors meet the blocks of a region in a join whose keys are split by the number of blocks.
+   anchors meet the blocks of a region in a join whose keys are split by the number of blocks. In a block, a node that
+   eliminates less than half is scored as one leaf.
 3. This is done for the positives, and then for the windows of negatives that the positives' scores open.
 """
 
@@ -28,11 +29,15 @@ from .spark_io import scratch, stage
 
 #: Rows on which the upper tree is fitted, its split points a node, rows of a block, and rows of a leaf.
 SAMPLE, FANOUT, BLOCK, LEAF = 8192, 16, 4096, 128
-#: Split points of a node inside a block; rows that a task holds before it packs its fullest region.
-INNER, HELD = 8, 32_768
-#: Anchors of a chunk, and blocks that one key of the join brings to it.
+#: Split points of a node inside a block; rows that a task holds before it packs its fullest region; blocks' worth of rows
+#: of a region that one task packs.
+INNER, HELD, DEALT = 8, 32_768, 16
+#: Anchors of a chunk, and blocks and chunks that one key of the join brings together at most.
 CHUNK, SPREAD = 1024, 64
 OPEN, UNPARTED = 1 << 53, 0.8
+#: Between vectors with square norms under EXACT, floats give exact scores; rows that are scored at once; the share of
+#: queries and subtrees left from which on a node inside a block is scored whole.
+EXACT, STRIP, WHOLE = 1 << 24, 512, 0.5
 
 
 # ---- trees: a leaf is (start, stop), a node (points, square norms of these, subtrees, lows, highs, norm lows, norm highs)
@@ -52,10 +57,11 @@ def split_points(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 def grow(x: np.ndarray, rows: np.ndarray, k: int, enough: int, order: list[np.ndarray], seed: int = 0):
-    """Tree over x[rows]; order gets the leaves' rows. Rows that split points hardly part (over UNPARTED of them stay
+    """Tree over x[rows] with up to k split points a node, no more than it takes for leaves of enough rows; order gets the
+    leaves' rows. Rows that split points hardly part (over UNPARTED of them stay
     together, as copies do) form one leaf, so a tree is never deep."""
     at = sum(map(len, order))
-    points = split_points(x[rows], k, seed) if len(rows) > enough else x[:0]
+    points = split_points(x[rows], min(k, -(-len(rows) // enough)), seed) if len(rows) > enough else x[:0]
     if len(points) < 2:
         order.append(rows)
         return at, at + len(rows)
@@ -73,6 +79,28 @@ def grow(x: np.ndarray, rows: np.ndarray, k: int, enough: int, order: list[np.nd
     return points, point_norms, subtrees, low, high, np.array([e[0] for e in ends]), np.array([e[1] for e in ends])
 
 
+def span(tree) -> tuple[int, int]:
+    """The rows of all leaves, which follow each other."""
+    first = last = tree
+    while len(first) > 2:
+        first = first[2][0]
+    while len(last) > 2:
+        last = last[2][-1]
+    return first[0], last[1]
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Vectors of whole numbers, in two bytes a component where floats give exact scores, else as doubles."""
+    return x.astype(np.int16 if np.einsum("ij,ij->i", x, x).max(initial=0) < EXACT else np.float64).tobytes()
+
+
+def unpacked(cell: bytes, n: int, dim: int) -> np.ndarray:
+    """Vectors as floats or doubles."""
+    if len(cell) == 2 * n * dim:
+        return np.frombuffer(cell, np.int16).reshape(n, dim).astype(np.float32)
+    return np.frombuffer(cell).reshape(n, dim)
+
+
 def regions(tree, first: int = 0) -> tuple[object, int]:
     """The tree with its leaves numbered, and their number so far."""
     if len(tree) == 2:
@@ -139,8 +167,9 @@ class Search:
         """Scores from which on a row still counts, by query and window."""
         return np.maximum(self.low[rows], self.scores[rows, :, -1])
 
-    def walk(self, tree, rows: np.ndarray, leaf) -> None:
-        """leaf(start, stop, queries) for all leaves that the queries cannot do without."""
+    def walk(self, tree, rows: np.ndarray, leaf, whole: float = np.inf) -> None:
+        """leaf(start, stop, queries) for all leaves that the queries cannot do without; for all rows of a node at once if it
+        leaves over a share ``whole`` of queries and subtrees."""
         if len(tree) == 2:
             if len(rows):
                 leaf(*tree, rows)
@@ -151,37 +180,56 @@ class Search:
         nearest = np.maximum(d[:, :, None] - high, low - d[:, :, None]).max(axis=1) - slack[:, None]  # by query and subtree
         farthest = (d[:, :, None] + high).min(axis=1) + slack[:, None]
         nearest = np.maximum(nearest, 0)
-        for j in np.argsort(d.mean(axis=0), kind="stable").tolist():
-            if norm_low[j] > norm_high[j]:  # no rows
-                continue
-            least, most = self.least(rows), self.high[rows]
+        most = self.high[rows]
+
+        def kept(j: int, least: np.ndarray) -> np.ndarray:
             inner = np.sqrt(np.maximum(self.norms[rows, None] + norm_low[j] - 2 * most, 0))
             outer = self.norms[rows, None] + norm_high[j] - 2 * least
             outer = np.where(outer >= 0, np.sqrt(np.maximum(outer, 0)), -np.inf) + slack[:, None]
             meets = (least <= most) & (nearest[:, j, None] <= outer) & (farthest[:, j, None] >= inner)
-            keep = meets.any(axis=1)
+            return meets.any(axis=1)
+
+        if whole < 1 and len(rows):
+            least = self.least(rows)
+            keep = np.stack([kept(j, least) for j in range(len(kids))], axis=1)
+            if keep.mean() > whole:
+                rows = rows[keep.any(axis=1)]
+                leaf(*span(tree), rows)
+                return
+        for j in np.argsort(d.mean(axis=0), kind="stable").tolist():
+            if norm_low[j] > norm_high[j]:  # no rows
+                continue
+            keep = kept(j, self.least(rows))
             if keep.any():
-                self.walk(kids[j], rows[keep], leaf)
-
-    def take(self, rows: np.ndarray, scores: np.ndarray, allowed: np.ndarray, ids: np.ndarray) -> None:
-        """Rows of a leaf, ascending by id, with their scores by query."""
-        least = self.least(rows)
+                self.walk(kids[j], rows[keep], leaf, whole)
+
+    def take(self, rows: np.ndarray, scores: np.ndarray, allowed, ids: np.ndarray) -> None:
+        """Rows of a leaf with their scores by query; allowed tells the pairs that count, as a matrix or by their places."""
+        low, high, floor = self.low[rows], self.high[rows], self.least(rows).min(axis=1)
+        if scores.dtype == np.float32:
+            floor = np.ceil(np.clip(floor, -EXACT, EXACT)).astype(np.float32)
+        at, column = np.divmod(np.flatnonzero(scores >= floor[:, None]), max(1, scores.shape[1]))
+        fits = np.flatnonzero(allowed[at, column] if isinstance(allowed, np.ndarray) else allowed(at, column))
+        at, column = at[fits], column[fits]
+        values, named = scores[at, column].astype(np.float64), ids[column]
         for w in range(self.low.shape[1]):
-            fits = allowed & (scores >= least[:, w, None]) & (scores <= self.high[rows, w, None])
-            some = np.flatnonzero(fits.any(axis=1))
-            if not len(some):
+            last = self.scores[rows, w, -1][at]
+            fits = (values > last) | (values == last) & (named < self.ids[rows, w, -1][at])
+            fits = np.flatnonzero(fits & (values >= low[at, w]) & (values <= high[at, w]))
+            if not len(fits):
                 continue
-            left = np.where(fits[some], scores[some], -np.inf)
-            at, line = rows[some], np.arange(len(some))
-            found, names = [self.scores[at, w]], [self.ids[at, w]]
-            for _ in range(min(self.k, left.shape[1])):
-                best = left.argmax(axis=1)
-                found.append(left[line, best][:, None])
-                names.append(ids[best][:, None])
-                left[line, best] = -np.inf
-            found, names = np.hstack(found), np.hstack(names)
-            order = np.lexsort((names, -found), axis=1)[:, : self.k]
-            self.scores[at, w], self.ids[at, w] = np.take_along_axis(found, order, 1), np.take_along_axis(names, order, 1)
+            one, names, found = at[fits], named[fits], values[fits]
+            order = np.lexsort((names, -found, one))
+            one, names, found = one[order], names[order], found[order]
+            starts = np.flatnonzero(np.append(True, one[1:] != one[:-1]))
+            sizes = np.diff(starts, append=len(one))
+            rank = np.arange(len(one)) - np.repeat(starts, sizes)
+            top, line, some = rank < self.k, np.repeat(np.arange(len(starts)), sizes), rows[one[starts]]
+            best, whose = np.full((len(some), 2 * self.k), -np.inf), np.zeros((len(some), 2 * self.k), np.int64)
+            best[:, : self.k], whose[:, : self.k] = self.scores[some, w], self.ids[some, w]
+            best[line[top], self.k + rank[top]], whose[line[top], self.k + rank[top]] = found[top], names[top]
+            order = np.lexsort((whose, -best), axis=1)[:, : self.k]
+            self.scores[some, w], self.ids[some, w] = np.take_along_axis(best, order, 1), np.take_along_axis(whose, order, 1)
 
 
 # ---- index
@@ -197,6 +245,23 @@ def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
+ROUTED = "id long, row long, label long, vector binary, region int, part long"
+
+
+def _routed(tree, dim: int, parts: np.ndarray):
+    """Rows with their region, and the part of it (parts has their number by region) to which a task packs them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column(3), dim)
+            region, _ = route(tree, x)
+            rows = b.column(1).to_numpy(zero_copy_only=False)
+            cells = [*b.columns[:3], pa.array([v.tobytes() for v in x], pa.binary()), pa.array(region.astype(np.int32)), pa.array(rows % parts[region])]
+            yield pa.RecordBatch.from_arrays(cells, names=[f.split()[0] for f in ROUTED.split(", ")])
+
+    return run
+
+
 def _blocks(tree, dim: int):
     levels = max(1, depth_of(tree))
 
@@ -209,7 +274,7 @@ def _blocks(tree, dim: int):
         if norms.max() >= OPEN:
             raise ValueError("vectors are too long for exact scores")
         d = d.reshape(len(d), -1)
-        cells = [region, number, len(x), *(a[order].tobytes() for a in (ids, rows, labels, x)), pickle.dumps(own), d.min(axis=0).tolist(), d.max(axis=0).tolist(), norms.min(), norms.max()]
+        cells = [region, number, len(x), *(a[order].tobytes() for a in (ids, rows, labels)), packed(x[order]), pickle.dumps(own), d.min(axis=0).tolist(), d.max(axis=0).tolist(), norms.min(), norms.max()]
         types = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5, *[pa.list_(pa.float64())] * 2, *[pa.float64()] * 2]
         return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, types)], names=[f.split()[0] for f in BLOCKS.split(", ")])
 
@@ -223,7 +288,7 @@ def _blocks(tree, dim: int):
                 continue
             if number is None:
                 number = int(rows[0])  # a block's number is that of a row of its task
-            x = _matrix(b.column(3), dim)
+            x = np.frombuffer(b"".join(b.column(3).to_pylist())).reshape(len(ids), dim)
             region, d = route(tree, x)
             order = np.argsort(region, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(region[order])) + 1):
@@ -246,13 +311,13 @@ def _blocks(tree, dim: int):
     return run, levels
 
 
-def _anchors(every: int):
+def _anchors(every: int, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(len(b)):
                 ids, rows, labels = (np.frombuffer(b.column(c)[k].as_py(), np.int64) for c in (1, 2, 3))
                 at = np.flatnonzero(ids % every == 0)
-                x = np.frombuffer(b.column(4)[k].as_py()).reshape(len(ids), -1)[at]
+                x = unpacked(b.column(4)[k].as_py(), len(ids), dim)[at].astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[at]), pa.array(ids[at]), pa.array(labels[at]), pa.array(np.full(len(at), b.column(0)[k].as_py(), np.int32)), pa.array([v.tobytes() for v in x], pa.binary())], names=["row", "id", "label", "home", "vector"])
 
     return run
@@ -283,7 +348,7 @@ def _chunks(tree, salts: dict[int, int], home: bool):
             for r, at in visits.items():
                 for i in range(0, len(at) if r in salts else 0, CHUNK):
                     part = at[i : i + CHUNK]
-                    cells = [r, salts[r], f"{r}/{rows[part[0]]}", low.shape[1], *(a[part].tobytes() for a in (rows, labels, x, low, high))]
+                    cells = [r, salts[r], f"{r}/{rows[part[0]]}", low.shape[1], rows[part].tobytes(), labels[part].tobytes(), packed(x[part]), low[part].tobytes(), high[part].tobytes()]
                     types = [pa.int32(), pa.int32(), pa.string(), pa.int32(), *[pa.binary()] * 5]
                     yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, types)], names=[f.split()[0] for f in CHUNKS.split(", ")])
 
@@ -293,11 +358,11 @@ def _chunks(tree, salts: dict[int, int], home: bool):
 FOUND = "row long, w int, id long, score long"
 
 
-def _searched(k: int, same: bool):
+def _searched(k: int, same: bool, dim: int):
     """The best k rows of each anchor and window in the blocks that come with its chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = search = rows = labels = None
+        chunk = search = rows = labels = asked = None
 
         def found() -> pa.RecordBatch:
             a, w, j = np.nonzero(search.scores > -np.inf)
@@ -313,17 +378,23 @@ def _searched(k: int, same: bool):
                         yield found()
                     chunk, windows = cells["chunk"][at].as_py(), cells["windows"][at].as_py()
                     rows, labels = get("a_rows", np.int64), get("a_labels", np.int64)
-                    search = Search(get("a_vectors").reshape(len(rows), -1), get("a_low").reshape(-1, windows), get("a_high").reshape(-1, windows), k)
+                    asked = unpacked(cells["a_vectors"][at].as_py(), len(rows), dim)
+                    search = Search(asked.astype(np.float64), get("a_low").reshape(-1, windows), get("a_high").reshape(-1, windows), k)
                 ids, others, kinds = get("ids", np.int64), get("rows", np.int64), get("labels", np.int64)
-                x = get("vectors").reshape(len(ids), -1)
+                x = unpacked(cells["vectors"][at].as_py(), len(ids), dim)
 
                 def leaf(start: int, stop: int, q: np.ndarray) -> None:
-                    allowed = (labels[q][:, None] == kinds[start:stop]) == same  # noqa: B023
-                    if same:
-                        allowed &= rows[q][:, None] != others[start:stop]  # noqa: B023
-                    search.take(q, search.q[q] @ x[start:stop].T, allowed, ids[start:stop])  # noqa: B023
+                    for i in range(start, stop, STRIP):
+                        part = slice(i, min(stop, i + STRIP))
+
+                        def allowed(a: np.ndarray, j: np.ndarray) -> np.ndarray:
+                            a, j = q[a], j + i  # noqa: B023
+                            fits = (labels[a] == kinds[j]) == same  # noqa: B023
+                            return fits & (rows[a] != others[j]) if same else fits  # noqa: B023
+
+                        search.take(q, asked[q] @ x[part].T, allowed, ids[part])  # noqa: B023
 
-                search.walk(pickle.loads(cells["tree"][at].as_py()), np.arange(len(rows)), leaf)
+                search.walk(pickle.loads(cells["tree"][at].as_py()), np.arange(len(rows)), leaf, WHOLE)
         if search is not None:
             yield found()
 
@@ -362,11 +433,16 @@ def hard_negatives(
         x[k, : len(values)] = values
     # as deep as blocks get full, and no deeper than the sample can tell
     upper = grow(x, np.arange(len(x)), FANOUT, max(4 * FANOUT, int(len(x) * BLOCK / max(total, 1))), []) if len(x) else (0, 0)
-    tree, _ = regions(upper)
+    tree, n_regions = regions(upper)
+    shares = np.bincount(route(tree, x)[0], minlength=n_regions) / max(len(x), 1)
+    parts = np.ceil(shares * total / (DEALT * BLOCK)).astype(np.int64).clip(1)
 
     with scratch() as keep:
-        pack, levels = _blocks(tree, dim or 0)
-        index = stage(rows.mapInArrow(pack, BLOCKS), "index")
+        dim = dim or 0
+        pack, levels = _blocks(tree, dim)
+        routed = rows.select("id", "row", "label", "v").mapInArrow(_routed(tree, dim, parts), ROUTED)
+        routed = routed.repartition("region", "part").sortWithinPartitions("region", "part")
+        index = stage(routed.select("id", "row", "label", "vector").mapInArrow(pack, BLOCKS), "index")
         ranges, salts = {}, {}
         places = index.select("region", F.posexplode(F.arrays_zip("near", "far"))).groupBy("region", "pos").agg(F.min("col.near").alias("near"), F.max("col.far").alias("far")).collect()
         for r in index.groupBy("region").agg(F.count("*").alias("n"), F.min("norm_low").alias("least"), F.max("norm_high").alias("most")).collect():
@@ -378,9 +454,12 @@ def hard_negatives(
         tree = with_ranges(tree, ranges)
         keys = spark.createDataFrame(list(salts.items()), "region int, of int")
         blocks = index.join(F.broadcast(keys), "region").select("region", F.pmod("block", "of").cast("int").alias("salt"), "ids", "rows", "labels", "vectors", "tree")
-        anchors = stage(index.select("region", "ids", "rows", "labels", "vectors").mapInArrow(_anchors(every), "row long, id long, label long, home int, vector binary"), "anchors")
+        anchors = stage(index.select("region", "ids", "rows", "labels", "vectors").mapInArrow(_anchors(every, dim), "row long, id long, label long, home int, vector binary"), "anchors")
 
         full = -(-anchors.count() // CHUNK)
+        groups = max(1, -(-full // SPREAD))
+        blocks = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        meet = ["region", "salt", "group"]
 
         def searched(asked: DataFrame, k: int, same: bool) -> DataFrame:
             """(row, w, id, score, rank) of the best k for anchors with windows low, high."""
@@ -391,10 +470,12 @@ def hard_negatives(
                     kth = kth.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("w", "s"))).alias("kth"))
                     bound = F.transform("low", lambda x, w: F.greatest(x, F.coalesce(F.try_element_at("kth", w.cast("int")), x)))
                     asked = asked.join(kth, "row", "left").withColumn("low", F.when(F.col("kth").isNull(), F.col("low")).otherwise(bound)).drop("kth")
-                chunks = asked.select("row", "label", "home", "vector", "low", "high").coalesce(max(1, full)).mapInArrow(_chunks(tree, salts, home), CHUNKS)
+                dealt = asked.select("row", "label", "home", "vector", "low", "high").repartition(max(1, full), "home" if home else "row")
+                chunks = dealt.mapInArrow(_chunks(tree, salts, home), CHUNKS)
                 chunks = chunks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+                chunks = chunks.withColumn("group", F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int"))
                 # neither side may be broadcast: Spark takes their sizes from the small files that chunks and blocks come from
-                got = chunks.hint("merge").join(blocks, ["region", "salt"]).drop("region", "salt", "salts").mapInArrow(_searched(k, same), FOUND)
+                got = chunks.hint("merge").join(blocks, meet).drop(*meet, "salts").mapInArrow(_searched(k, same, dim), FOUND)
                 got = stage(_best(got, k).drop("rank"), "found")
                 found = got if found is None else found.union(got)
             return _best(found, k)

@@ -101,3 +101,37 @@ def test_siblings_are_eliminated():
         inside = np.where(scores[k] <= best[k] * 0.999, scores[k], -np.inf)
         assert sorted(search.scores[k, 0]) == sorted(inside)[-3:]
     assert sum(seen) < 0.25 * 50 * len(x)
+
+
+@pytest.mark.parametrize("size,kind", [(50, np.float32), (50_000, np.float64)])
+def test_nodes_scored_whole(size, kind):
+    """Hardly anything is eliminated among even rows, so nodes are scored whole, in strips; results are those of all scores."""
+    rng = np.random.default_rng(4)
+    x = np.floor(size * rng.normal(size=(3000, 16)))
+    x[100:140] = x[7]  # ties
+    order = []
+    tree = hn.grow(x, np.arange(len(x)), 8, 64, order)
+    order = np.concatenate(order)
+    ids, labels = rng.permutation(len(x)), rng.integers(0, 3, len(x))
+    q = np.concatenate([x[:40], x[100:103]])
+    assert hn.span(tree) == (0, len(x)) and len(tree) > 2
+    ready = hn.unpacked(hn.packed(x[order]), len(x), 16)
+    assert ready.dtype == kind and (ready == x[order]).all()
+    scores = (q @ x.T).astype(np.int64)
+    high = np.quantile(scores, [0.5, 0.9, 1], axis=1).T.round()
+    low = np.stack([high[:, 0] - 10**5 * size, high[:, 0], high[:, 2]], axis=1)
+    search, calls = hn.Search(q, low, high, 4), []
+
+    def leaf(a, b, rows):
+        calls.append((a, b))
+        for i in range(a, b, 500):
+            j = min(b, i + 500)
+            search.take(rows, q[rows].astype(kind) @ ready[i:j].T, lambda r, c: labels[rows[r]] != labels[order[i + c]], ids[order[i:j]])
+
+    search.walk(tree, np.arange(len(q)), leaf, 0.5)
+    assert calls[0] == (0, len(x))
+    for a in range(len(q)):
+        for w in range(3):
+            fits = [(-scores[a, j], ids[j]) for j in range(len(x)) if labels[j] != labels[a] and low[a, w] <= scores[a, j] <= high[a, w]]
+            got = [(-s, i) for s, i in zip(search.scores[a, w], search.ids[a, w]) if s > -np.inf]
+            assert got == sorted(fits)[:4]
