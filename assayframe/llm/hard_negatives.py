@@ -205,10 +205,15 @@ class Search:
 
     def take(self, rows: np.ndarray, scores: np.ndarray, allowed, ids: np.ndarray) -> None:
         """Rows of a leaf with their scores by query; allowed tells the pairs that count, as a matrix or by their places."""
-        low, high, floor = self.low[rows], self.high[rows], self.least(rows).min(axis=1)
+        low, high = self.low[rows], self.high[rows]
+        # scores are whole numbers: where all ids here come after the last one found, its score is no longer enough
+        floor = np.maximum(low, self.scores[rows, :, -1] + (ids.min() > self.ids[rows, :, -1])).min(axis=1)
+        roof = high.max(axis=1)
         if scores.dtype == np.float32:
-            floor = np.ceil(np.clip(floor, -EXACT, EXACT)).astype(np.float32)
-        at, column = np.divmod(np.flatnonzero(scores >= floor[:, None]), max(1, scores.shape[1]))
+            floor, roof = (np.clip(x, -EXACT, EXACT).astype(np.float32) for x in (np.ceil(floor), np.floor(roof)))
+        inside = scores >= floor[:, None]
+        inside &= scores <= roof[:, None]
+        at, column = np.divmod(np.flatnonzero(inside), max(1, scores.shape[1]))
         fits = np.flatnonzero(allowed[at, column] if isinstance(allowed, np.ndarray) else allowed(at, column))
         at, column = at[fits], column[fits]
         values, named = scores[at, column].astype(np.float64), ids[column]
